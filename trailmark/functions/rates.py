@@ -1,0 +1,37 @@
+"""Percentages and rounding as JVM-side column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ColumnOrName = Column | str
+
+
+def _col(c: ColumnOrName) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def share_pct(part: ColumnOrName, whole: ColumnOrName, digits: int | None = None) -> Column:
+    """``100 * part / whole`` as a double; NULL when ``whole`` is 0 or NULL.
+
+    The factor is a double literal on purpose: a SQL ``100.0`` literal would make
+    Spark compute in DECIMAL and change the result type.
+    """
+    value = F.lit(100.0) * _col(part) / F.nullif(_col(whole), F.lit(0))
+    return F.round(value, digits) if digits is not None else value
+
+
+def ratio_pct(part: ColumnOrName, whole: ColumnOrName) -> Column:
+    """``part / whole * 100`` in that operation order (the dashboard's order), NULL on 0."""
+    return F.try_divide(_col(part).cast("double"), _col(whole)) * F.lit(100.0)
+
+
+def relative_change_pct(new: ColumnOrName, old: ColumnOrName) -> Column:
+    """``(new - old) / old * 100``; NULL when ``old`` is 0 or NULL."""
+    return F.try_divide(_col(new) - _col(old), _col(old)) * F.lit(100.0)
+
+
+def flag(condition: Column) -> Column:
+    """0/1 integer flag that is 0 (never NULL) when the condition is NULL."""
+    return F.when(condition, F.lit(1)).otherwise(F.lit(0))
