@@ -11,10 +11,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.operators import abtest, funnel, kpis, retention
-from trailmark.sources.fixtures import load_mapping_a, load_mapping_b, split_cohorts
+from trailmark.sources import fixtures
+from trailmark.sources.fixtures import split_cohorts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Source plans per (session, table folder). Only the lazily defined DataFrames are
+# kept (no data): building them costs hundreds of JVM round trips, and every
+# query over the same folder starts from the same plan.
+_SOURCES: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _sources(kind: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key = (id(spark._jsparkSession), kind, sf_dir.rstrip("/"))
+    if key not in _SOURCES:
+        loader = fixtures.load_mapping_a if kind == "a" else fixtures.load_mapping_b
+        _SOURCES[key] = loader(spark, sf_dir)
+    return _SOURCES[key]
+
+
+def load_mapping_a(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _sources("a", spark, sf_dir)
+
+
+def load_mapping_b(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _sources("b", spark, sf_dir)
+
+
+def clear_sources() -> None:
+    """Forget memoized source plans (e.g. after the table folders changed)."""
+    _SOURCES.clear()
+
 # Registry parameters (fixed so that the Spark and SQL sides agree).
 USERS_FILTER = {"plans": ["Paid"], "groups": ["A", "B"], "months": [1]}
 EVENTS_FILTER = {"event_types": ["created_project", "invited_teammate"], "user_id_text": "7"}
