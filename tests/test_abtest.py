@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from conftest import D, rows
+from pyspark.sql import functions as F
+
+from trailmark.functions.stats import chi2_2x2
+from trailmark.operators import abtest
+
+
+def _chi2(spark, a, b, c, d, yates=True):
+    df = spark.createDataFrame([(a, b, c, d)], "a long, b long, c long, d long")
+    res = chi2_2x2(F.col("a"), F.col("b"), F.col("c"), F.col("d"), yates=yates)
+    return df.select(*[v.alias(k) for k, v in res.items()]).collect()[0]
+
+
+def test_published_table_with_yates(spark):
+    # [[32, 137], [41, 143]]: published p = 0.5194 with the continuity correction
+    r = _chi2(spark, 32, 137, 41, 143)
+    assert r.chi2 == pytest.approx(0.41507, abs=1e-5)
+    assert r.p_value == pytest.approx(0.51941, abs=1e-5)
+    assert r.dof == 1
+    assert r.expected_a_conv == pytest.approx(169 * 73 / 353)
+
+
+def test_without_correction(spark):
+    r = _chi2(spark, 32, 137, 41, 143, yates=False)
+    assert r.p_value == pytest.approx(0.43787, abs=1e-5)
+    assert r.chi2 == pytest.approx(0.6019, abs=1e-4)
+
+
+def test_p_value_matches_erfc(spark):
+    r = _chi2(spark, 10, 90, 30, 70)
+    assert r.p_value == pytest.approx(math.erfc(math.sqrt(r.chi2 / 2)), rel=1e-12)
+
+
+def test_yates_cap_when_deviation_below_half(spark):
+    # every |o - e| < 0.5 -> statistic 0, p 1
+    r = _chi2(spark, 3, 3, 2, 3)
+    assert r.chi2 == 0.0 and r.p_value == 1.0
+
+
+def test_zero_expected_is_null(spark):
+    r = _chi2(spark, 0, 10, 0, 12)
+    assert r.chi2 is None and r.p_value is None and r.dof is None
+
+
+USERS = [
+    (1, D("2024-01-01"), "Free", "A"),
+    (2, D("2024-01-01"), "Free", "B"),
+    (3, D("2024-01-02"), "Paid", "A"),
+    (4, D("2024-01-02"), "Free", "B"),
+    (5, D("2024-01-03"), "Free", "A"),  # no events
+]
+EVENTS = [
+    (1, "2024-01-02 00:00:00", "viewed_pricing_page"),
+    (1, "2024-01-02 01:00:00", "upgraded_plan"),
+    (2, "2024-01-02 00:00:00", "viewed_pricing_page"),
+    (2, "2024-01-03 00:00:00", "viewed_pricing_page"),
+    (3, "2024-01-02 00:00:00", "upgraded_plan"),  # upgrade without a pricing view
+    (4, "2024-01-02 00:00:00", "viewed_pricing_page"),
+    (4, "2024-01-02 03:00:00", "upgraded_plan"),
+    (99, "2024-01-02 00:00:00", "viewed_pricing_page"),  # unknown user
+    (None, "2024-01-02 00:00:00", "viewed_pricing_page"),
+]
+
+
+def test_user_conversions_keeps_users_without_events(make_users, make_events):
+    got = sorted(rows(abtest.ab_user_conversions(make_users(USERS), make_events(EVENTS))))
+    assert got == [(1, "A", 1, 1), (2, "B", 1, 0), (3, "A", 0, 1), (4, "B", 1, 1), (5, "A", 0, 0)]
+
+
+def test_pricing_viewers(make_users, make_events):
+    got = sorted(rows(abtest.ab_pricing_viewers(make_users(USERS), make_events(EVENTS))))
+    assert got == [(1, "A", 1, 1), (2, "B", 1, 0), (4, "B", 1, 1)]
+
+
+def test_summary(make_users, make_events):
+    got = rows(abtest.ab_test_summary(make_users(USERS), make_events(EVENTS)))
+    assert got == [("A", 1, 1, 100.0), ("B", 2, 1, 50.0)]
+
+
+def test_duplicate_user_rows_merge(make_users, make_events):
+    dup = USERS + [(1, D("2024-01-01"), "Free", "A")]
+    got = rows(abtest.ab_test_summary(make_users(dup), make_events(EVENTS)))
+    assert got == [("A", 1, 1, 100.0), ("B", 2, 1, 50.0)]
+
+
+def test_contingency_lift_sample_size(make_users, make_events):
+    u, e = make_users(USERS), make_events(EVENTS)
+    assert rows(abtest.ab_contingency(u, e)) == [(1, 0, 1, 1)]
+    (lift,) = abtest.ab_lift(u, e).collect()
+    assert lift.lift_pct == pytest.approx(-50.0) and lift.lift_pp == pytest.approx(-50.0)
+    assert rows(abtest.ab_sample_size(u, e)) == [(3,)]
+
+
+def test_missing_group_gives_nulls(make_users, make_events):
+    only_a = [r for r in USERS if r[3] == "A"]
+    u, e = make_users(only_a), make_events(EVENTS)
+    (t,) = abtest.ab_chi2_test(u, e).collect()
+    assert t.chi2 is None and t.p_value is None and t.significant is None
+    assert rows(abtest.ab_sample_size(u, e)) == [(None,)]
+
+
+def test_lift_from_rounded_rates(spark):
+    # 18.93 % -> 22.28 %: relative lift computed from the 2-decimal rates
+    summary = spark.createDataFrame(
+        [("A", 169, 32, 18.93), ("B", 184, 41, 22.28)],
+        "ab_test_group string, total_users long, conversions long, conversion_rate double",
+    )
+    w = abtest._ab_wide(summary, "A", "B")
+    got = w.select(((F.col("b_rate") - F.col("a_rate")) / F.col("a_rate") * 100).alias("x")).first().x
+    assert got == pytest.approx(17.697, abs=1e-3)

@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import pytest
+from conftest import D, rows
+
+from trailmark.operators import kpis
+
+USERS = [
+    (1, D("2024-01-01"), "Free", "A"),
+    (2, D("2024-01-01"), "Paid", "B"),
+    (3, D("2024-02-03"), "Free", "A"),
+    (4, D("2023-01-09"), "Paid", "A"),
+    (5, None, "Free", "B"),
+]
+EVENTS = [
+    (1, "2024-01-01 00:00:00", "signed_up"),
+    (1, "2024-01-01 01:00:00", "created_project"),
+    (1, "2024-01-01 02:00:00", "created_project"),
+    (2, "2024-01-01 00:00:00", "signed_up"),
+    (2, "2024-01-02 00:00:00", "invited_teammate"),
+    (2, "2024-01-02 05:00:00", "upgraded_plan"),
+    (2, "2024-01-03 05:00:00", "upgraded_plan"),
+    (3, "2024-02-03 00:00:00", "signed_up"),
+    (None, "2024-02-03 00:00:00", "created_project"),
+    (None, "2024-02-03 00:00:00", "upgraded_plan"),
+]
+
+
+@pytest.fixture
+def data(make_users, make_events):
+    return make_users(USERS), make_events(EVENTS)
+
+
+def test_kpi_totals_counts_events_not_users(data):
+    (r,) = kpis.kpi_totals(*data).collect()
+    assert (r.total_users, r.total_events, r.conversion_events) == (5, 10, 3)
+    assert r.conversion_rate == pytest.approx(3 / 5 * 100)
+
+
+def test_kpi_overview(data):
+    (r,) = kpis.kpi_overview(*data).collect()
+    # NULL user ids are not users (dropped like a pandas group key); events still count
+    assert (r.total_users, r.activated_users, r.invited_users, r.converted_events) == (5, 1, 1, 3)
+    assert r.activated_pct == pytest.approx(20.0) and r.converted_pct == pytest.approx(60.0)
+
+
+def test_kpis_on_empty_tables(make_users, make_events):
+    (r,) = kpis.kpi_totals(make_users([]), make_events([])).collect()
+    assert (r.total_users, r.total_events, r.conversion_events, r.conversion_rate) == (0, 0, 0, None)
+
+
+def test_daily_signups_drop_null_dates(data):
+    users, _ = data
+    got = rows(kpis.daily_signups(users))
+    assert got == [(D("2023-01-09"), 1), (D("2024-01-01"), 2), (D("2024-02-03"), 1)]
+
+
+def test_event_distribution_order(data):
+    _, events = data
+    got = rows(kpis.event_distribution(events))
+    assert got == [
+        ("created_project", 3),
+        ("signed_up", 3),
+        ("upgraded_plan", 3),
+        ("invited_teammate", 1),
+    ]
+    assert sum(c for _, c in got) == events.count()
+
+
+def test_daily_events_by_type(data):
+    _, events = data
+    got = rows(kpis.daily_events_by_type(events))
+    assert got[0] == (D("2024-01-01"), "created_project", 2)
+    assert sum(r[2] for r in got) == 10
+
+
+def test_users_filtered(data):
+    users, _ = data
+    got = sorted(rows(kpis.users_filtered(users, ["Paid"], ["A", "B"], [1]), "user_id"))
+    assert got == [(2,), (4,)]  # year ignored
+    assert kpis.users_filtered(users, [], ["A"], [1]).count() == 0
+    assert kpis.users_filtered(users).count() == 4  # NULL sign-up month never matches
+
+
+def test_events_filtered_user_id_text(data):
+    _, events = data
+    base = kpis.events_filtered(events, ["created_project", "upgraded_plan"])
+    assert base.count() == 6
+    assert kpis.events_filtered(events, ["upgraded_plan"], "2").count() == 2
+    assert kpis.events_filtered(events, ["upgraded_plan"], " 2 ").count() == 2
+    assert kpis.events_filtered(events, ["upgraded_plan"], "two").count() == 3  # ignored
+    assert kpis.events_filtered(events, ["upgraded_plan"], "").count() == 3
+    assert kpis.events_filtered(events, ["upgraded_plan"], str(2**70)).count() == 0
+    assert kpis.events_filtered(events).count() == 10
+    assert kpis.parse_user_id("7") == 7 and kpis.parse_user_id("7.0") is None
+
+
+def test_event_types(data):
+    _, events = data
+    got = sorted(r[0] for r in rows(kpis.event_types(events)))
+    assert got == ["created_project", "invited_teammate", "signed_up", "upgraded_plan"]
+
+
+def test_dataset_summary(data):
+    (r,) = kpis.dataset_summary(*data).collect()
+    assert (r.total_users, r.free_users, r.paid_users, r.group_a_users, r.group_b_users) == (5, 3, 2, 3, 2)
+    assert r.total_events == 10
+    assert (r.first_sign_up, r.last_sign_up) == (D("2023-01-09"), D("2024-02-03"))
