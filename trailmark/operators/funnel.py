@@ -32,7 +32,10 @@ def user_funnel_flags(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -
 
 def _funnel_totals(events: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """One row: users reaching each step (``n_<flag>``) and their share of step 1."""
-    flags = user_funnel_flags(events, steps)
+    return _totals_from_flags(user_funnel_flags(events, steps), steps)
+
+
+def _totals_from_flags(flags: DataFrame, steps: Sequence[Step]) -> DataFrame:
     counts = flags.agg(*[F.sum(col).cast("long").alias(f"n_{col}") for _, _, col, _ in steps])
     base = f"n_{steps[0][2]}"
     rates = [F.lit(100.0).alias(f"r_{steps[0][2]}")] + [
@@ -58,7 +61,12 @@ def _dropoff(steps: Sequence[Step], i: int):
 
 def funnel_steps(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O2: ``funnel_step, step_number, user_count, conversion_rate`` (share of step 1, 1 decimal)."""
-    wide = _funnel_totals(events, steps)
+    return funnel_steps_from_flags(user_funnel_flags(events, steps), steps)
+
+
+def funnel_steps_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
+    """O2 from an O1-shaped table of per-user flags (one row per user)."""
+    wide = _totals_from_flags(flags, steps)
     return _step_rows(
         wide,
         steps,
