@@ -76,7 +76,22 @@ def ab_test_summary(
     conversion: str = AB_CONVERSION_EVENT,
 ) -> DataFrame:
     """Per group: exposed users, conversions, conversion rate (%, 2 decimals)."""
-    viewers = ab_pricing_viewers(users, events, exposure, conversion)
+    return _summarize(ab_pricing_viewers(users, events, exposure, conversion))
+
+
+def ab_test_summary_from_flags(users: DataFrame, flags: DataFrame) -> DataFrame:
+    """O9 from per-user ``viewed_pricing`` / ``converted`` flags computed elsewhere
+    (e.g. the funnel's per-user table), so one pass over the events serves both."""
+    viewers = flags.where((F.col("viewed_pricing") == 1) & F.col("user_id").isNotNull())
+    joined = users.select("user_id", "ab_test_group").join(viewers, "user_id", "inner")
+    return _summarize(
+        joined.groupBy("user_id", "ab_test_group").agg(
+            F.max("viewed_pricing").alias("viewed_pricing"), F.max("converted").alias("converted")
+        )
+    )
+
+
+def _summarize(viewers: DataFrame) -> DataFrame:
     return (
         viewers.groupBy("ab_test_group")
         .agg(
@@ -110,11 +125,9 @@ def _ab_wide(summary: DataFrame, control: str, treatment: str) -> DataFrame:
     )
 
 
-def ab_contingency(
-    users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
-) -> DataFrame:
-    """The 2x2 table [[conv A, non-conv A], [conv B, non-conv B]] as one row."""
-    w = _ab_wide(ab_test_summary(users, events), control, treatment)
+def contingency_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
+    """The 2x2 table of an O9-shaped summary as one row."""
+    w = _ab_wide(summary, control, treatment)
     return w.select(
         F.col("a_conv").alias("a_conversions"),
         (F.col("a_total") - F.col("a_conv")).alias("a_non_conversions"),
@@ -123,21 +136,15 @@ def ab_contingency(
     )
 
 
-def ab_chi2_test(
-    users: DataFrame,
-    events: DataFrame,
+def chi2_from_summary(
+    summary: DataFrame,
     control: str = AB_CONTROL,
     treatment: str = AB_TREATMENT,
     alpha: float = ALPHA,
     yates: bool = True,
 ) -> DataFrame:
-    """Chi-squared test of independence on the 2x2 table (continuity-corrected).
-
-    ``chi2`` and ``p_value`` are rounded to 4 decimals (the reported precision);
-    ``significant`` compares the unrounded p-value with ``alpha``. All NULL when
-    a group is missing or an expected count is zero.
-    """
-    t = ab_contingency(users, events, control, treatment)
+    """The chi-squared test of an O9-shaped summary (see ``ab_chi2_test``)."""
+    t = contingency_from_summary(summary, control, treatment)
     res = chi2_2x2(
         F.col("a_conversions"),
         F.col("a_non_conversions"),
@@ -157,11 +164,9 @@ def ab_chi2_test(
     )
 
 
-def ab_lift(
-    users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
-) -> DataFrame:
-    """Relative lift (%) of treatment over control from the 2-decimal rates, and lift in points."""
-    w = _ab_wide(ab_test_summary(users, events), control, treatment)
+def lift_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
+    """Relative lift (%) from the 2-decimal rates of an O9-shaped summary, and lift in points."""
+    w = _ab_wide(summary, control, treatment)
     return w.select(
         F.col("a_rate").alias("control_rate"),
         F.col("b_rate").alias("treatment_rate"),
@@ -170,6 +175,37 @@ def ab_lift(
     )
 
 
+def ab_contingency(
+    users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
+) -> DataFrame:
+    """The 2x2 table [[conv A, non-conv A], [conv B, non-conv B]] as one row."""
+    return contingency_from_summary(ab_test_summary(users, events), control, treatment)
+
+
+def ab_chi2_test(
+    users: DataFrame,
+    events: DataFrame,
+    control: str = AB_CONTROL,
+    treatment: str = AB_TREATMENT,
+    alpha: float = ALPHA,
+    yates: bool = True,
+) -> DataFrame:
+    """Chi-squared test of independence on the 2x2 table (continuity-corrected).
+
+    ``chi2`` and ``p_value`` are rounded to 4 decimals (the reported precision);
+    ``significant`` compares the unrounded p-value with ``alpha``. All NULL when
+    a group is missing or an expected count is zero.
+    """
+    return chi2_from_summary(ab_test_summary(users, events), control, treatment, alpha, yates)
+
+
+def ab_lift(
+    users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
+) -> DataFrame:
+    """Relative lift (%) of treatment over control from the 2-decimal rates, and lift in points."""
+    return lift_from_summary(ab_test_summary(users, events), control, treatment)
+
+
 def ab_sample_size(
     users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
 ) -> DataFrame:

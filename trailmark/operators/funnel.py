@@ -85,7 +85,12 @@ def funnel_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> D
     Computed on the single aggregated row, so no window (and no single-partition
     exchange) is needed.
     """
-    wide = _funnel_totals(events, steps)
+    return funnel_dropoff_from_flags(user_funnel_flags(events, steps), steps)
+
+
+def funnel_dropoff_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
+    """O3 from an O1-shaped table of per-user flags."""
+    wide = _totals_from_flags(flags, steps)
     return _step_rows(
         wide,
         steps,

@@ -185,7 +185,13 @@ def retention_improvement(
     comparison: str = COMPARISON_COHORT,
 ) -> DataFrame:
     """Comparison minus baseline cohort, in points, at day 7 and day 1."""
-    r = cohort_retention(users, events, labeler)
+    return improvement_from_retention(cohort_retention(users, events, labeler), baseline, comparison)
+
+
+def improvement_from_retention(
+    r: DataFrame, baseline: str = BASELINE_COHORT, comparison: str = COMPARISON_COHORT
+) -> DataFrame:
+    """O20 from an O17-shaped result (one row per cohort)."""
     w = _two_cohorts(r, baseline, comparison, (1, 7))
     return w.select(
         (F.col("comp_7") - F.col("base_7")).alias("day_7_improvement"),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.operators import abtest, funnel, kpis, retention
+from trailmark.plans import report
 from trailmark.sources import fixtures
 from trailmark.sources.fixtures import split_cohorts
 
@@ -140,6 +141,10 @@ QUERIES: dict[str, Query] = {
     "cohort_retention_month": _month(retention.cohort_retention, activity_event="used_feature_X"),
     "retention_comparison_month": _month(retention.retention_comparison, baseline="Jan 2024", comparison="Feb 2024"),
     "retention_ratio_doc_month": _month(retention.retention_ratio_doc, day=7),
+    # the analysis report's headline numbers (mapping A, before / after split)
+    "executive_summary": _split(
+        report.executive_summary, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON, materialize=True
+    ),
     # KPIs, series, explore
     "kpi_totals": _on_both(kpis.kpi_totals),
     "kpi_overview": _on_both(kpis.kpi_overview),
