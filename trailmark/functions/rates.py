@@ -35,3 +35,15 @@ def relative_change_pct(new: ColumnOrName, old: ColumnOrName) -> Column:
 def flag(condition: Column) -> Column:
     """0/1 integer flag that is 0 (never NULL) when the condition is NULL."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
+
+
+def sort_few(df, *cols):
+    """Order a result with a handful of rows by construction (one per A/B group,
+    cohort or event type) inside one partition.
+
+    A global ``orderBy`` would add a range-partitioning sample job and a shuffle;
+    here the input is the partial aggregates of at most a few groups per map
+    task, so one task orders them cheaply. Not for results that grow with the
+    data (daily series keep ``orderBy``).
+    """
+    return df.coalesce(1).sortWithinPartitions(*cols)

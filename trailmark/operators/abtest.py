@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, relative_change_pct
+from trailmark.functions.rates import flag, relative_change_pct, sort_few
 from trailmark.functions.stats import chi2_2x2
 from trailmark.schemas import AB_CONTROL, AB_CONVERSION_EVENT, AB_EXPOSURE_EVENT, AB_TREATMENT, ALPHA
 
@@ -104,8 +104,7 @@ def _summarize(viewers: DataFrame) -> DataFrame:
             "conversions",
             F.round(F.lit(100.0) * F.col("conversions") / F.col("total_users"), 2).alias("conversion_rate"),
         )
-        .orderBy(F.col("ab_test_group").asc_nulls_last())
-    )
+    ).transform(lambda df: sort_few(df, F.col("ab_test_group").asc_nulls_last()))
 
 
 def _ab_wide(summary: DataFrame, control: str, treatment: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, ratio_pct
+from trailmark.functions.rates import flag, ratio_pct, sort_few
 from trailmark.schemas import (
     AB_CONTROL,
     AB_TREATMENT,
@@ -106,7 +106,7 @@ def event_distribution(events: DataFrame) -> DataFrame:
         events.where(F.col("event_name").isNotNull())
         .groupBy(F.col("event_name").alias("event_type"))
         .agg(F.count(F.lit(1)).alias("event_count"))
-        .orderBy(F.col("event_count").desc(), F.col("event_type").asc())
+        .transform(lambda df: sort_few(df, F.col("event_count").desc(), F.col("event_type").asc()))
     )
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, share_pct
+from trailmark.functions.rates import flag, share_pct, sort_few
 from trailmark.schemas import (
     ACTIVITY_EVENT,
     BASELINE_COHORT,
@@ -137,8 +137,7 @@ def cohort_retention(
             size.alias("cohort_size"),
             *[share_pct(F.sum(f"day_{d}"), size, 1).alias(f"day_{d}_retention") for d in days],
         )
-        .orderBy(F.col("cohort").asc_nulls_last())
-    )
+    ).transform(lambda df: sort_few(df, F.col("cohort").asc_nulls_last()))
 
 
 def retention_matrix(
