@@ -6,14 +6,13 @@ import pytest
 from conftest import D, rows
 from pyspark.sql import functions as F
 
-from trailmark.functions.stats import chi2_2x2
+from trailmark.functions.stats import with_chi2_2x2
 from trailmark.operators import abtest
 
 
 def _chi2(spark, a, b, c, d, yates=True):
     df = spark.createDataFrame([(a, b, c, d)], "a long, b long, c long, d long")
-    res = chi2_2x2(F.col("a"), F.col("b"), F.col("c"), F.col("d"), yates=yates)
-    return df.select(*[v.alias(k) for k, v in res.items()]).collect()[0]
+    return with_chi2_2x2(df, "a", "b", "c", "d", yates=yates).collect()[0]
 
 
 def test_published_table_with_yates(spark):

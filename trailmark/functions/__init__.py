@@ -1,14 +1,19 @@
-"""Column-level helpers: rates, rounding and statistics (all JVM-side)."""
+"""Column-level helpers: rates, flags, SQL-expression shapes and statistics (all JVM-side)."""
 
-from trailmark.functions.rates import flag, ratio_pct, relative_change_pct, share_pct
-from trailmark.functions.stats import chi2_2x2, chi2_sf_dof1, erfc
+from trailmark.functions.rates import flag, ratio_pct, relative_change_pct, share_pct, sort_few
+from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
+from trailmark.functions.stats import erfc, with_chi2_2x2
 
 __all__ = [
-    "chi2_2x2",
-    "chi2_sf_dof1",
     "erfc",
+    "ever",
     "flag",
+    "lit_sql",
+    "pct_sql",
     "ratio_pct",
     "relative_change_pct",
     "share_pct",
+    "sort_few",
+    "stack_rows",
+    "with_chi2_2x2",
 ]

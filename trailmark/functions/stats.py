@@ -7,64 +7,85 @@ expressions; the p-value uses the JVM's complementary error function
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERF_CLASS = "org.apache.commons.math3.special.Erf"
 
 
+def erfc_sql(x: str) -> str:
+    """Complementary error function of a SQL expression, evaluated in the JVM."""
+    return f"CAST(reflect('{ERF_CLASS}', 'erfc', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def erfc(x: Column) -> Column:
-    """Complementary error function evaluated in the JVM."""
+    """Complementary error function of a column."""
     return F.reflect(F.lit(ERF_CLASS), F.lit("erfc"), x.cast("double")).cast("double")
 
 
-def chi2_sf_dof1(stat: Column) -> Column:
+def chi2_sf_dof1_sql(stat: str) -> str:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
-    return erfc(F.sqrt(stat / F.lit(2.0)))
-
-
-def expected_counts(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column, Column]:
-    """Expected cell counts of [[a, b], [c, d]] under independence: row * col / n."""
-    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
-    r1, r2 = a + b, c + d
-    c1, c2 = a + c, b + d
-    n = (r1 + r2).cast("double")
-    return (
-        F.try_divide((r1 * c1).cast("double"), n),
-        F.try_divide((r1 * c2).cast("double"), n),
-        F.try_divide((r2 * c1).cast("double"), n),
-        F.try_divide((r2 * c2).cast("double"), n),
-    )
+    return erfc_sql(f"sqrt({stat} / 2.0D)")
 
 
-def yates_term(observed: Column, expected: Column) -> Column:
-    """One cell's contribution with the continuity correction capped at 0.5."""
-    dev = F.abs(observed.cast("double") - expected)
-    corrected = dev - F.least(F.lit(0.5), dev)
-    return F.try_divide(corrected * corrected, expected)
+CHI2_COLUMNS = (
+    "chi2",
+    "p_value",
+    "dof",
+    "expected_a_conv",
+    "expected_a_non",
+    "expected_b_conv",
+    "expected_b_non",
+)
 
 
-def chi2_2x2(a: Column, b: Column, c: Column, d: Column, yates: bool = True) -> dict[str, Column]:
-    """Statistic, p-value and expected counts of the 2x2 table [[a, b], [c, d]].
+def with_chi2_2x2(df: DataFrame, a: str, b: str, c: str, d: str, yates: bool = True) -> DataFrame:
+    """Add the test of the 2x2 table [[a, b], [c, d]] (column names) to each row.
 
-    Matches the usual contingency test with the continuity correction (dof 1).
-    All outputs are NULL when an expected count is zero (an empty row or column),
-    where the test is undefined.
+    Adds ``chi2``, ``p_value``, ``dof`` and the expected counts
+    ``expected_{a,b}_{conv,non}`` (row total * column total / n). With ``yates``
+    each cell's |observed - expected| is reduced by min(0.5, itself) (the usual
+    continuity correction at one degree of freedom). Everything is NULL when an
+    expected count is zero (an empty row or column), where the test is undefined.
+    The steps are separate projections for readability; Catalyst collapses them.
     """
-    e = expected_counts(a, b, c, d)
-    valid = (e[0] > 0) & (e[1] > 0) & (e[2] > 0) & (e[3] > 0)
+    cells = {"a": a, "b": b, "c": c, "d": d}
+    t = df.selectExpr(
+        "*",
+        *[f"CAST({col} AS BIGINT) AS _o_{k}" for k, col in cells.items()],
+    ).selectExpr(
+        "*",
+        "_o_a + _o_b AS _r1",
+        "_o_c + _o_d AS _r2",
+        "_o_a + _o_c AS _c1",
+        "_o_b + _o_d AS _c2",
+        "CAST(_o_a + _o_b + _o_c + _o_d AS DOUBLE) AS _n",
+    )
+    t = t.selectExpr(
+        "*",
+        "try_divide(CAST(_r1 * _c1 AS DOUBLE), _n) AS _e_a",
+        "try_divide(CAST(_r1 * _c2 AS DOUBLE), _n) AS _e_b",
+        "try_divide(CAST(_r2 * _c1 AS DOUBLE), _n) AS _e_c",
+        "try_divide(CAST(_r2 * _c2 AS DOUBLE), _n) AS _e_d",
+    )
+    t = t.selectExpr(
+        "*",
+        "_e_a > 0 AND _e_b > 0 AND _e_c > 0 AND _e_d > 0 AS _valid",
+        *[f"abs(CAST(_o_{k} AS DOUBLE) - _e_{k}) AS _dev_{k}" for k in cells],
+    )
     if yates:
-        terms = [yates_term(o, x) for o, x in zip((a, b, c, d), e)]
+        terms = [f"try_divide((_dev_{k} - least(0.5D, _dev_{k})) * (_dev_{k} - least(0.5D, _dev_{k})), _e_{k})" for k in cells]
     else:
-        terms = [F.try_divide((o.cast("double") - x) * (o.cast("double") - x), x) for o, x in zip((a, b, c, d), e)]
-    stat = terms[0] + terms[1] + terms[2] + terms[3]
-    stat = F.when(valid, stat)
-    return {
-        "chi2": stat,
-        "p_value": F.when(valid, chi2_sf_dof1(stat)),
-        "dof": F.when(valid, F.lit(1)),
-        "expected_a_conv": F.when(valid, e[0]),
-        "expected_a_non": F.when(valid, e[1]),
-        "expected_b_conv": F.when(valid, e[2]),
-        "expected_b_non": F.when(valid, e[3]),
-    }
+        terms = [f"try_divide(_dev_{k} * _dev_{k}, _e_{k})" for k in cells]
+    t = t.selectExpr("*", f"CASE WHEN _valid THEN {' + '.join(terms)} END AS _stat")
+    t = t.selectExpr(
+        "*",
+        "_stat AS chi2",
+        f"CASE WHEN _valid THEN {chi2_sf_dof1_sql('_stat')} END AS p_value",
+        "CASE WHEN _valid THEN 1 END AS dof",
+        "CASE WHEN _valid THEN _e_a END AS expected_a_conv",
+        "CASE WHEN _valid THEN _e_b END AS expected_a_non",
+        "CASE WHEN _valid THEN _e_c END AS expected_b_conv",
+        "CASE WHEN _valid THEN _e_d END AS expected_b_non",
+    )
+    return t.drop(*[c for c in t.columns if c.startswith("_")])

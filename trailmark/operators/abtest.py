@@ -11,21 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, relative_change_pct, sort_few
-from trailmark.functions.stats import chi2_2x2
+from trailmark.functions.rates import sort_few
+from trailmark.functions.sqlexpr import ever, lit_sql
+from trailmark.functions.stats import with_chi2_2x2
 from trailmark.schemas import AB_CONTROL, AB_CONVERSION_EVENT, AB_EXPOSURE_EVENT, AB_TREATMENT, ALPHA
 
 
 def _event_flags(events: DataFrame, exposure: str, conversion: str) -> DataFrame:
     """Per user: 0/1 exposure and conversion flags, from the two relevant events only."""
-    name = F.col("event_name")
     return (
-        events.where(name.isin(exposure, conversion) & F.col("user_id").isNotNull())
+        events.where(F.col("event_name").isin(exposure, conversion) & F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .agg(
-            F.max(flag(name == F.lit(exposure))).alias("viewed_pricing"),
-            F.max(flag(name == F.lit(conversion))).alias("converted"),
-        )
+        .agg(ever("event_name", exposure, "viewed_pricing"), ever("event_name", conversion, "converted"))
     )
 
 
@@ -92,46 +89,34 @@ def ab_test_summary_from_flags(users: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def _summarize(viewers: DataFrame) -> DataFrame:
-    return (
-        viewers.groupBy("ab_test_group")
-        .agg(
-            F.count(F.lit(1)).alias("total_users"),
-            F.sum("converted").cast("long").alias("conversions"),
-        )
-        .select(
-            "ab_test_group",
-            "total_users",
-            "conversions",
-            F.round(F.lit(100.0) * F.col("conversions") / F.col("total_users"), 2).alias("conversion_rate"),
-        )
-    ).transform(lambda df: sort_few(df, F.col("ab_test_group").asc_nulls_last()))
+    per_group = viewers.groupBy("ab_test_group").agg(
+        F.count(F.lit(1)).alias("total_users"), F.sum("converted").cast("long").alias("conversions")
+    )
+    summary = per_group.selectExpr(
+        "ab_test_group",
+        "total_users",
+        "conversions",
+        "round(100.0D * conversions / total_users, 2) AS conversion_rate",
+    )
+    return sort_few(summary, F.col("ab_test_group").asc_nulls_last())
 
 
 def _ab_wide(summary: DataFrame, control: str, treatment: str) -> DataFrame:
     """The two groups' rows of O9 side by side in one row (conditional aggregates)."""
-    g = F.col("ab_test_group")
-
-    def pick(group: str, col: str):
-        return F.max(F.when(g == F.lit(group), F.col(col)))
-
-    return summary.agg(
-        pick(control, "total_users").alias("a_total"),
-        pick(control, "conversions").alias("a_conv"),
-        pick(control, "conversion_rate").alias("a_rate"),
-        pick(treatment, "total_users").alias("b_total"),
-        pick(treatment, "conversions").alias("b_conv"),
-        pick(treatment, "conversion_rate").alias("b_rate"),
-    )
+    picks = []
+    for prefix, group in (("a", control), ("b", treatment)):
+        for col, short in (("total_users", "total"), ("conversions", "conv"), ("conversion_rate", "rate")):
+            picks.append(f"max(CASE WHEN ab_test_group = {lit_sql(group)} THEN {col} END) AS {prefix}_{short}")
+    return summary.selectExpr(*picks)
 
 
 def contingency_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
     """The 2x2 table of an O9-shaped summary as one row."""
-    w = _ab_wide(summary, control, treatment)
-    return w.select(
-        F.col("a_conv").alias("a_conversions"),
-        (F.col("a_total") - F.col("a_conv")).alias("a_non_conversions"),
-        F.col("b_conv").alias("b_conversions"),
-        (F.col("b_total") - F.col("b_conv")).alias("b_non_conversions"),
+    return _ab_wide(summary, control, treatment).selectExpr(
+        "a_conv AS a_conversions",
+        "a_total - a_conv AS a_non_conversions",
+        "b_conv AS b_conversions",
+        "b_total - b_conv AS b_non_conversions",
     )
 
 
@@ -144,33 +129,26 @@ def chi2_from_summary(
 ) -> DataFrame:
     """The chi-squared test of an O9-shaped summary (see ``ab_chi2_test``)."""
     t = contingency_from_summary(summary, control, treatment)
-    res = chi2_2x2(
-        F.col("a_conversions"),
-        F.col("a_non_conversions"),
-        F.col("b_conversions"),
-        F.col("b_non_conversions"),
-        yates=yates,
-    )
-    return t.select(
-        F.round(res["chi2"], 4).alias("chi2"),
-        F.round(res["p_value"], 4).alias("p_value"),
-        res["dof"].alias("dof"),
-        res["expected_a_conv"].alias("expected_a_conv"),
-        res["expected_a_non"].alias("expected_a_non"),
-        res["expected_b_conv"].alias("expected_b_conv"),
-        res["expected_b_non"].alias("expected_b_non"),
-        (res["p_value"] < F.lit(alpha)).alias("significant"),
+    test = with_chi2_2x2(t, "a_conversions", "a_non_conversions", "b_conversions", "b_non_conversions", yates=yates)
+    return test.selectExpr(
+        "round(chi2, 4) AS chi2",
+        "round(p_value, 4) AS p_value",
+        "dof",
+        "expected_a_conv",
+        "expected_a_non",
+        "expected_b_conv",
+        "expected_b_non",
+        f"p_value < {lit_sql(float(alpha))} AS significant",
     )
 
 
 def lift_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
     """Relative lift (%) from the 2-decimal rates of an O9-shaped summary, and lift in points."""
-    w = _ab_wide(summary, control, treatment)
-    return w.select(
-        F.col("a_rate").alias("control_rate"),
-        F.col("b_rate").alias("treatment_rate"),
-        relative_change_pct(F.col("b_rate"), F.col("a_rate")).alias("lift_pct"),
-        (F.col("b_rate") - F.col("a_rate")).alias("lift_pp"),
+    return _ab_wide(summary, control, treatment).selectExpr(
+        "a_rate AS control_rate",
+        "b_rate AS treatment_rate",
+        "try_divide(b_rate - a_rate, a_rate) * 100.0D AS lift_pct",
+        "b_rate - a_rate AS lift_pp",
     )
 
 
@@ -210,4 +188,4 @@ def ab_sample_size(
 ) -> DataFrame:
     """Exposed users across the two groups."""
     w = _ab_wide(ab_test_summary(users, events), control, treatment)
-    return w.select((F.col("a_total") + F.col("b_total")).alias("sample_size"))
+    return w.selectExpr("a_total + b_total AS sample_size")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, share_pct
+from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
 from trailmark.schemas import FUNNEL_STEPS
 
 Step = tuple[int, str, str, str]
@@ -25,9 +25,7 @@ def user_funnel_flags(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -
     Every user with any event gets a row; a NULL ``user_id`` forms its own group,
     as in SQL GROUP BY.
     """
-    return events.groupBy("user_id").agg(
-        *[F.max(flag(F.col("event_name") == F.lit(name))).alias(col) for _, _, col, name in steps]
-    )
+    return events.groupBy("user_id").agg(*[ever("event_name", name, col) for _, _, col, name in steps])
 
 
 def _funnel_totals(events: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -36,27 +34,32 @@ def _funnel_totals(events: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
 
 def _totals_from_flags(flags: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    counts = flags.agg(*[F.sum(col).cast("long").alias(f"n_{col}") for _, _, col, _ in steps])
+    """``n_<flag>``: users per step; ``r_<flag>``: their share of step 1 (1 decimal, step 1 = 100)."""
+    sums = [f"CAST(sum({col}) AS BIGINT) AS n_{col}" for _, _, col, _ in steps]
     base = f"n_{steps[0][2]}"
-    rates = [F.lit(100.0).alias(f"r_{steps[0][2]}")] + [
-        share_pct(f"n_{col}", base, 1).alias(f"r_{col}") for _, _, col, _ in steps[1:]
-    ]
-    return counts.select("*", *rates)
+    rates = [f"100.0D AS r_{steps[0][2]}"] + [f"{pct_sql(f'n_{col}', base, 1)} AS r_{col}" for _, _, col, _ in steps[1:]]
+    return flags.selectExpr(*sums).selectExpr("*", *rates)
 
 
 def _step_rows(wide: DataFrame, steps: Sequence[Step], fields) -> DataFrame:
-    """Explode the single wide row into one row per step."""
-    structs = [
-        F.struct(*[expr(i, step).alias(name) for name, expr in fields]) for i, step in enumerate(steps)
-    ]
-    return wide.select(F.inline(F.array(*structs)))
+    """Unpivot the single wide row into one row per step; ``fields`` are (name, SQL per step)."""
+    rows = [[expr(i, step) for _, expr in fields] for i, step in enumerate(steps)]
+    return stack_rows(wide, rows, [name for name, _ in fields])
 
 
-def _dropoff(steps: Sequence[Step], i: int):
+def _dropoff(steps: Sequence[Step], i: int) -> str:
     """drop_off_rate of step i: 100 - next step's share of sign-ups; 0 for the last step."""
     if i + 1 >= len(steps):
-        return F.lit(0.0)
-    return F.coalesce(F.lit(100.0) - F.col(f"r_{steps[i + 1][2]}"), F.lit(0.0))
+        return "0.0D"
+    return f"coalesce(100.0D - r_{steps[i + 1][2]}, 0.0D)"
+
+
+STEP_FIELDS = [
+    ("funnel_step", lambda i, s: lit_sql(s[1])),
+    ("step_number", lambda i, s: lit_sql(s[0])),
+    ("user_count", lambda i, s: f"n_{s[2]}"),
+    ("conversion_rate", lambda i, s: f"r_{s[2]}"),
+]
 
 
 def funnel_steps(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
@@ -66,17 +69,7 @@ def funnel_steps(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> Dat
 
 def funnel_steps_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O2 from an O1-shaped table of per-user flags (one row per user)."""
-    wide = _totals_from_flags(flags, steps)
-    return _step_rows(
-        wide,
-        steps,
-        [
-            ("funnel_step", lambda i, s: F.lit(s[1])),
-            ("step_number", lambda i, s: F.lit(s[0])),
-            ("user_count", lambda i, s: F.col(f"n_{s[2]}")),
-            ("conversion_rate", lambda i, s: F.col(f"r_{s[2]}")),
-        ],
-    )
+    return _step_rows(_totals_from_flags(flags, steps), steps, STEP_FIELDS)
 
 
 def funnel_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
@@ -90,18 +83,8 @@ def funnel_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> D
 
 def funnel_dropoff_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O3 from an O1-shaped table of per-user flags."""
-    wide = _totals_from_flags(flags, steps)
-    return _step_rows(
-        wide,
-        steps,
-        [
-            ("funnel_step", lambda i, s: F.lit(s[1])),
-            ("step_number", lambda i, s: F.lit(s[0])),
-            ("user_count", lambda i, s: F.col(f"n_{s[2]}")),
-            ("conversion_rate", lambda i, s: F.col(f"r_{s[2]}")),
-            ("drop_off_rate", lambda i, s: _dropoff(steps, i)),
-        ],
-    )
+    fields = STEP_FIELDS + [("drop_off_rate", lambda i, s: _dropoff(steps, i))]
+    return _step_rows(_totals_from_flags(flags, steps), steps, fields)
 
 
 def funnel_biggest_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
@@ -125,15 +108,14 @@ def funnel_kpis(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> Data
     2, 3 and the last step.
     """
     s1, s2, s3, last = steps[0][2], steps[1][2], steps[2][2], steps[-1][2]
-    wide = _funnel_totals(events, steps)
-    return wide.select(
-        F.col(f"n_{s1}").alias("signed_up_users"),
-        F.col(f"n_{s2}").alias("activated_users"),
-        F.col(f"r_{s2}").alias("activation_rate"),
-        F.col(f"n_{s3}").alias("invited_users"),
-        F.col(f"r_{s3}").alias("invite_rate"),
-        F.col(f"n_{last}").alias("converted_users"),
-        F.col(f"r_{last}").alias("overall_conversion_rate"),
+    return _funnel_totals(events, steps).selectExpr(
+        f"n_{s1} AS signed_up_users",
+        f"n_{s2} AS activated_users",
+        f"r_{s2} AS activation_rate",
+        f"n_{s3} AS invited_users",
+        f"r_{s3} AS invite_rate",
+        f"n_{last} AS converted_users",
+        f"r_{last} AS overall_conversion_rate",
     )
 
 
@@ -143,28 +125,27 @@ def funnel_step_over_step(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEP
     ``step_conversion = round(100 * n_k / n_(k-1), 1)``, ``step_dropoff = round(100 - that, 1)``;
     one row per transition (steps 2..last), NULL when the previous step has no users.
     """
-    wide = _funnel_totals(events, steps)
     rows = []
     for prev, cur in zip(steps, steps[1:]):
-        exact = share_pct(f"n_{cur[2]}", f"n_{prev[2]}")
+        exact = pct_sql(f"n_{cur[2]}", f"n_{prev[2]}")
         rows.append(
-            F.struct(
-                F.lit(cur[0]).alias("step_number"),
-                F.lit(cur[1]).alias("funnel_step"),
-                F.col(f"n_{prev[2]}").alias("previous_count"),
-                F.col(f"n_{cur[2]}").alias("user_count"),
-                F.round(exact, 1).alias("step_conversion"),
-                F.round(F.lit(100.0) - exact, 1).alias("step_dropoff"),
-            )
+            [
+                lit_sql(cur[0]),
+                lit_sql(cur[1]),
+                f"n_{prev[2]}",
+                f"n_{cur[2]}",
+                f"round({exact}, 1)",
+                f"round(100.0D - {exact}, 1)",
+            ]
         )
-    return wide.select(F.inline(F.array(*rows)))
+    names = ["step_number", "funnel_step", "previous_count", "user_count", "step_conversion", "step_dropoff"]
+    return stack_rows(_funnel_totals(events, steps), rows, names)
 
 
 def funnel_share_of_active(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS, step: int = 2) -> DataFrame:
     """Users reaching ``step`` over all users with any event (1 decimal)."""
     col = steps[step - 1][2]
-    flags = user_funnel_flags(events, steps)
-    return flags.agg(
-        F.sum(col).cast("long").alias(f"users_{col}"),
-        share_pct(F.sum(col), F.count(F.lit(1)), 1).alias("conversion_rate"),
+    return user_funnel_flags(events, steps).selectExpr(
+        f"CAST(sum({col}) AS BIGINT) AS users_{col}",
+        f"{pct_sql(f'sum({col})', 'count(1)', 1)} AS conversion_rate",
     )

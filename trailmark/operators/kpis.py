@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, ratio_pct, sort_few
+from trailmark.functions.rates import sort_few
+from trailmark.functions.sqlexpr import ever, lit_sql, ratio_sql
 from trailmark.schemas import (
     AB_CONTROL,
     AB_TREATMENT,
@@ -22,9 +23,17 @@ from trailmark.schemas import (
 )
 
 
-def _total(col: str):
+def _total(col: str) -> str:
     """Sum of a 0/1 column that is 0 (not NULL) over empty input, like a row count."""
-    return F.coalesce(F.sum(col).cast("long"), F.lit(0).cast("long"))
+    return f"coalesce(CAST(sum({col}) AS BIGINT), 0L) AS {col}"
+
+
+def _union_totals(*parts: DataFrame) -> DataFrame:
+    """One aggregate over the union of same-shaped narrow projections."""
+    combined = parts[0]
+    for p in parts[1:]:
+        combined = combined.unionByName(p)
+    return combined
 
 
 def kpi_totals(users: DataFrame, events: DataFrame, conversion_event: str = UPGRADED_PLAN) -> DataFrame:
@@ -33,18 +42,14 @@ def kpi_totals(users: DataFrame, events: DataFrame, conversion_event: str = UPGR
     The conversion rate counts *events*, not distinct users (a user who upgraded
     twice counts twice), as the overview does.
     """
-    u = users.select(F.lit(1).alias("u"), F.lit(0).alias("e"), F.lit(0).alias("c"))
-    e = events.select(
-        F.lit(0).alias("u"),
-        F.lit(1).alias("e"),
-        flag(F.col("event_name") == F.lit(conversion_event)).alias("c"),
-    )
-    t = u.unionByName(e).agg(
-        _total("u").alias("total_users"),
-        _total("e").alias("total_events"),
-        _total("c").alias("conversion_events"),
+    u = users.selectExpr("1 AS total_users", "0 AS total_events", "0 AS conversion_events")
+    e = events.selectExpr(
+        "0 AS total_users",
+        "1 AS total_events",
+        f"CASE WHEN event_name = {lit_sql(conversion_event)} THEN 1 ELSE 0 END AS conversion_events",
     )
-    return t.select("*", ratio_pct("conversion_events", "total_users").alias("conversion_rate"))
+    t = _union_totals(u, e).selectExpr(*[_total(c) for c in ("total_users", "total_events", "conversion_events")])
+    return t.selectExpr("*", f"{ratio_sql('conversion_events', 'total_users')} AS conversion_rate")
 
 
 def kpi_overview(
@@ -59,34 +64,29 @@ def kpi_overview(
     Users are the event log's non-NULL ids; per-user flags are combined map-side,
     then everything lands in one aggregate together with the users count.
     """
-    name = F.col("event_name")
+    cols = ("total_users", "activated_users", "invited_users", "converted_events")
     per_user = (
         events.where(F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .agg(
-            F.max(flag(name == F.lit(activation_event))).alias("a"),
-            F.max(flag(name == F.lit(invite_event))).alias("i"),
-        )
-        .select(F.lit(0).alias("u"), "a", "i", F.lit(0).alias("c"))
+        .agg(ever("event_name", activation_event, "activated_users"), ever("event_name", invite_event, "invited_users"))
+        .selectExpr("0 AS total_users", "activated_users", "invited_users", "0 AS converted_events")
     )
-    conversions = events.select(
-        F.lit(0).alias("u"), F.lit(0).alias("a"), F.lit(0).alias("i"), flag(name == F.lit(conversion_event)).alias("c")
+    conversions = events.selectExpr(
+        "0 AS total_users",
+        "0 AS activated_users",
+        "0 AS invited_users",
+        f"CASE WHEN event_name = {lit_sql(conversion_event)} THEN 1 ELSE 0 END AS converted_events",
     )
-    total = users.select(F.lit(1).alias("u"), F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("c"))
-    t = total.unionByName(per_user).unionByName(conversions).agg(
-        _total("u").alias("total_users"),
-        _total("a").alias("activated_users"),
-        _total("i").alias("invited_users"),
-        _total("c").alias("converted_events"),
-    )
-    return t.select(
+    total = users.selectExpr("1 AS total_users", "0 AS activated_users", "0 AS invited_users", "0 AS converted_events")
+    t = _union_totals(total, per_user, conversions).selectExpr(*[_total(c) for c in cols])
+    return t.selectExpr(
         "total_users",
         "activated_users",
-        ratio_pct("activated_users", "total_users").alias("activated_pct"),
+        f"{ratio_sql('activated_users', 'total_users')} AS activated_pct",
         "invited_users",
-        ratio_pct("invited_users", "total_users").alias("invited_pct"),
+        f"{ratio_sql('invited_users', 'total_users')} AS invited_pct",
         "converted_events",
-        ratio_pct("converted_events", "total_users").alias("converted_pct"),
+        f"{ratio_sql('converted_events', 'total_users')} AS converted_pct",
     )
 
 
@@ -175,32 +175,29 @@ def event_types(events: DataFrame) -> DataFrame:
 
 def dataset_summary(users: DataFrame, events: DataFrame) -> DataFrame:
     """Users by plan and by group, total events, and the sign-up date range, in one row."""
-    plan, group = F.col("plan_type"), F.col("ab_test_group")
-    u = users.select(
-        F.lit(1).alias("u"),
-        flag(plan == F.lit("Free")).alias("free"),
-        flag(plan == F.lit("Paid")).alias("paid"),
-        flag(group == F.lit(AB_CONTROL)).alias("ga"),
-        flag(group == F.lit(AB_TREATMENT)).alias("gb"),
-        F.lit(0).alias("e"),
-        F.col("sign_up_date").cast("date").alias("d"),
+
+    def is_(col: str, value: str) -> str:
+        return f"CASE WHEN {col} = {lit_sql(value)} THEN 1 ELSE 0 END"
+
+    u = users.selectExpr(
+        "1 AS total_users",
+        f"{is_('plan_type', 'Free')} AS free_users",
+        f"{is_('plan_type', 'Paid')} AS paid_users",
+        f"{is_('ab_test_group', AB_CONTROL)} AS group_a_users",
+        f"{is_('ab_test_group', AB_TREATMENT)} AS group_b_users",
+        "0 AS total_events",
+        "CAST(sign_up_date AS DATE) AS d",
     )
-    e = events.select(
-        F.lit(0).alias("u"),
-        F.lit(0).alias("free"),
-        F.lit(0).alias("paid"),
-        F.lit(0).alias("ga"),
-        F.lit(0).alias("gb"),
-        F.lit(1).alias("e"),
-        F.lit(None).cast("date").alias("d"),
+    e = events.selectExpr(
+        "0 AS total_users",
+        "0 AS free_users",
+        "0 AS paid_users",
+        "0 AS group_a_users",
+        "0 AS group_b_users",
+        "1 AS total_events",
+        "CAST(NULL AS DATE) AS d",
     )
-    return u.unionByName(e).agg(
-        _total("u").alias("total_users"),
-        _total("free").alias("free_users"),
-        _total("paid").alias("paid_users"),
-        _total("ga").alias("group_a_users"),
-        _total("gb").alias("group_b_users"),
-        _total("e").alias("total_events"),
-        F.min("d").alias("first_sign_up"),
-        F.max("d").alias("last_sign_up"),
+    counts = ("total_users", "free_users", "paid_users", "group_a_users", "group_b_users", "total_events")
+    return _union_totals(u, e).selectExpr(
+        *[_total(c) for c in counts], "min(d) AS first_sign_up", "max(d) AS last_sign_up"
     )

@@ -18,7 +18,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import flag, share_pct, sort_few
+from trailmark.functions.rates import sort_few
+from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
 from trailmark.schemas import (
     ACTIVITY_EVENT,
     BASELINE_COHORT,
@@ -112,9 +113,7 @@ def user_retention_flags(
     the cohort's base.
     """
     active = _active_offsets(users, events, labeler, activity_event)
-    return active.groupBy("cohort", "user_id").agg(
-        *[F.max(flag(F.col("offset") == F.lit(d))).alias(f"day_{d}") for d in days]
-    )
+    return active.groupBy("cohort", "user_id").agg(*[ever("offset", d, f"day_{d}") for d in days])
 
 
 def cohort_retention(
@@ -130,14 +129,9 @@ def cohort_retention(
     non-NULL user, so it equals the distinct user count without a distinct aggregate.
     """
     flags = user_retention_flags(users, events, labeler, days, activity_event)
-    size = F.count(F.lit(1))
-    return (
-        flags.groupBy("cohort")
-        .agg(
-            size.alias("cohort_size"),
-            *[share_pct(F.sum(f"day_{d}"), size, 1).alias(f"day_{d}_retention") for d in days],
-        )
-    ).transform(lambda df: sort_few(df, F.col("cohort").asc_nulls_last()))
+    rates = [F.expr(pct_sql(f"sum(day_{d})", "count(1)", 1)).alias(f"day_{d}_retention") for d in days]
+    per_cohort = flags.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"), *rates)
+    return sort_few(per_cohort, F.col("cohort").asc_nulls_last())
 
 
 def retention_matrix(
@@ -148,7 +142,7 @@ def retention_matrix(
 ) -> DataFrame:
     """Cohort x day matrix of retention rates (``cohort, day_1, day_7, ...``)."""
     r = cohort_retention(users, events, labeler, days)
-    return r.select("cohort", *[F.col(f"day_{d}_retention").alias(f"day_{d}") for d in days])
+    return r.selectExpr("cohort", *[f"day_{d}_retention AS day_{d}" for d in days])
 
 
 def retention_curve(
@@ -159,21 +153,18 @@ def retention_curve(
 ) -> DataFrame:
     """Long form ``cohort, day, retention``: one curve per cohort."""
     r = cohort_retention(users, events, labeler, days)
-    points = F.array(
-        *[F.struct(F.lit(d).alias("day"), F.col(f"day_{d}_retention").alias("retention")) for d in days]
-    )
-    return r.select("cohort", F.inline(points))
+    rows = [["cohort", lit_sql(d), f"day_{d}_retention"] for d in days]
+    return stack_rows(r, rows, ["cohort", "day", "retention"])
 
 
 def _two_cohorts(r: DataFrame, baseline: str, comparison: str, days: Sequence[int]) -> DataFrame:
     """Baseline and comparison cohorts' rates side by side in one row."""
-    c = F.col("cohort")
     cols = []
     for d in days:
         col = f"day_{d}_retention"
-        cols.append(F.max(F.when(c == F.lit(baseline), F.col(col))).alias(f"base_{d}"))
-        cols.append(F.max(F.when(c == F.lit(comparison), F.col(col))).alias(f"comp_{d}"))
-    return r.agg(*cols)
+        cols.append(f"max(CASE WHEN cohort = {lit_sql(baseline)} THEN {col} END) AS base_{d}")
+        cols.append(f"max(CASE WHEN cohort = {lit_sql(comparison)} THEN {col} END) AS comp_{d}")
+    return r.selectExpr(*cols)
 
 
 def retention_improvement(
@@ -192,10 +183,7 @@ def improvement_from_retention(
 ) -> DataFrame:
     """O20 from an O17-shaped result (one row per cohort)."""
     w = _two_cohorts(r, baseline, comparison, (1, 7))
-    return w.select(
-        (F.col("comp_7") - F.col("base_7")).alias("day_7_improvement"),
-        (F.col("comp_1") - F.col("base_1")).alias("day_1_improvement"),
-    )
+    return w.selectExpr("comp_7 - base_7 AS day_7_improvement", "comp_1 - base_1 AS day_1_improvement")
 
 
 def retention_comparison(
@@ -215,19 +203,19 @@ def retention_comparison(
     w = _two_cohorts(r, baseline, comparison, days)
     rows = []
     for d in days:
-        base, comp = F.col(f"base_{d}"), F.col(f"comp_{d}")
-        improvement = comp - base
+        base, comp = f"base_{d}", f"comp_{d}"
         rows.append(
-            F.struct(
-                F.lit(f"Day {d}").alias("period"),
-                F.lit(d).alias("day"),
-                base.alias("before_rate"),
-                comp.alias("after_rate"),
-                improvement.alias("improvement"),
-                F.bround(F.try_divide(improvement, base) * F.lit(100.0), 1).alias("relative_change"),
-            )
+            [
+                lit_sql(f"Day {d}"),
+                lit_sql(d),
+                base,
+                comp,
+                f"{comp} - {base}",
+                f"bround(try_divide({comp} - {base}, {base}) * 100.0D, 1)",
+            ]
         )
-    return w.select(F.inline(F.array(*rows)))
+    names = ["period", "day", "before_rate", "after_rate", "improvement", "relative_change"]
+    return stack_rows(w, rows, names)
 
 
 def retention_ratio_doc(
