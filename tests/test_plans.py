@@ -63,7 +63,30 @@ def test_kpis_do_not_join(spark):
 
 
 def test_retention_pre_aggregates_activity_before_join(spark):
-    o = optimized(queries()["cohort_retention"](spark, SF["0.001"]))
+    from trailmark.sources.fixtures import load_mapping_a, split_cohorts
+
+    users, events = load_mapping_a(spark, SF["0.001"])
+    df = retention.cohort_retention(users, events, split_cohorts(), strategy="pre_aggregate")
+    o = optimized(df)
     # the activity side of the join is an aggregate on (user_id, activity_date)
     join_at = o.index("Join Inner")
     assert "Aggregate [user_id" in o[join_at:]
+
+
+def test_retention_strategy_choice_is_size_checked(spark):
+    from trailmark.session import broadcastable
+    from trailmark.sources.fixtures import load_mapping_b
+
+    users, events = load_mapping_b(spark, SF["0.001"])
+    assert broadcastable(retention.user_cohorts(users))
+    df = retention.cohort_retention(users, events)  # auto -> join_first for a small users side
+    p = plan(df)
+    assert "BroadcastHashJoin" in p
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not broadcastable(retention.user_cohorts(users))
+        o = optimized(retention.cohort_retention(users, events))
+        assert "Aggregate [user_id" in o[o.index("Join Inner"):]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -4,11 +4,14 @@ Retention base (as in the analysis this mirrors): users of a cohort with at leas
 one activity event, at any offset. A user counts as retained on day N when an
 activity event falls on calendar day ``sign_up_date + N``.
 
-Plan shape for the rates: activity events are first reduced to distinct
-(user, activity date) pairs with an event count, combined map-side, so a user
-with a third of all events becomes a few hundred rows at most; only that
-reduced set is joined to users. The per-(cohort, user) flags then reuse the
-join's ``user_id`` partitioning, and the per-cohort aggregate is tiny.
+Plan shape for the rates: at scale, activity events are first reduced to
+distinct (user, activity date) pairs with an event count, combined map-side, so
+a user with a third of all events becomes a few hundred rows at most; only that
+reduced set is joined to users, and the per-(cohort, user) flags reuse the
+join's ``user_id`` partitioning. When the users side is within the broadcast
+threshold (size-checked on Catalyst's estimate), activity rows are joined to
+it without any shuffle and combined map-side per (cohort, user) instead. The
+per-cohort aggregate is tiny either way.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.rates import sort_few
 from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
+from trailmark.session import broadcastable
 from trailmark.schemas import (
     ACTIVITY_EVENT,
     BASELINE_COHORT,
@@ -89,10 +93,30 @@ def activity_days(events: DataFrame, activity_event: str = ACTIVITY_EVENT) -> Da
     )
 
 
-def _active_offsets(users: DataFrame, events: DataFrame, labeler: Labeler | None, activity_event: str) -> DataFrame:
+def _active_offsets(
+    users: DataFrame, events: DataFrame, labeler: Labeler | None, activity_event: str, strategy: str = "auto"
+) -> DataFrame:
+    """(cohort, user_id, n_events, offset) rows of every cohort user's activity.
+
+    ``pre_aggregate``: activity is reduced to (user, date) counts before the join,
+    so a hot user is a few rows per day before any shuffle; the default at scale.
+    ``join_first``: activity rows meet a broadcast users side without any shuffle
+    and the per-(cohort, user) aggregate that follows combines them map-side;
+    cheaper when users are small. ``auto`` picks ``join_first`` only when the
+    users side's size estimate is within the broadcast threshold.
+    """
     cohorts = user_cohorts(users, labeler)
-    days = activity_days(events, activity_event)
-    return cohorts.join(days, "user_id", "inner").select(
+    if strategy == "auto":
+        strategy = "join_first" if broadcastable(cohorts) else "pre_aggregate"
+    if strategy == "join_first":
+        acts = events.where(
+            (F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull()
+        ).select("user_id", F.to_date("event_timestamp").alias("activity_date"), F.lit(1).alias("n_events"))
+    elif strategy == "pre_aggregate":
+        acts = activity_days(events, activity_event)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return cohorts.join(acts, "user_id", "inner").select(
         "cohort",
         "user_id",
         "n_events",
@@ -106,13 +130,14 @@ def user_retention_flags(
     labeler: Labeler | None = None,
     days: Sequence[int] = RETENTION_DAYS,
     activity_event: str = ACTIVITY_EVENT,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Per (cohort, user): 0/1 active on exactly day N for each N in ``days``.
 
     Offsets are not filtered before grouping: any activity makes a user part of
-    the cohort's base.
+    the cohort's base. ``strategy``: see ``_active_offsets``.
     """
-    active = _active_offsets(users, events, labeler, activity_event)
+    active = _active_offsets(users, events, labeler, activity_event, strategy)
     return active.groupBy("cohort", "user_id").agg(*[ever("offset", d, f"day_{d}") for d in days])
 
 
@@ -122,13 +147,14 @@ def cohort_retention(
     labeler: Labeler | None = None,
     days: Sequence[int] = RETENTION_DAYS,
     activity_event: str = ACTIVITY_EVENT,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Per cohort: active users and % retained on each day (1 decimal), by label.
 
     ``cohort_size`` counts rows of O16, which are unique per (cohort, user) with a
     non-NULL user, so it equals the distinct user count without a distinct aggregate.
     """
-    flags = user_retention_flags(users, events, labeler, days, activity_event)
+    flags = user_retention_flags(users, events, labeler, days, activity_event, strategy)
     rates = [F.expr(pct_sql(f"sum(day_{d})", "count(1)", 1)).alias(f"day_{d}_retention") for d in days]
     per_cohort = flags.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"), *rates)
     return sort_few(per_cohort, F.col("cohort").asc_nulls_last())
@@ -224,13 +250,14 @@ def retention_ratio_doc(
     labeler: Labeler | None = None,
     day: int = 7,
     activity_event: str = ACTIVITY_EVENT,
+    strategy: str = "auto",
 ) -> DataFrame:
     """D3: per cohort, day-``day`` activity *events* over distinct active users (a fraction).
 
     Computed from the per-(user, date) event counts, so the event-level rows are
     never materialised.
     """
-    active = _active_offsets(users, events, labeler, activity_event)
+    active = _active_offsets(users, events, labeler, activity_event, strategy)
     return active.groupBy("cohort").agg(
         (
             F.sum(F.when(F.col("offset") == F.lit(day), F.col("n_events")))
