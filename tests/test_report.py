@@ -3,7 +3,8 @@ from __future__ import annotations
 from conftest import SF, rows
 
 from __spark_entry__ import queries
-from trailmark.plans.report import executive_summary, side_by_side
+from trailmark.functions.frames import side_by_side
+from trailmark.plans.report import executive_summary
 from trailmark.sources.fixtures import load_mapping_a, split_cohorts
 
 

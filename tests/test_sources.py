@@ -86,3 +86,22 @@ def test_mapping_b_shapes(spark):
     users, events = fixtures.load_mapping_b(spark, SF["0.001"])
     assert users.count() == 150
     assert events.count() == 6000
+
+
+def test_command_line_run(spark, tmp_path):
+    from trailmark.__main__ import main
+
+    users, events = fixtures.load_mapping_a(spark, SF["0.001"])
+    csvio.write_csv(users, str(tmp_path / "users"))
+    csvio.write_csv(events, str(tmp_path / "events"))
+    out = tmp_path / "out"
+    assert main(
+        ["--users", str(tmp_path / "users"), "--events", str(tmp_path / "events"), "--out", str(out), "--split", "2024-01-03"],
+        spark=spark,
+    ) == 0
+    funnel_rows = spark.read.option("header", True).option("inferSchema", True).csv(str(out / "funnel"))
+    assert sorted(r.user_count for r in funnel_rows.collect()) == [7, 7, 11, 12, 15]
+    summary = spark.read.option("header", True).csv(str(out / "summary")).first()
+    assert summary.p_value == "1.0" and summary.biggest_dropoff_step == "Step 2: Created Project"  # ties step 4 at 53.3
+    ret = {r.cohort: r.cohort_size for r in spark.read.option("header", True).csv(str(out / "cohort_retention")).collect()}
+    assert ret == {"before": "9", "after": "6"}

@@ -1,18 +1,16 @@
-"""Column-level helpers: rates, flags, SQL-expression shapes and statistics (all JVM-side)."""
+"""Column and DataFrame helpers: SQL-expression shapes, statistics, small-result shaping (all JVM-side)."""
 
-from trailmark.functions.rates import flag, ratio_pct, relative_change_pct, share_pct, sort_few
-from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
+from trailmark.functions.frames import side_by_side, sort_few
+from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, ratio_sql, stack_rows
 from trailmark.functions.stats import erfc, with_chi2_2x2
 
 __all__ = [
     "erfc",
     "ever",
-    "flag",
     "lit_sql",
     "pct_sql",
-    "ratio_pct",
-    "relative_change_pct",
-    "share_pct",
+    "ratio_sql",
+    "side_by_side",
     "sort_few",
     "stack_rows",
     "with_chi2_2x2",

@@ -28,17 +28,6 @@ def chi2_sf_dof1_sql(stat: str) -> str:
     return erfc_sql(f"sqrt({stat} / 2.0D)")
 
 
-CHI2_COLUMNS = (
-    "chi2",
-    "p_value",
-    "dof",
-    "expected_a_conv",
-    "expected_a_non",
-    "expected_b_conv",
-    "expected_b_non",
-)
-
-
 def with_chi2_2x2(df: DataFrame, a: str, b: str, c: str, d: str, yates: bool = True) -> DataFrame:
     """Add the test of the 2x2 table [[a, b], [c, d]] (column names) to each row.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import sort_few
+from trailmark.functions.frames import sort_few
 from trailmark.functions.sqlexpr import ever, lit_sql
 from trailmark.functions.stats import with_chi2_2x2
 from trailmark.schemas import AB_CONTROL, AB_CONVERSION_EVENT, AB_EXPOSURE_EVENT, AB_TREATMENT, ALPHA

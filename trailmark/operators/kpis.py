@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import sort_few
+from trailmark.functions.frames import sort_few
 from trailmark.functions.sqlexpr import ever, lit_sql, ratio_sql
 from trailmark.schemas import (
     AB_CONTROL,

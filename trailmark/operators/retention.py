@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.rates import sort_few
+from trailmark.functions.frames import sort_few
 from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
 from trailmark.session import broadcastable
 from trailmark.schemas import (

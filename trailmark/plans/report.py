@@ -14,20 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.frames import side_by_side
 from trailmark.operators import abtest, funnel, retention
 from trailmark.operators.retention import Labeler
 from trailmark.schemas import ALPHA, BASELINE_COHORT, COMPARISON_COHORT
 from trailmark.session import materialize as checkpoint_df
 
 
-def side_by_side(*parts: DataFrame) -> DataFrame:
-    """Combine single-row frames with distinct columns into one row, without a join."""
-    combined = parts[0]
-    for p in parts[1:]:
-        combined = combined.unionByName(p, allowMissingColumns=True)
-    return combined.agg(*[F.max(c).alias(c) for c in combined.columns])
-
-
 def executive_summary(
     users: DataFrame,
     events: DataFrame,
