@@ -48,3 +48,23 @@ def test_query_matches_oracle_sf001(spark, name):
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(
         [c[0] for c in res.description], res.fetchall()
     )[0]
+
+
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
+def test_result_types_match_oracle(spark, con):
+    for name, q in queries().items():
+        df = q(spark, SF["0.001"])
+        rel = con.sql(oracle_sql()[name])
+        spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+        duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        assert spark_types == duck_types, name
