@@ -7,6 +7,7 @@ partition), never as a join of the two tables.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -139,12 +140,13 @@ def users_filtered(
 
 
 def parse_user_id(text: str | None) -> int | None:
-    """The optional user-id filter: an integer if the text parses as one, else ignored."""
+    """The optional user-id filter: an integer if the text parses as one, else ignored (with a warning)."""
     if not text:
         return None
     try:
         return int(text)
     except ValueError:
+        warnings.warn(f"user id filter {text!r} is not an integer; ignored", stacklevel=3)
         return None
 
 
@@ -169,8 +171,9 @@ def events_filtered(
 
 
 def event_types(events: DataFrame) -> DataFrame:
-    """Distinct event types."""
-    return events.select("event_name").distinct()
+    """Distinct event types (NULL included), in order of first appearance in the log."""
+    first_seen = events.groupBy("event_name").agg(F.min("event_id").alias("first_event_id"))
+    return sort_few(first_seen, F.col("first_event_id").asc_nulls_last(), "event_name").select("event_name")
 
 
 def dataset_summary(users: DataFrame, events: DataFrame) -> DataFrame:
