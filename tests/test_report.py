@@ -36,3 +36,24 @@ def test_summary_consistent_with_parts(spark):
     (imp,) = q["retention_improvement"](spark, d).collect()
     assert s.lift_pct == lift.lift_pct
     assert (s.day_7_improvement, s.day_1_improvement) == (imp.day_7_improvement, imp.day_1_improvement)
+
+
+def test_materialized_report_never_rereads_events(spark, make_users, make_events):
+    from trailmark.plans.report import analysis_tables
+    from trailmark.operators.retention import date_split_cohorts
+    import datetime as dt
+
+    users = make_users([(1, dt.date(2024, 1, 1), "Free", "A"), (2, dt.date(2024, 1, 5), "Paid", "B")])
+    events = make_events(
+        [
+            (1, "2024-01-01 00:00:00", "signed_up"),
+            (1, "2024-01-02 00:00:00", "used_feature_X"),
+            (2, "2024-01-05 00:00:00", "viewed_pricing_page"),
+            (2, "2024-01-05 01:00:00", "upgraded_plan"),
+        ]
+    )
+    tables = analysis_tables(users, events, date_split_cohorts(dt.date(2024, 1, 3)), "before", "after", materialize=True)
+    for name, df in tables.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "event_name" not in plan, name
+        assert df.count() >= 1

@@ -15,12 +15,11 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.operators import abtest, funnel, retention
-from trailmark.plans.report import executive_summary
+from trailmark.plans.report import analysis_tables
 from trailmark.schemas import BASELINE_COHORT, COMPARISON_COHORT
 from trailmark.session import build_session
 from trailmark.sources.csv import read_events, read_users, write_csv
-from trailmark.sources.fixtures import split_cohorts
+from trailmark.operators.retention import date_split_cohorts
 
 
 def analysis(
@@ -31,18 +30,10 @@ def analysis(
 ) -> dict[str, DataFrame]:
     """The report's result tables. Cohorts are sign-up months, or before / after ``split``."""
     if split is not None:
-        labeler, baseline, comparison = split_cohorts(split), "before", "after"
+        labeler, baseline, comparison = date_split_cohorts(split), "before", "after"
     else:
         labeler, baseline, comparison = None, BASELINE_COHORT, COMPARISON_COHORT
-    return {
-        "funnel": funnel.funnel_dropoff(events),
-        "ab_test_summary": abtest.ab_test_summary(users, events),
-        "ab_chi2_test": abtest.ab_chi2_test(users, events),
-        "ab_lift": abtest.ab_lift(users, events),
-        "cohort_retention": retention.cohort_retention(users, events, labeler),
-        "retention_comparison": retention.retention_comparison(users, events, labeler, baseline, comparison),
-        "summary": executive_summary(users, events, labeler, baseline, comparison, materialize=materialize),
-    }
+    return analysis_tables(users, events, labeler, baseline, comparison, materialize=materialize)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

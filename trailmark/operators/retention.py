@@ -16,6 +16,7 @@ per-cohort aggregate is tiny either way.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,15 @@ def month_cohorts(months: Sequence[tuple[int, str]] = MONTH_COHORTS) -> Labeler:
     return label
 
 
+def date_split_cohorts(split: dt.date, before: str = "before", after: str = "after") -> Labeler:
+    """Label sign-ups before ``split`` vs. on / after it (NULL dates stay NULL)."""
+
+    def label(sign_up_date: Column) -> Column:
+        return F.when(sign_up_date < F.lit(split), F.lit(before)).when(sign_up_date >= F.lit(split), F.lit(after))
+
+    return label
+
+
 def user_cohorts(users: DataFrame, labeler: Labeler | None = None) -> DataFrame:
     """``user_id, sign_up_date, cohort``."""
     labeler = labeler or month_cohorts()
@@ -225,7 +235,16 @@ def retention_comparison(
     ``relative_change = improvement / before_rate * 100`` rounded half-to-even to
     1 decimal; NULL when the baseline rate is 0.
     """
-    r = cohort_retention(users, events, labeler, days)
+    return comparison_from_retention(cohort_retention(users, events, labeler, days), baseline, comparison, days)
+
+
+def comparison_from_retention(
+    r: DataFrame,
+    baseline: str = BASELINE_COHORT,
+    comparison: str = COMPARISON_COHORT,
+    days: Sequence[int] = RETENTION_DAYS,
+) -> DataFrame:
+    """O21 from an O17-shaped result (one row per cohort)."""
     w = _two_cohorts(r, baseline, comparison, days)
     rows = []
     for d in days:

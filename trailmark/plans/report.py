@@ -1,12 +1,12 @@
-"""The analysis report: funnel, A/B test and retention headline numbers in one plan.
+"""The analysis report: funnel, A/B test and retention results from shared intermediates.
 
 The funnel and the A/B test both need per-user flags; the report computes them
 once (one scan and one ``user_id`` shuffle of the event log) and feeds both.
-With ``materialize=True`` that per-user table is checkpointed to
-``spark.checkpoint.dir`` first, so the three analyses (and anything else built
-on it) never go back to the raw events, and a lost executor never forces
-recomputation from them. Single-row parts are put side by side with a union and
-one aggregate, not with joins.
+Retention needs one more pass. Every other output is derived from these small
+intermediates. With ``materialize=True`` the intermediates are checkpointed to
+``spark.checkpoint.dir``, so the outputs never go back to the raw events and a
+lost executor never forces recomputation from them. Single-row parts are put
+side by side with a union and one aggregate, not with joins.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from trailmark.schemas import ALPHA, BASELINE_COHORT, COMPARISON_COHORT
 from trailmark.session import materialize as checkpoint_df
 
 
-def executive_summary(
+def analysis_tables(
     users: DataFrame,
     events: DataFrame,
     labeler: Labeler | None = None,
@@ -29,34 +29,60 @@ def executive_summary(
     comparison: str = COMPARISON_COHORT,
     alpha: float = ALPHA,
     materialize: bool = False,
-) -> DataFrame:
-    """One row: biggest drop-off (step, rate), invite and overall conversion rates,
-    A/B lift and p-value with its significance, and the comparison cohort's day-7 /
-    day-1 retention change against the baseline cohort."""
-    flags = funnel.user_funnel_flags(events)
-    if materialize:
-        flags = checkpoint_df(flags)
+) -> dict[str, DataFrame]:
+    """All report outputs, sharing two passes over the event log.
+
+    ``funnel`` (O3), ``ab_test_summary`` (O9), ``ab_chi2_test`` (O11), ``ab_lift``
+    (O12), ``cohort_retention`` (O17), ``retention_comparison`` (O21) and
+    ``summary`` (one row of headline numbers).
+    """
+    keep = checkpoint_df if materialize else (lambda df: df)
 
+    flags = keep(funnel.user_funnel_flags(events))
     dropoff = funnel.funnel_dropoff_from_flags(flags)
+    ab_flags = flags.select("user_id", "viewed_pricing", F.col("upgraded").alias("converted"))
+    summary = keep(abtest.ab_test_summary_from_flags(users, ab_flags))
+    test = abtest.chi2_from_summary(summary, alpha=alpha)
+    lift = abtest.lift_from_summary(summary)
+    cohorts = keep(retention.cohort_retention(users, events, labeler))
+
     biggest = (
         dropoff.orderBy(F.col("drop_off_rate").desc(), F.col("step_number").asc())
         .limit(1)
-        .select(
-            F.col("funnel_step").alias("biggest_dropoff_step"),
-            F.col("drop_off_rate").alias("biggest_dropoff_rate"),
-        )
+        .selectExpr("funnel_step AS biggest_dropoff_step", "drop_off_rate AS biggest_dropoff_rate")
+    )
+    rates = dropoff.selectExpr(
+        "max(CASE WHEN step_number = 3 THEN conversion_rate END) AS invite_rate",
+        "max(CASE WHEN step_number = 5 THEN conversion_rate END) AS overall_conversion_rate",
     )
-    rates = dropoff.agg(
-        F.max(F.when(F.col("step_number") == 3, F.col("conversion_rate"))).alias("invite_rate"),
-        F.max(F.when(F.col("step_number") == 5, F.col("conversion_rate"))).alias("overall_conversion_rate"),
+    headline = side_by_side(
+        biggest,
+        rates,
+        lift.select("lift_pct"),
+        test.select("p_value", "significant"),
+        retention.improvement_from_retention(cohorts, baseline, comparison),
     )
+    return {
+        "funnel": dropoff,
+        "ab_test_summary": summary,
+        "ab_chi2_test": test,
+        "ab_lift": lift,
+        "cohort_retention": cohorts,
+        "retention_comparison": retention.comparison_from_retention(cohorts, baseline, comparison),
+        "summary": headline,
+    }
 
-    ab_flags = flags.select("user_id", "viewed_pricing", F.col("upgraded").alias("converted"))
-    summary = abtest.ab_test_summary_from_flags(users, ab_flags)
-    lift = abtest.lift_from_summary(summary).select("lift_pct")
-    test = abtest.chi2_from_summary(summary, alpha=alpha).select("p_value", "significant")
 
-    improvement = retention.improvement_from_retention(
-        retention.cohort_retention(users, events, labeler), baseline, comparison
-    )
-    return side_by_side(biggest, rates, lift, test, improvement)
+def executive_summary(
+    users: DataFrame,
+    events: DataFrame,
+    labeler: Labeler | None = None,
+    baseline: str = BASELINE_COHORT,
+    comparison: str = COMPARISON_COHORT,
+    alpha: float = ALPHA,
+    materialize: bool = False,
+) -> DataFrame:
+    """One row: biggest drop-off (step, rate), invite and overall conversion rates,
+    A/B lift and p-value with its significance, and the comparison cohort's day-7 /
+    day-1 retention change against the baseline cohort."""
+    return analysis_tables(users, events, labeler, baseline, comparison, alpha, materialize)["summary"]

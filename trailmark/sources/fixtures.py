@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark import schemas as S
+from trailmark.operators.retention import date_split_cohorts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +83,7 @@ def app_users(raw_events: DataFrame, customer: DataFrame) -> DataFrame:
 
 def split_cohorts(split: dt.date = COHORT_SPLIT, before: str = BEFORE_LABEL, after: str = AFTER_LABEL):
     """Cohort labeler for mapping A: sign-ups before ``split`` vs. on/after it."""
-
-    def label(sign_up_date: Column) -> Column:
-        return F.when(sign_up_date < F.lit(split), F.lit(before)).when(sign_up_date >= F.lit(split), F.lit(after))
-
-    return label
+    return date_split_cohorts(split, before, after)
 
 
 def order_users(orders: DataFrame) -> DataFrame:
