@@ -20,15 +20,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Source plans per (session, table folder). Only the lazily defined DataFrames are
 # kept (no data): building them costs hundreds of JVM round trips, and every
 # query over the same folder starts from the same plan.
-_SOURCES: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
+_SOURCES: dict[tuple[str, str, str], tuple[SparkSession, DataFrame, DataFrame]] = {}
 
 
 def _sources(kind: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    key = (id(spark._jsparkSession), kind, sf_dir.rstrip("/"))
-    if key not in _SOURCES:
+    key = (spark.sparkContext.applicationId, kind, sf_dir.rstrip("/"))
+    hit = _SOURCES.get(key)
+    if hit is None or hit[0] is not spark:
         loader = fixtures.load_mapping_a if kind == "a" else fixtures.load_mapping_b
-        _SOURCES[key] = loader(spark, sf_dir)
-    return _SOURCES[key]
+        hit = _SOURCES[key] = (spark, *loader(spark, sf_dir))
+    return hit[1], hit[2]
 
 
 def load_mapping_a(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
