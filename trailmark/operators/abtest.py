@@ -58,8 +58,13 @@ def ab_pricing_viewers(
     happens after non-viewers are dropped: Catalyst does not make this rewrite
     by itself (the filter sits above an aggregate).
     """
-    flags = _event_flags(events, exposure, conversion).where(F.col("viewed_pricing") == 1)
-    joined = users.select("user_id", "ab_test_group").join(flags, "user_id", "inner")
+    return _viewers(users, _event_flags(events, exposure, conversion))
+
+
+def _viewers(users: DataFrame, flags: DataFrame) -> DataFrame:
+    """Exposed users with their group: per-user flags filtered first, then inner-joined."""
+    exposed = flags.where((F.col("viewed_pricing") == 1) & F.col("user_id").isNotNull())
+    joined = users.select("user_id", "ab_test_group").join(exposed, "user_id", "inner")
     return joined.groupBy("user_id", "ab_test_group").agg(
         F.max("viewed_pricing").alias("viewed_pricing"),
         F.max("converted").alias("converted"),
@@ -79,13 +84,7 @@ def ab_test_summary(
 def ab_test_summary_from_flags(users: DataFrame, flags: DataFrame) -> DataFrame:
     """O9 from per-user ``viewed_pricing`` / ``converted`` flags computed elsewhere
     (e.g. the funnel's per-user table), so one pass over the events serves both."""
-    viewers = flags.where((F.col("viewed_pricing") == 1) & F.col("user_id").isNotNull())
-    joined = users.select("user_id", "ab_test_group").join(viewers, "user_id", "inner")
-    return _summarize(
-        joined.groupBy("user_id", "ab_test_group").agg(
-            F.max("viewed_pricing").alias("viewed_pricing"), F.max("converted").alias("converted")
-        )
-    )
+    return _summarize(_viewers(users, flags))
 
 
 def _summarize(viewers: DataFrame) -> DataFrame:
