@@ -56,3 +56,22 @@ def test_streamed_daily_counts_match_batch_for_closed_days(spark, tmp_path):
     last_day = max(r[0] for r in got)
     batch = kpis.daily_events_by_type(app_events(raw)).where(F.col("date") <= F.lit(last_day))
     assert got == sorted(rows(batch))
+
+
+def test_streamed_retention_equals_batch(spark, tmp_path):
+    from trailmark.operators import retention
+    from trailmark.sources.fixtures import app_users, split_cohorts
+
+    raw, cut, src = _split_raw(spark, tmp_path)
+    users = app_users(raw, spark.read.parquet(f"{SF['0.01']}/customer.parquet"))
+    table = str(tmp_path / "retention")
+    name = f"retention_{uuid.uuid4().hex[:8]}"
+    for part in ("part1", "part2"):
+        if part == "part2":
+            raw.where(F.col("ts") >= F.lit(cut)).write.parquet(str(src / "part2"))
+        stream = live.app_event_stream(spark, str(src / "*"))
+        q = live.start_retention_flags(users, stream, table, name=name, labeler=split_cohorts(), availableNow=True)
+        q.awaitTermination(300)
+    got = rows(live.live_retention(spark, table))
+    expected = rows(retention.cohort_retention(users, app_events(raw), split_cohorts()))
+    assert got == expected

@@ -165,6 +165,11 @@ def cohort_retention(
     non-NULL user, so it equals the distinct user count without a distinct aggregate.
     """
     flags = user_retention_flags(users, events, labeler, days, activity_event, strategy)
+    return retention_from_flags(flags, days)
+
+
+def retention_from_flags(flags: DataFrame, days: Sequence[int] = RETENTION_DAYS) -> DataFrame:
+    """O17 from an O16-shaped table (one row per cohort and user)."""
     rates = [F.expr(pct_sql(f"sum(day_{d})", "count(1)", 1)).alias(f"day_{d}_retention") for d in days]
     per_cohort = flags.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"), *rates)
     return sort_few(per_cohort, F.col("cohort").asc_nulls_last())

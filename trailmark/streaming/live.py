@@ -10,6 +10,9 @@ results current as new event files land:
   only ever go 0 -> 1, so the update-mode rows appended to a table can be
   re-reduced with ``max`` at read time, and the funnel is computed from that
   table with the batch operator's exact semantics.
+* per-(cohort, user) retention flags: the activity stream joined to the static
+  users table (stream-static join, no state for the join), then the same
+  monotone max-flags aggregate; cohort rates are read back from the table.
 
 State lives in the checkpoint folder the cluster names in ``spark.checkpoint.dir``
 (one sub-folder per query), so a restarted query resumes where it stopped.
@@ -23,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trailmark.functions.sqlexpr import ever
 from trailmark.operators.funnel import Step, funnel_steps_from_flags, user_funnel_flags
-from trailmark.schemas import FUNNEL_STEPS
+from trailmark.operators.retention import Labeler, retention_from_flags, user_cohorts
+from trailmark.schemas import ACTIVITY_EVENT, FUNNEL_STEPS, RETENTION_DAYS
 from trailmark.session import ensure_checkpoint_dir
 from trailmark.sources.fixtures import app_events
 
@@ -114,3 +119,54 @@ def current_user_flags(spark: SparkSession, table_path: str, steps: Sequence[Ste
 def live_funnel(spark: SparkSession, table_path: str, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """The funnel (O2) from the streamed per-user flags."""
     return funnel_steps_from_flags(current_user_flags(spark, table_path, steps), steps)
+
+
+def streaming_retention_flags(
+    users: DataFrame,
+    events: DataFrame,
+    labeler: Labeler | None = None,
+    days: Sequence[int] = RETENTION_DAYS,
+    activity_event: str = ACTIVITY_EVENT,
+) -> DataFrame:
+    """Per (cohort, user) day-N flags over an activity stream and a static users table."""
+    cohorts = user_cohorts(users, labeler)
+    acts = events.where((F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull())
+    offsets = acts.join(cohorts, "user_id", "inner").select(
+        "cohort",
+        "user_id",
+        F.datediff(F.to_date("event_timestamp"), F.col("sign_up_date").cast("date")).alias("offset"),
+    )
+    return offsets.groupBy("cohort", "user_id").agg(*[ever("offset", d, f"day_{d}") for d in days])
+
+
+def start_retention_flags(
+    users: DataFrame,
+    events: DataFrame,
+    table_path: str,
+    name: str = "retention_flags",
+    labeler: Labeler | None = None,
+    days: Sequence[int] = RETENTION_DAYS,
+    **trigger,
+) -> StreamingQuery:
+    """Append each micro-batch's changed (cohort, user) retention flags to a parquet table."""
+    spark = events.sparkSession
+
+    def append(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("append").parquet(table_path)
+
+    return (
+        streaming_retention_flags(users, events, labeler, days)
+        .writeStream.outputMode("update")
+        .foreachBatch(append)
+        .option("checkpointLocation", checkpoint_location(spark, name))
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .queryName(name)
+        .start()
+    )
+
+
+def live_retention(spark: SparkSession, table_path: str, days: Sequence[int] = RETENTION_DAYS) -> DataFrame:
+    """Cohort retention (O17) from the streamed (cohort, user) flags."""
+    updates = spark.read.parquet(table_path)
+    flags = updates.groupBy("cohort", "user_id").agg(*[F.max(f"day_{d}").alias(f"day_{d}") for d in days])
+    return retention_from_flags(flags, days)
