@@ -62,24 +62,29 @@ def kpi_overview(
 ) -> DataFrame:
     """Activated / invited users (any such event) and conversion events, each as % of all users.
 
-    Users are the event log's non-NULL ids; per-user flags are combined map-side,
-    then everything lands in one aggregate together with the users count.
+    Users are the event log's non-NULL ids; per-user flags and conversion counts
+    come from one pass over the events (combined map-side), then everything
+    lands in one aggregate together with the users count.
     """
     cols = ("total_users", "activated_users", "invited_users", "converted_events")
+    # one pass over the events: per-user flags and conversion counts; the NULL-id
+    # group contributes its conversion events but is not a user
     per_user = (
-        events.where(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(ever("event_name", activation_event, "activated_users"), ever("event_name", invite_event, "invited_users"))
-        .selectExpr("0 AS total_users", "activated_users", "invited_users", "0 AS converted_events")
-    )
-    conversions = events.selectExpr(
-        "0 AS total_users",
-        "0 AS activated_users",
-        "0 AS invited_users",
-        f"CASE WHEN event_name = {lit_sql(conversion_event)} THEN 1 ELSE 0 END AS converted_events",
+        events.groupBy("user_id")
+        .agg(
+            ever("event_name", activation_event, "a"),
+            ever("event_name", invite_event, "i"),
+            F.expr(f"count_if(event_name = {lit_sql(conversion_event)})").alias("c"),
+        )
+        .selectExpr(
+            "0 AS total_users",
+            "CASE WHEN user_id IS NULL THEN 0 ELSE a END AS activated_users",
+            "CASE WHEN user_id IS NULL THEN 0 ELSE i END AS invited_users",
+            "c AS converted_events",
+        )
     )
     total = users.selectExpr("1 AS total_users", "0 AS activated_users", "0 AS invited_users", "0 AS converted_events")
-    t = _union_totals(total, per_user, conversions).selectExpr(*[_total(c) for c in cols])
+    t = _union_totals(total, per_user).selectExpr(*[_total(c) for c in cols])
     return t.selectExpr(
         "total_users",
         "activated_users",
