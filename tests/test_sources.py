@@ -105,3 +105,13 @@ def test_command_line_run(spark, tmp_path):
     assert summary.p_value == "1.0" and summary.biggest_dropoff_step == "Step 2: Created Project"  # ties step 4 at 53.3
     ret = {r.cohort: r.cohort_size for r in spark.read.option("header", True).csv(str(out / "cohort_retention")).collect()}
     assert ret == {"before": "9", "after": "6"}
+
+
+def test_csv_round_trip_keeps_fractional_seconds(spark, tmp_path):
+    events = spark.read.parquet(f"{SF['0.001']}/events.parquet").selectExpr(
+        "event_id", "user_id", "ts AS event_timestamp", "event_type AS event_name"
+    )
+    csvio.write_csv(events, str(tmp_path / "e"))
+    back = csvio.read_events(spark, str(tmp_path / "e"))
+    assert back.where("event_timestamp IS NULL").count() == 0
+    assert sorted(rows(back)) == sorted(rows(events))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trailmark.schemas import EVENTS, USERS
 
 DATE_FORMAT = "yyyy-MM-dd"
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def read_users(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
