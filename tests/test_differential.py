@@ -95,7 +95,7 @@ def _arrow(urows, erows):
     return users, events
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(user_rows, event_rows)
 def test_operators_match_sql_on_random_tables(spark, urows, erows):
     u_arrow, e_arrow = _arrow(urows, erows)
