@@ -34,6 +34,25 @@ def ever(column: str, value, alias: str) -> Column:
     return F.expr(f"max(CASE WHEN `{column}` = {lit_sql(value)} THEN 1 ELSE 0 END)").alias(alias)
 
 
+def bitmask_agg(column: str, values, alias: str) -> Column:
+    """``bit_or`` of bit i for rows where ``column = values[i]``: which values ever occurred, as one INT.
+
+    Combines map-side like ``max``; through a shuffle it is one field instead of
+    one per value (each field is an 8-byte slot).
+    """
+    if len(values) > 31:
+        raise ValueError("at most 31 values per mask")
+    bits = " | ".join(
+        f"CASE WHEN `{column}` = {lit_sql(v)} THEN {1 << i} ELSE 0 END" for i, v in enumerate(values)
+    )
+    return F.expr(f"bit_or({bits})").alias(alias)
+
+
+def unpack_bits(mask: str, names) -> list[str]:
+    """0/1 INT columns ``names[i]`` from bit i of ``mask`` (SQL select expressions)."""
+    return [f"shiftright({mask}, {i}) & 1 AS {name}" for i, name in enumerate(names)]
+
+
 def pct_sql(part: str, whole: str, digits: int | None = None) -> str:
     """``100 * part / whole`` as a DOUBLE, NULL when ``whole`` is 0 (optionally rounded half-up)."""
     value = f"100.0D * {part} / nullif({whole}, 0)"

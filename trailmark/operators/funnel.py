@@ -13,35 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.sqlexpr import lit_sql, pct_sql, stack_rows
+from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, pct_sql, stack_rows, unpack_bits
 from trailmark.schemas import FUNNEL_STEPS
 
 Step = tuple[int, str, str, str]
 
 
 def user_step_mask(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
-    """Per user, the steps ever reached as one bitmask (bit k-1 for step k).
-
-    ``bit_or`` combines map-side like ``max`` does, but the shuffle carries one
-    field per user instead of one per step (each field is an 8-byte slot).
-    """
-    if len(steps) > 31:
-        raise ValueError("at most 31 funnel steps")
-    bits = " | ".join(
-        f"CASE WHEN event_name = {lit_sql(name)} THEN {1 << i} ELSE 0 END" for i, (_, _, _, name) in enumerate(steps)
-    )
-    return events.groupBy("user_id").agg(F.expr(f"bit_or({bits})").alias("step_mask"))
+    """Per user, the steps ever reached as one bitmask (bit k-1 for step k)."""
+    return events.groupBy("user_id").agg(bitmask_agg("event_name", [name for *_, name in steps], "step_mask"))
 
 
 def user_funnel_flags(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O1: per user, 0/1 "ever did step k" (no ordering between steps).
 
     Every user with any event gets a row; a NULL ``user_id`` forms its own group,
-    as in SQL GROUP BY. The flags are unpacked from ``user_step_mask`` after the
-    shuffle.
+    as in SQL GROUP BY. The steps travel through the per-user shuffle as one
+    bitmask and are unpacked after it.
     """
-    flags = [f"shiftright(step_mask, {i}) & 1 AS {col}" for i, (_, _, col, _) in enumerate(steps)]
-    return user_step_mask(events, steps).selectExpr("user_id", *flags)
+    return user_step_mask(events, steps).selectExpr("user_id", *unpack_bits("step_mask", [c for _, _, c, _ in steps]))
 
 
 def _funnel_totals(events: DataFrame, steps: Sequence[Step]) -> DataFrame:

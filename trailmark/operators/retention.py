@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.frames import sort_few
-from trailmark.functions.sqlexpr import ever, lit_sql, pct_sql, stack_rows
+from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, pct_sql, stack_rows, unpack_bits
 from trailmark.session import broadcastable
 from trailmark.schemas import (
     ACTIVITY_EVENT,
@@ -148,7 +148,8 @@ def user_retention_flags(
     the cohort's base. ``strategy``: see ``_active_offsets``.
     """
     active = _active_offsets(users, events, labeler, activity_event, strategy)
-    return active.groupBy("cohort", "user_id").agg(*[ever("offset", d, f"day_{d}") for d in days])
+    masks = active.groupBy("cohort", "user_id").agg(bitmask_agg("offset", list(days), "day_mask"))
+    return masks.selectExpr("cohort", "user_id", *unpack_bits("day_mask", [f"day_{d}" for d in days]))
 
 
 def cohort_retention(
