@@ -1,9 +1,10 @@
 """Activation funnel: per-user step flags, step counts, conversion and drop-off.
 
 Plan shape: one scan of the event log, one hash shuffle on ``user_id`` (the
-per-user flags, combined map-side so a heavy user costs one row per map task),
-then a global aggregate of one row. The per-step rows are produced from that
-single row with ``inline`` instead of a UNION of five re-scans.
+per-user step bitmask, combined map-side so a heavy user costs one row per map
+task), then a global aggregate of one row. The per-step rows are produced from
+that single row with SQL ``stack`` instead of a UNION of five re-scans, and
+drop-off is computed on it too, so there is no un-partitioned window.
 """
 
 from __future__ import annotations
