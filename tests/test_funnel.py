@@ -112,3 +112,16 @@ def test_rounding_half_away_from_zero(make_events):
     ev = [(u, "2024-01-01 00:00:00", "signed_up") for u in range(16)] + [(0, "2024-01-01 00:00:00", "created_project")]
     got = dict(rows(funnel.funnel_steps(make_events(ev)), "step_number", "conversion_rate"))
     assert got[2] == 6.3
+
+
+def test_only_non_step_events_count_zero(make_events):
+    ev = [(1, "2024-01-01 00:00:00", "used_feature_X"), (2, "2024-01-02 00:00:00", "used_feature_X")]
+    got = sorted(rows(funnel.funnel_steps(make_events(ev)), "step_number", "user_count", "conversion_rate"))
+    assert got == [(1, 0, 100.0), (2, 0, None), (3, 0, None), (4, 0, None), (5, 0, None)]
+
+
+def test_totals_flags_match_full_flags(make_events):
+    e = make_events(EV)
+    full = funnel._totals_from_flags(funnel.user_funnel_flags(e), funnel.FUNNEL_STEPS)
+    cheap = funnel._totals_from_flags(funnel.flags_for_totals(e), funnel.FUNNEL_STEPS)
+    assert rows(full) == rows(cheap)

@@ -35,9 +35,26 @@ def user_funnel_flags(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -
     return user_step_mask(events, steps).selectExpr("user_id", *unpack_bits("step_mask", [c for _, _, c, _ in steps]))
 
 
+def flags_for_totals(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
+    """O1-shaped flags that give the same step *sums* as ``user_funnel_flags``, cheaper.
+
+    Rows whose event is no step cannot set a flag, so their user id is replaced by
+    NULL before the per-user aggregate: they collapse into the NULL-key group (one
+    row per map task) instead of a row per user in the shuffle. That group adds
+    nothing to any sum (unless real NULL-id rows carry steps, which the SQL
+    grouping counts as well), and it keeps a log without any step events summing
+    to 0 rather than NULL. Not for per-user output or user counts.
+    """
+    names = [name for *_, name in steps]
+    keyed = events.select(
+        F.when(F.col("event_name").isin(names), F.col("user_id")).alias("user_id"), "event_name"
+    )
+    return user_funnel_flags(keyed, steps)
+
+
 def _funnel_totals(events: DataFrame, steps: Sequence[Step]) -> DataFrame:
     """One row: users reaching each step (``n_<flag>``) and their share of step 1."""
-    return _totals_from_flags(user_funnel_flags(events, steps), steps)
+    return _totals_from_flags(flags_for_totals(events, steps), steps)
 
 
 def _totals_from_flags(flags: DataFrame, steps: Sequence[Step]) -> DataFrame:
@@ -71,7 +88,7 @@ STEP_FIELDS = [
 
 def funnel_steps(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O2: ``funnel_step, step_number, user_count, conversion_rate`` (share of step 1, 1 decimal)."""
-    return funnel_steps_from_flags(user_funnel_flags(events, steps), steps)
+    return funnel_steps_from_flags(flags_for_totals(events, steps), steps)
 
 
 def funnel_steps_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
@@ -85,7 +102,7 @@ def funnel_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> D
     Computed on the single aggregated row, so no window (and no single-partition
     exchange) is needed.
     """
-    return funnel_dropoff_from_flags(user_funnel_flags(events, steps), steps)
+    return funnel_dropoff_from_flags(flags_for_totals(events, steps), steps)
 
 
 def funnel_dropoff_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:

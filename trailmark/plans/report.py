@@ -38,7 +38,8 @@ def analysis_tables(
     """
     keep = checkpoint_df if materialize else (lambda df: df)
 
-    flags = keep(funnel.user_funnel_flags(events))
+    # step sums and the A/B flags of exposed users are all the report needs per user
+    flags = keep(funnel.flags_for_totals(events))
     dropoff = funnel.funnel_dropoff_from_flags(flags)
     ab_flags = flags.select("user_id", "viewed_pricing", F.col("upgraded").alias("converted"))
     summary = keep(abtest.ab_test_summary_from_flags(users, ab_flags))
