@@ -68,9 +68,14 @@ def kpi_overview(
     """
     cols = ("total_users", "activated_users", "invited_users", "converted_events")
     # one pass over the events: per-user flags and conversion counts; the NULL-id
-    # group contributes its conversion events but is not a user
+    # group contributes its conversion events but is not a user. Rows that can set
+    # no flag are folded into that group, so they cost one shuffle row per task.
+    keyed = events.select(
+        F.when(F.col("event_name").isin(activation_event, invite_event), F.col("user_id")).alias("user_id"),
+        "event_name",
+    )
     per_user = (
-        events.groupBy("user_id")
+        keyed.groupBy("user_id")
         .agg(
             ever("event_name", activation_event, "a"),
             ever("event_name", invite_event, "i"),
