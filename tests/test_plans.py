@@ -90,3 +90,10 @@ def test_retention_strategy_choice_is_size_checked(spark):
         assert "Aggregate [user_id" in o[o.index("Join Inner"):]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_funnel_shuffles_one_mask_per_user(spark):
+    p = plan(queries()["funnel_steps"](spark, SF["0.001"]))
+    assert "partial_bit_or" in p and "partial_max" not in p
+    # non-step rows are re-keyed to NULL before the per-user aggregate
+    assert "CASE WHEN event_name IN (signed_up,created_project" in p
