@@ -93,7 +93,7 @@ def test_retention_strategy_choice_is_size_checked(spark):
 
 
 def test_funnel_shuffles_one_mask_per_user(spark):
-    p = plan(queries()["funnel_steps"](spark, SF["0.001"]))
+    p = re.sub(r"#\d+L?", "", plan(queries()["funnel_steps"](spark, SF["0.001"])))
     assert "partial_bit_or" in p and "partial_max" not in p
     # non-step rows are re-keyed to NULL before the per-user aggregate
     assert "CASE WHEN event_name IN (signed_up,created_project" in p
