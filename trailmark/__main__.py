@@ -1,8 +1,8 @@
 """Run the analysis on a users table and an event log.
 
     python -m trailmark --users data/users.csv --events data/events.csv --out results/
-    spark-submit --py-files trailmark.zip trailmark/__main__.py \
-        --users s3://.../users/ --events s3://.../events/ --format parquet --out s3://.../out/
+    spark-submit --py-files trailmark.zip trailmark/__main__.py --format parquet
+        --users s3://.../users/ --events s3://.../events/ --out s3://.../out/   (one line)
 
 Writes one headered CSV folder per result under ``--out`` (the funnel with
 drop-off, the A/B summary, test and lift, cohort retention and its comparison,
