@@ -68,3 +68,16 @@ def test_result_types_match_oracle(spark, con):
         spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
         duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
         assert spark_types == duck_types, name
+
+
+def test_date_results_do_not_depend_on_session_time_zone(spark):
+    names = ["daily_events_by_type", "cohort_retention", "user_activity", "daily_signups", "cohort_retention_month"]
+    q = queries()
+    before = {n: sorted(map(tuple, q[n](spark, SF["0.001"]).collect()), key=str) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        after = {n: sorted(map(tuple, q[n](spark, SF["0.001"]).collect()), key=str) for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
