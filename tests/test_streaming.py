@@ -75,3 +75,35 @@ def test_streamed_retention_equals_batch(spark, tmp_path):
     got = rows(live.live_retention(spark, table))
     expected = rows(retention.cohort_retention(users, app_events(raw), split_cohorts()))
     assert got == expected
+
+
+def test_daily_counts_late_data_within_and_beyond_watermark(spark, tmp_path):
+    raw = spark.read.parquet(f"{SF['0.01']}/events.parquet")
+    src = tmp_path / "late"
+    cut = dt.datetime(2024, 1, 15)
+    early = raw.where(F.col("ts") < F.lit(cut))
+    early.coalesce(1).write.parquet(str(src / "p1"))
+    day = lambda d: (F.col("ts") >= F.lit(d)) & (F.col("ts") < F.lit(d + dt.timedelta(days=1)))
+    # arrives in the second batch, whose eviction watermark is ~Jan 14 00:00: still counted
+    late_ok = raw.where(day(dt.datetime(2024, 1, 14))).withColumn("event_id", F.col("event_id") + 10_000_000)
+    too_late = raw.where(day(dt.datetime(2024, 1, 12))).withColumn("event_id", F.col("event_id") + 20_000_000)
+    raw.where(F.col("ts") >= F.lit(cut)).unionByName(late_ok).coalesce(1).write.parquet(str(src / "p2"))
+    # a third arrival, after the watermark (now ~Jan 29) has also moved the late-row cut-off
+    too_late.coalesce(1).write.parquet(str(src / "p3"))
+
+    stream = live.app_event_stream(spark, str(src / "*"), max_files_per_trigger=1)
+    table = str(tmp_path / "daily_late")
+    q = live.start_daily_counts(stream, table, name=f"late_{uuid.uuid4().hex[:8]}", watermark="1 day", availableNow=True)
+    q.awaitTermination(300)
+    emitted = spark.read.parquet(table).collect()
+    got = {(r.date, r.event_name): r.event_count for r in emitted}
+    assert len(got) == len(emitted)  # each (day, type) window emitted once
+
+    def batch(df, d):
+        b = kpis.daily_events_by_type(app_events(df)).where(F.col("date") == F.lit(d))
+        return {(r.date, r.event_name): r.event_count for r in b.collect()}
+
+    jan14, jan12 = dt.date(2024, 1, 14), dt.date(2024, 1, 12)
+    doubled = {k: 2 * v for k, v in batch(early, jan14).items()}
+    assert {k: v for k, v in got.items() if k[0] == jan14} == doubled  # late rows counted
+    assert {k: v for k, v in got.items() if k[0] == jan12} == batch(early, jan12)  # too late: dropped
