@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from tools.oracle_check import digest
 from trailmark.operators import abtest, funnel, kpis, retention
-from trailmark.plans.oracle import ORACLE_SQL, over_tables
+from trailmark.plans.oracle import MONTH_LABEL, ORACLE_SQL, SPLIT_BASE, SPLIT_LABEL, _comparison, over_tables
 from trailmark.schemas import EVENTS, USERS
 from trailmark.sources.fixtures import split_cohorts
 
@@ -42,6 +42,9 @@ OPS = {
     "retention_curve": lambda u, e: retention.retention_curve(u, e, **SPLIT),
     "retention_comparison": lambda u, e: retention.retention_comparison(u, e, baseline="before", comparison="after", **SPLIT),
     "retention_ratio_doc": lambda u, e: retention.retention_ratio_doc(u, e, **SPLIT),
+    "cohort_retention_months": lambda u, e: retention.cohort_retention(u, e),
+    "retention_comparison_months": lambda u, e: retention.retention_comparison(u, e),
+    "retention_ratio_doc_months": lambda u, e: retention.retention_ratio_doc(u, e),
     "kpi_totals": kpis.kpi_totals,
     "kpi_overview": kpis.kpi_overview,
     "daily_signups": lambda u, e: kpis.daily_signups(u),
@@ -75,6 +78,19 @@ event_rows = st.lists(
 )
 
 
+MONTH_BASE_PLAIN = SPLIT_BASE.replace(SPLIT_LABEL, MONTH_LABEL)
+EXTRA_SQL = {
+    "cohort_retention_months": MONTH_BASE_PLAIN + "\nSELECT * FROM cohort_retention",
+    "retention_comparison_months": _comparison(MONTH_BASE_PLAIN, "Jan 2024", "Feb 2024"),
+    "retention_ratio_doc_months": MONTH_BASE_PLAIN
+    + """
+SELECT cohort,
+    SUM(CASE WHEN days_since_signup = 7 THEN 1 END) / COUNT(DISTINCT user_id) AS day_7_retention
+FROM user_activity
+GROUP BY cohort""",
+}
+
+
 def _arrow(urows, erows):
     users = pa.table(
         {
@@ -107,7 +123,7 @@ def test_operators_match_sql_on_random_tables(spark, urows, erows):
     for name, op in OPS.items():
         df = op(u, e)
         s_rows = [tuple(r) for r in df.collect()]
-        res = con.execute(over_tables(ORACLE_SQL[name]))
+        res = con.execute(over_tables(EXTRA_SQL.get(name) or ORACLE_SQL[name]))
         d_cols, d_rows = [c[0] for c in res.description], res.fetchall()
         assert sorted(df.columns) == sorted(d_cols), name
         assert digest(df.columns, s_rows)[1] == digest(d_cols, d_rows)[1], (name, urows, erows)
