@@ -12,18 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.frames import sort_few
-from trailmark.functions.sqlexpr import ever, lit_sql
+from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, unpack_bits
 from trailmark.functions.stats import with_chi2_2x2
 from trailmark.schemas import AB_CONTROL, AB_CONVERSION_EVENT, AB_EXPOSURE_EVENT, AB_TREATMENT, ALPHA
 
 
 def _event_flags(events: DataFrame, exposure: str, conversion: str) -> DataFrame:
     """Per user: 0/1 exposure and conversion flags, from the two relevant events only."""
-    return (
-        events.where(F.col("event_name").isin(exposure, conversion) & F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(ever("event_name", exposure, "viewed_pricing"), ever("event_name", conversion, "converted"))
-    )
+    relevant = events.where(F.col("event_name").isin(exposure, conversion) & F.col("user_id").isNotNull())
+    masks = relevant.groupBy("user_id").agg(bitmask_agg("event_name", [exposure, conversion], "flag_mask"))
+    return masks.selectExpr("user_id", *unpack_bits("flag_mask", ["viewed_pricing", "converted"]))
 
 
 def ab_user_conversions(

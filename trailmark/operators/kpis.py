@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions.frames import sort_few
-from trailmark.functions.sqlexpr import ever, lit_sql, ratio_sql
+from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, ratio_sql
 from trailmark.schemas import (
     AB_CONTROL,
     AB_TREATMENT,
@@ -77,14 +77,13 @@ def kpi_overview(
     per_user = (
         keyed.groupBy("user_id")
         .agg(
-            ever("event_name", activation_event, "a"),
-            ever("event_name", invite_event, "i"),
+            bitmask_agg("event_name", [activation_event, invite_event], "m"),
             F.expr(f"count_if(event_name = {lit_sql(conversion_event)})").alias("c"),
         )
         .selectExpr(
             "0 AS total_users",
-            "CASE WHEN user_id IS NULL THEN 0 ELSE a END AS activated_users",
-            "CASE WHEN user_id IS NULL THEN 0 ELSE i END AS invited_users",
+            "CASE WHEN user_id IS NULL THEN 0 ELSE m & 1 END AS activated_users",
+            "CASE WHEN user_id IS NULL THEN 0 ELSE shiftright(m, 1) & 1 END AS invited_users",
             "c AS converted_events",
         )
     )
