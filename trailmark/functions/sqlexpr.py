@@ -29,11 +29,6 @@ def lit_sql(value) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def ever(column: str, value, alias: str) -> Column:
-    """``max`` of a 0/1 flag ``column = value`` (0, never NULL, for non-matching rows)."""
-    return F.expr(f"max(CASE WHEN `{column}` = {lit_sql(value)} THEN 1 ELSE 0 END)").alias(alias)
-
-
 def bitmask_agg(column: str, values, alias: str) -> Column:
     """``bit_or`` of bit i for rows where ``column = values[i]``: which values ever occurred, as one INT.
 

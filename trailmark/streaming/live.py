@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trailmark.functions.sqlexpr import ever
+from trailmark.functions.sqlexpr import bitmask_agg, unpack_bits
 from trailmark.operators.funnel import Step, funnel_steps_from_flags, user_funnel_flags
 from trailmark.operators.retention import Labeler, retention_from_flags, user_cohorts
 from trailmark.schemas import ACTIVITY_EVENT, FUNNEL_STEPS, RETENTION_DAYS
@@ -128,7 +128,10 @@ def streaming_retention_flags(
     days: Sequence[int] = RETENTION_DAYS,
     activity_event: str = ACTIVITY_EVENT,
 ) -> DataFrame:
-    """Per (cohort, user) day-N flags over an activity stream and a static users table."""
+    """Per (cohort, user) day-N flags over an activity stream and a static users table.
+
+    The state keeps one bitmask per (cohort, user); flags are unpacked on output.
+    """
     cohorts = user_cohorts(users, labeler)
     acts = events.where((F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull())
     offsets = acts.join(cohorts, "user_id", "inner").select(
@@ -136,7 +139,8 @@ def streaming_retention_flags(
         "user_id",
         F.datediff(F.to_date("event_timestamp"), F.col("sign_up_date").cast("date")).alias("offset"),
     )
-    return offsets.groupBy("cohort", "user_id").agg(*[ever("offset", d, f"day_{d}") for d in days])
+    masks = offsets.groupBy("cohort", "user_id").agg(bitmask_agg("offset", list(days), "day_mask"))
+    return masks.selectExpr("cohort", "user_id", *unpack_bits("day_mask", [f"day_{d}" for d in days]))
 
 
 def start_retention_flags(
