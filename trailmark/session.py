@@ -17,6 +17,7 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # checkpoint files of DataFrames that are no longer referenced are removed
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
