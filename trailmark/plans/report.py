@@ -29,23 +29,31 @@ def analysis_tables(
     comparison: str = COMPARISON_COHORT,
     alpha: float = ALPHA,
     materialize: bool = False,
+    materialize_shared: bool | None = None,
 ) -> dict[str, DataFrame]:
     """All report outputs, sharing two passes over the event log.
 
     ``funnel`` (O3), ``ab_test_summary`` (O9), ``ab_chi2_test`` (O11), ``ab_lift``
     (O12), ``cohort_retention`` (O17), ``retention_comparison`` (O21) and
-    ``summary`` (one row of headline numbers).
+    ``summary`` (one row of headline numbers). ``materialize`` checkpoints the
+    per-user flags; ``materialize_shared`` (default: same) also checkpoints the
+    small A/B summary and cohort table that several outputs read, which pays off
+    when more than one output is computed.
     """
-    keep = checkpoint_df if materialize else (lambda df: df)
+    if materialize_shared is None:
+        materialize_shared = materialize
+
+    def keep(df: DataFrame, flag: bool) -> DataFrame:
+        return checkpoint_df(df) if flag else df
 
     # step sums and the A/B flags of exposed users are all the report needs per user
-    flags = keep(funnel.flags_for_totals(events))
+    flags = keep(funnel.flags_for_totals(events), materialize)
     dropoff = funnel.funnel_dropoff_from_flags(flags)
     ab_flags = flags.select("user_id", "viewed_pricing", F.col("upgraded").alias("converted"))
-    summary = keep(abtest.ab_test_summary_from_flags(users, ab_flags))
+    summary = keep(abtest.ab_test_summary_from_flags(users, ab_flags), materialize_shared)
     test = abtest.chi2_from_summary(summary, alpha=alpha)
     lift = abtest.lift_from_summary(summary)
-    cohorts = keep(retention.cohort_retention(users, events, labeler))
+    cohorts = keep(retention.cohort_retention(users, events, labeler), materialize_shared)
 
     biggest = (
         dropoff.orderBy(F.col("drop_off_rate").desc(), F.col("step_number").asc())
@@ -86,4 +94,5 @@ def executive_summary(
     """One row: biggest drop-off (step, rate), invite and overall conversion rates,
     A/B lift and p-value with its significance, and the comparison cohort's day-7 /
     day-1 retention change against the baseline cohort."""
-    return analysis_tables(users, events, labeler, baseline, comparison, alpha, materialize)["summary"]
+    tables = analysis_tables(users, events, labeler, baseline, comparison, alpha, materialize, materialize_shared=False)
+    return tables["summary"]
