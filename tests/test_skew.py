@@ -89,3 +89,20 @@ def test_funnel_exact_under_skew(spark, skewed):
     df = funnel.funnel_steps(events)
     cols, ref = _reference(users, events, "funnel_steps")
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(cols, ref)[0]
+
+
+def test_salted_event_join_is_exact_and_spread(spark, skewed):
+    users, events = skewed
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = retention.user_activity(users, events, labeler=split_cohorts())
+        salted = retention.user_activity(users, events, labeler=split_cohorts(), salt=8)
+        assert salted.columns == plain.columns
+        assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        # the hot user's events land on several join keys
+        keys = salted.select(F.expr("pmod(xxhash64(user_id, event_timestamp, event_name), 8)").alias("k")).where(
+            "user_id = 0"
+        )
+        assert keys.distinct().count() == 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

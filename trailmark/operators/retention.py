@@ -73,18 +73,28 @@ def user_activity(
     events: DataFrame,
     labeler: Labeler | None = None,
     activity_event: str = ACTIVITY_EVENT,
+    salt: int | None = None,
 ) -> DataFrame:
     """Each activity event of a cohort user with its whole-day offset from sign-up.
 
     ``days_since_signup`` compares calendar dates. Event-level output: the join
-    runs on ``user_id``; a hot user's partition is split by AQE's skew-join
-    handling rather than processed by one task.
+    runs on ``user_id``; with AQE a hot user's partition is split by skew-join
+    handling. ``salt=N`` spreads every user's events over N join keys instead
+    (users rows are replicated N times), for sessions without AQE. The salt is a
+    hash of the row, not a random number, so a recomputed task after an executor
+    loss assigns the same rows to the same keys.
     """
     cohorts = user_cohorts(users, labeler)
     acts = events.where((F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull()).select(
         "user_id", "event_timestamp", "event_name"
     )
-    return cohorts.join(acts, "user_id", "inner").select(
+    if salt and salt > 1:
+        acts = acts.withColumn("_salt", F.expr(f"pmod(xxhash64(user_id, event_timestamp, event_name), {int(salt)})"))
+        cohorts = cohorts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(int(salt) - 1))))
+        joined = cohorts.join(acts, ["user_id", "_salt"], "inner")
+    else:
+        joined = cohorts.join(acts, "user_id", "inner")
+    return joined.select(
         "user_id",
         "cohort",
         "sign_up_date",
