@@ -12,8 +12,10 @@ stretch its windows cover; document; place).
    an earlier copy: all its windows go. The first and last record of each bucket are compared
    across the boundaries on the driver (two rows a bucket).
 3. Suffixes that share their leading tokens but not the whole stretch (the edges of passages, near
-   copies) are opened: each window start becomes a suffix of its own with its 8 leading bytes
-   and a 64-bit fingerprint of the window; steps 1 and 2 run again on those.
+   copies) are opened: their window starts, in groups of ``STEP`` at fixed distances from the anchor,
+   become suffix records of their own. Leading tokens are now the bytes that all windows of such a
+   group have in common, so groups without a shared window part at once. Steps 1 and 2 run again,
+   and once more with single windows for the groups that still differ in part.
 4. Each document gets its removed windows, merged into spans.
 
 Nulls and edge cases: a null text is empty; texts shorter than ``length`` lose nothing; a null
@@ -32,27 +34,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_SYMBOL, U, Spans, mix, multikey_sort, place, slices, utf8, words_at
+from .arrays import BYTE_SYMBOL, U, Spans, mix, multikey_sort, place, ranges, slices, utf8, words_at
 from .common import documents, public_id, shuffle_partitions, stored
 
 GRAM = 16  # bytes whose hash decides on anchors
 SAMPLE_DOCS = 4000  # documents sampled for splitters
 SAMPLE_ROWS = 40_000  # records sampled for splitters, on the driver
 BUCKET_ROWS = 400_000  # records a bucket should hold
+STEP = 8  # window starts that are compared together when a suffix is first opened
 
 _RECORD = "lead long, rest long, doc long, pos long"
 _KEYS = ("lead", "rest", "doc", "pos")
 _COPY, _OPEN, _FIRST, _LAST = 0, 1, 2, 3
 
 
-def _pos(start: np.ndarray, check: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Start (31 bits), checksum of the text (16), number of further window starts (16)."""
-    return (start << 32) | (check << 16) | more
+def _pos(start: np.ndarray, check: np.ndarray, anchor: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """First window start (31 bits), checksum of the text (12), distance from it to the anchor (10),
+    number of further window starts (10)."""
+    return (start << 32) | (check << 20) | (anchor << 10) | more
+
+
+def _parts(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return pos >> 32, (pos >> 20) & 0xFFF, (pos >> 10) & 0x3FF, pos & 0x3FF
 
 
 def _checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     view = memoryview(data)
-    return np.array([zlib.crc32(view[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+    return np.array([zlib.crc32(view[a:b]) & 0xFFF for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
 
 
 def _gram_hash(data: np.ndarray) -> np.ndarray:
@@ -98,9 +106,40 @@ def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int)
     doc = np.searchsorted(offsets, lo, "right") - 1
     check = _checks(data, offsets)
     whole = Spans(gram)(lo, hi + wide)
-    lead4 = np.ndarray((n - 3,), ">u4", np.ascontiguousarray(data).data, strides=(1,))[anchor].astype(U)
-    lead = (lead4 << U(32)) | (mix(gram[anchor]) >> U(32))
-    return [lead.view(np.int64), whole.view(np.int64), ids[doc], _pos(lo - offsets[doc], check[doc], hi - lo)]
+    lead = _lead(data, anchor, mix(gram[anchor]))
+    return [lead, whole.view(np.int64), ids[doc], _pos(lo - offsets[doc], check[doc], anchor - lo, hi - lo)]
+
+
+def _lead(data: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Four bytes and half a fingerprint."""
+    four = np.ndarray((len(data) - 3,), ">u4", np.ascontiguousarray(data).data, strides=(1,))[at].astype(U)
+    return ((four << U(32)) | (tokens >> U(32))).view(np.int64)
+
+
+def opened(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int, step: int) -> list[np.ndarray]:
+    """Records of ``step`` window starts each (in distance from the anchor) for those at pos; doc: their
+    place in the slice. Returns the keys but doc, and doc's places."""
+    check = _checks(data, offsets)
+    own, _, anchor, more = _parts(pos)
+    mine = _parts(pos)[1] == check[doc]
+    doc, lo, anchor, more = doc[mine], (own + offsets[doc])[mine], anchor[mine], more[mine]
+    if not len(doc):
+        return [np.zeros(0, np.int64)] * 4
+    anchor += lo
+    least = (anchor - lo - more) // step
+    count = (anchor - lo) // step - least + 1
+    group = ranges(least, count)
+    doc, lo, anchor, more = (np.repeat(x, count) for x in (doc, lo, anchor, more))
+    shared = anchor - step * group  # where the bytes common to the group's windows begin
+    first, last = np.maximum(lo, shared - step + 1), np.minimum(lo + more, shared)
+    tokens = Spans(_gram_hash(data))(shared, shared - step + 1 + length - GRAM + 1)
+    whole = Spans(BYTE_SYMBOL[data])(first, last + length)
+    return [
+        _lead(data, shared, tokens),
+        whole.view(np.int64),
+        _pos(first - offsets[doc], check[doc], np.minimum(anchor - first, 0x3FF), last - first),
+        doc,
+    ]
 
 
 def _bucketed(columns: list[np.ndarray], cuts: list[np.ndarray] | None) -> pa.RecordBatch:
@@ -128,9 +167,7 @@ def _anchor_rows(length: int, cuts: list[np.ndarray] | None, thin: int = 0):
     return run
 
 
-def _window_rows(length: int):
-    """Opens suffix records: a record for each window start."""
-
+def _opened_rows(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -140,20 +177,11 @@ def _window_rows(length: int):
             mark = marks.flatten().to_numpy()
             mark_at = mark_at - mark_at[0]
             for i, j in slices(offsets):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 pos = mark[mark_at[i] : mark_at[j]]
                 doc = np.repeat(np.arange(j - i), np.diff(mark_at[i : j + 1]))
-                check = _checks(part, own)
-                mine = ((pos >> 16) & 0xFFFF) == check[doc]
-                pos, doc = pos[mine], doc[mine]
-                count = (pos & 0xFFFF) + 1
-                doc = np.repeat(doc, count)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(pos >> 32, count) + nth
-                at = start + own[doc]
-                lead = words_at(part)[at].byteswap().view(np.int64) if len(at) else at
-                rest = Spans(BYTE_SYMBOL[part])(at, at + length).view(np.int64)
-                yield _bucketed([lead, rest, ids[i:j][doc], _pos(start, check[doc], np.zeros_like(start))], None)
+                part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                lead, rest, at, doc = opened(*part, doc, pos, length, step)
+                yield _bucketed([lead, rest, ids[i:j][doc], at], None)
 
     return run
 
@@ -224,16 +252,16 @@ def _copies(bucketed: DataFrame, buckets: int, open_edges: bool) -> tuple[DataFr
     )
     # two rows for each bucket: does its first run begin in a bucket before?
     ends = sorted((r.bucket, r.kind, r.lead, r.rest, r.doc, r.pos) for r in told.filter(f"kind >= {_FIRST}").collect())
-    copies, opened, before = [], [], None
+    copies, opened_, before = [], [], None
     for _, kind, lead, rest, doc, pos in ends:
         if kind == _FIRST:
-            (copies if before == (lead, rest) else opened).append((doc, pos))
+            (copies if before == (lead, rest) else opened_).append((doc, pos))
         else:
             before = (lead, rest)
     rows = lambda kind, more: told.filter(F.col("kind") == kind).select("doc", "pos").unionByName(
         spark.createDataFrame(more, "doc long, pos long")
     )
-    return rows(_COPY, copies), rows(_OPEN, opened) if open_edges else None
+    return rows(_COPY, copies), rows(_OPEN, opened_) if open_edges else None
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -255,12 +283,12 @@ def _remove(length: int, as_text: bool):
                 lo = hi = np.zeros(0, np.int64)
                 if marks[i].is_valid:
                     pos = marks[i].values.to_numpy()
-                    pos = np.sort(pos[((pos >> 16) & 0xFFFF) == check[i]])
-                    lo, hi = pos >> 32, (pos >> 32) + (pos & 0xFFFF) + length
-                    if len(pos):
+                    start, whose, _, more = _parts(np.sort(pos))
+                    lo, hi = start[whose == check[i]], (start + more)[whose == check[i]] + length
+                    if len(lo):
                         reach = np.maximum.accumulate(hi)
                         new = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
-                        lo, hi = lo[new], reach[np.append(new[1:], len(pos)) - 1]
+                        lo, hi = lo[new], reach[np.append(new[1:], len(lo)) - 1]
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(lo, hi)])
                 removed.append(int((hi - lo).sum()))
                 if len(lo):
@@ -289,8 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
     with a smaller doc_id, or in the same one). Returns a row for each input row: doc_id, n_bytes,
     n_removed, spans (array of start, end in bytes), kept (the remaining bytes; with ``as_text`` as a
     string, without characters of which a part went) and text_crc32 (of the text as it was)."""
-    if not GRAM < length <= 65_536:
-        raise ValueError(f"length must be from {GRAM + 1} to 65536")
+    if not GRAM + STEP <= length <= 1024:
+        raise ValueError(f"length must be from {GRAM + STEP} to 1024")
     own = documents(docs)
     spark = own.sparkSession
 
@@ -300,19 +328,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
     sample = _collect(own.sample(share, seed=7).mapInArrow(_anchor_rows(length, None, thin), _RECORD))
     buckets = max(shuffle_partitions(spark), int(len(sample) * 2**thin / share / BUCKET_ROWS) + 1)
     cuts = _cuts(sample, buckets)
-    copies, opened = _copies(
+    copies, open_ = _copies(
         own.mapInArrow(_anchor_rows(length, cuts), f"{_RECORD}, bucket int"), buckets, open_edges=True
     )
 
-    windows = stored(_marked(own, opened, "inner").mapInArrow(_window_rows(length), _RECORD), "windows")
-    n = windows.count()
-    buckets = max(shuffle_partitions(spark), n // BUCKET_ROWS + 1)
-    sample = _collect(windows.sample(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)), seed=7))
-    cuts = _cuts(sample, buckets)
-    window_copies, _ = _copies(windows.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=False)
+    for step in (STEP, 1):
+        records = stored(_marked(own, open_, "inner").mapInArrow(_opened_rows(length, step), _RECORD), f"opened-{step}")
+        n = records.count()
+        buckets = max(shuffle_partitions(spark), n // BUCKET_ROWS + 1)
+        cuts = _cuts(_collect(records.sample(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)), seed=7)), buckets)
+        more, open_ = _copies(records.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=step > 1)
+        copies = copies.unionByName(more)
 
     return (
-        _marked(own, copies.unionByName(window_copies), "left")
+        _marked(own, copies, "left")
         .mapInArrow(
             _remove(length, as_text),
             "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, "
