@@ -115,14 +115,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
         raise ValueError("max_bits must be 0, 1 or 2: two segments with one bit left out find no more")
     own = documents(docs)
     prints = stored(own.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    # tables on both sides of the joins by fingerprint: a frequent one can then be split
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     same = prints.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # one node a fingerprint; a doc_id with several rows ties its fingerprints together
     again = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
     tied = same.join(again.withColumnRenamed("doc_id", "u"), "u", "left_semi")
     found = components(links(reps, max_bits).unionByName(tied))
-    labelled = reps.join(found, reps.rep == found.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+    labelled = stored(
+        reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
+        "labels",
     )
     return prints.join(labelled, "fp").select(
         public_id().alias("doc_id"), "fp", public_id("component_id").alias("component_id")
