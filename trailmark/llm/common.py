@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +18,14 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (null becomes NULL_ID) and ``text``; every other column is dropped here,
-    so none can clash with an operator's own columns."""
+def documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id`` (null becomes NULL_ID) and ``text``; every other column is dropped here, so none can
+    clash with an operator's own columns. Columns to carry along are packed into one, ``carry``."""
     workers_import(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.col("text").cast("string").alias("text"),
+        *([F.struct(*carry).alias("carry")] if carry else []),
     )
 
 

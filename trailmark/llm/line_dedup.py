@@ -17,6 +17,8 @@ table. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def _windows(own: DataFrame, lines: int) -> DataFrame:
     )
 
 
-def remove_repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept (the lines that stay, joined by a line feed) and text_hash for
-    each row."""
+def remove_repeated_lines(docs: DataFrame, lines: int = LINES, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept (the lines that stay, joined by a line feed) and the columns
+    named in ``carry`` for each row."""
     own = documents(docs).withColumn("t", F.xxhash64("text"))
     windows = _windows(own, lines)
     firsts = (
@@ -59,7 +61,9 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
         .selectExpr("doc_id", "t", f"array_distinct(flatten(transform(at, p -> sequence(p, p + {lines - 1})))) AS covered")
     )
     return (
-        own.join(covered, ["doc_id", "t"], "left")
+        documents(docs, carry)
+        .withColumn("t", F.xxhash64("text"))
+        .join(covered, ["doc_id", "t"], "left")
         .withColumn("l", F.split("text", "\n", -1))
         .withColumn("stay", F.expr("CASE WHEN covered IS NOT NULL THEN array_except(sequence(0, size(l) - 1), covered) END"))
         .select(
@@ -67,7 +71,7 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
             F.expr("CASE WHEN text IS NULL THEN 0 ELSE size(l) END").cast("long").alias("n_lines"),
             F.expr("CASE WHEN covered IS NULL THEN 0 ELSE size(covered) END").cast("long").alias("n_removed"),
             F.expr("CASE WHEN covered IS NULL THEN coalesce(text, '') ELSE array_join(transform(stay, i -> element_at(l, i + 1)), '\n') END").alias("kept"),
-            F.col("t").alias("text_hash"),
+            *(["carry.*"] if carry else []),
         )
     )
 

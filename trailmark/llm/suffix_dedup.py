@@ -27,12 +27,13 @@ text; an empty table gives an empty table. Only doc_id and text are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import BYTE_SYMBOL, U, Spans, mix, multikey_sort, place, ranges, slices, utf8, words_at
 from .common import documents, public_id, shuffle_partitions, stored
@@ -45,6 +46,7 @@ STEP = 8  # window starts that are compared together when a suffix is first open
 
 _RECORD = "lead long, rest long, doc long, pos long"
 _KEYS = ("lead", "rest", "doc", "pos")
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _COPY, _OPEN, _FIRST, _LAST = 0, 1, 2, 3
 
 
@@ -270,16 +272,15 @@ def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(lists, "doc_id", how)
 
 
-def _remove(length: int, as_text: bool):
+def _remove(length: int, as_text: bool, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             marks = batch.column("marks")
             check = _checks(data, offsets)
-            removed, spans, kept, sums = [], [], [], []
+            removed, spans, kept = [], [], []
             for i in range(len(batch)):
                 own = data[offsets[i] : offsets[i + 1]]
-                sums.append(zlib.crc32(own))
                 lo = hi = np.zeros(0, np.int64)
                 if marks[i].is_valid:
                     pos = marks[i].values.to_numpy()
@@ -304,19 +305,19 @@ def _remove(length: int, as_text: bool):
                     pa.array(removed, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(kept, pa.string() if as_text else pa.binary()),
-                    pa.array(sums, pa.int64()),
+                    *([batch.column("carry")] if carry else []),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "spans", "kept", "text_crc32"],
+                ["doc_id", "n_bytes", "n_removed", "spans", "kept", *(["carry"] if carry else [])],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier (in a document
     with a smaller doc_id, or in the same one). Returns a row for each input row: doc_id, n_bytes,
     n_removed, spans (array of start, end in bytes), kept (the remaining bytes; with ``as_text`` as a
-    string, without characters of which a part went) and text_crc32 (of the text as it was)."""
+    string, without characters of which a part went) and the columns named in ``carry``."""
     if not GRAM + STEP <= length <= 1024:
         raise ValueError(f"length must be from {GRAM + STEP} to 1024")
     own = documents(docs)
@@ -340,12 +341,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
         more, open_ = _copies(records.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=step > 1)
         copies = copies.unionByName(more)
 
-    return (
-        _marked(own, copies, "left")
-        .mapInArrow(
-            _remove(length, as_text),
-            "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, "
-            f"kept {'string' if as_text else 'binary'}, text_crc32 long",
-        )
-        .withColumn("doc_id", public_id())
+    last = documents(docs, carry)
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("n_bytes", T.LongType()),
+            T.StructField("n_removed", T.LongType()),
+            T.StructField("spans", T.ArrayType(_SPAN)),
+            T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
+            *([last.schema["carry"]] if carry else []),
+        ]
+    )
+    found = _marked(last, copies, "left").mapInArrow(_remove(length, as_text, bool(carry)), schema)
+    return found.select(
+        public_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", *(["carry.*"] if carry else [])
     )
