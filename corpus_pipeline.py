@@ -9,7 +9,7 @@ text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import langid, line_dedup, packing, simhash, suffix_dedup
@@ -17,6 +17,7 @@ from trailmark.llm.common import stored
 from trailmark.llm.queries import remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = ("lang", "source")
 LEAST_SHARE = 0.5  # of a document's language in the likelihood
 
 
@@ -26,12 +27,9 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(*COLUMNS)
 
 
-def _with_texts(docs: DataFrame, key: Column, texts: DataFrame) -> DataFrame:
-    """docs with the texts of ``texts`` (doc_id, key, text): key tells apart rows that share a doc_id."""
-    rest = docs.withColumn("key", key).select("doc_id", "key", "lang", "source")
-    new = texts.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "text")
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("key").eqNullSafe(F.col("of_key"))
-    return rest.join(new, same).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _with_text(kept: DataFrame) -> DataFrame:
+    """The columns of documents, from a deduplicated text and what was carried along with it."""
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.remove_repeated_lines(docs, lines=3)
-    texts = kept.select("doc_id", F.col("text_hash").alias("key"), F.col("kept").alias("text"))
-    return _with_texts(docs, F.xxhash64(F.col("text").cast("string")), texts)
+    return _with_text(line_dedup.remove_repeated_lines(docs, lines=3, carry=CARRIED))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +47,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.remove_repeats(docs, length=100, as_text=True)
-    texts = kept.select("doc_id", F.col("text_crc32").alias("key"), F.col("kept").alias("text"))
-    return _with_texts(docs, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), texts)
+    return _with_text(suffix_dedup.remove_repeats(docs, length=100, as_text=True, carry=CARRIED))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
