@@ -1,0 +1,67 @@
+"""The corpus pipeline and the registered queries."""
+
+from __future__ import annotations
+
+import os
+
+import corpus_pipeline
+from conftest import SF
+
+from __spark_entry__ import oracle_sql, queries
+from test_operators import _components, _fingerprint, _rows, _strip
+
+
+def test_registered():
+    names = [n for n in queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in queries() and "op7_line_dedup" in oracle_sql()
+    assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+
+
+def test_line_dedup_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF['0.001']}/documents.parquet'")
+    want = con.execute(oracle_sql()["op7_line_dedup"]).df().sort_values("doc_id")
+    got = queries()["op7_line_dedup"](spark, SF["0.001"]).toPandas().sort_values("doc_id")
+    assert got.values.tolist() == want[list(got.columns)].values.tolist()
+
+
+def test_stages_against_brute_force(spark):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", f"s{i % 3}", None) for i, t in _rows(11, 40)]
+    docs = spark.createDataFrame(rows, columns)
+    stages = dict(corpus_pipeline.STAGES)
+
+    left = stages["language_id"](spark, docs, "")
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    assert set(texts) == {i for i, t, *_ in rows if any(c.isalpha() for c in t or "")}
+
+    kept = stages["simhash_near_dedup"](spark, docs, "")
+    groups = _components({i: _fingerprint(t) for i, t, *_ in rows})
+    assert {r.doc_id for r in kept.collect()} == set(groups.values())
+
+    bytes_left = {r.doc_id: r for r in stages["suffix_array_dedup"](spark, docs, "").collect()}
+    want = _strip([(i, t or "") for i, t, *_ in rows], 100)
+    assert {i: r.text for i, r in bytes_left.items()} == {i: v[3].decode("utf-8", "ignore") for i, v in want.items()}
+    assert all(r.n_chars == len(r.text) and r.source == f"s{i % 3}" for i, r in bytes_left.items())
+
+    lines = stages["line_dedup"](spark, docs, "")
+    assert lines.columns == list(corpus_pipeline.COLUMNS) and lines.count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").collect() == [], name
+
+
+def test_pipeline_packs_what_the_stages_keep(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "s", None) for i, t in _rows(12, 30)]
+    spark.createDataFrame(rows, columns).write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.createDataFrame(rows, columns)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame([tuple(r) for r in stage(spark, docs, "").collect()], columns)
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, packed)) == sorted(map(key, want))

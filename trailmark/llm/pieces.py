@@ -113,7 +113,12 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     n_words = np.fromiter(map(len, listed), np.int64, len(listed))
     flat = np.empty(int(n_words.sum()), object)
     flat[:] = [w for words in listed for w in words]
-    which, distinct = pd.factorize(flat)
+    if any(MARK in t for t in texts if t):  # pandas can't tell words with a lone surrogate apart
+        seen: dict[str, int] = {}
+        which = np.array([seen.setdefault(w, len(seen)) for w in flat], np.int64)
+        distinct = list(seen)
+    else:
+        which, distinct = pd.factorize(flat)
     order, tokens, counts = [], [], []
     for at, matrix in by_length(list(distinct)):
         path_ = best_paths(pieces, scores, matrix)[:, ::-1]

@@ -99,6 +99,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int)
     step[starts[has]] = 1
     step[ends[has] - length + 1] -= 1
     at = np.flatnonzero(np.cumsum(step[: len(least)], dtype=np.int8))
+    if not len(at):
+        return [np.zeros(0, np.int64)] * 4
     anchor = at + (least[at] & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
