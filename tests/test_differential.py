@@ -15,7 +15,16 @@ from hypothesis import strategies as st
 
 from tools.oracle_check import digest
 from trailmark.operators import abtest, funnel, kpis, retention
-from trailmark.plans.oracle import MONTH_LABEL, ORACLE_SQL, SPLIT_BASE, SPLIT_LABEL, _comparison, over_tables
+from trailmark.plans.oracle import (
+    MONTH_LABELS,
+    MONTH_ON,
+    ORACLE_SQL,
+    SPLIT_BASE,
+    SPLIT_LABELS,
+    SPLIT_ON,
+    _comparison,
+    over_tables,
+)
 from trailmark.schemas import EVENTS, USERS
 from trailmark.sources.fixtures import split_cohorts
 
@@ -78,7 +87,7 @@ event_rows = st.lists(
 )
 
 
-MONTH_BASE_PLAIN = SPLIT_BASE.replace(SPLIT_LABEL, MONTH_LABEL)
+MONTH_BASE_PLAIN = SPLIT_BASE.replace(SPLIT_LABELS, MONTH_LABELS).replace(SPLIT_ON, MONTH_ON)
 EXTRA_SQL = {
     "cohort_retention_months": MONTH_BASE_PLAIN + "\nSELECT * FROM cohort_retention",
     "retention_comparison_months": _comparison(MONTH_BASE_PLAIN, "Jan 2024", "Feb 2024"),

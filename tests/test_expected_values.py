@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF, rows
 
-from __spark_entry__ import queries
+from trailmark.plans.registry import QUERIES
 
 EXPECTED = {
     "0.001": {
@@ -16,7 +16,7 @@ EXPECTED = {
         "lift": -20.0,
         "before": (9, 55.6, 22.2, 44.4, 0.0),
         "after": (6, 33.3, 33.3, 33.3, 0.0),
-        "daily_rows": 105,
+        "daily_rows": 195,
         "upgrades": 9,
         "month": {"Feb 2024": (24, 0.0, 0.0, 0.0, 4.2), "Jan 2024": (24, 0.0, 4.2, 0.0, 0.0), None: (102, 0.0, 2.0, 0.0, 3.9)},
     },
@@ -28,7 +28,7 @@ EXPECTED = {
         "lift": -24.580,
         "before": (86, 39.5, 34.9, 22.1, 0.0),
         "after": (64, 18.8, 35.9, 23.4, 0.0),
-        "daily_rows": 175,
+        "daily_rows": 265,
         "upgrades": 85,
         "month": {"Feb 2024": (206, 1.0, 1.0, 0.5, 1.5), "Jan 2024": (222, 3.2, 2.3, 2.3, 0.5), None: (1072, 2.1, 1.4, 1.9, 2.2)},
     },
@@ -37,7 +37,7 @@ EXPECTED = {
 
 @pytest.mark.parametrize("sf", sorted(EXPECTED))
 def test_fixture_values(spark, sf):
-    exp, d, q = EXPECTED[sf], SF[sf], queries()
+    exp, d, q = EXPECTED[sf], SF[sf], QUERIES
     steps = sorted(rows(q["funnel_steps"](spark, d), "step_number", "user_count", "conversion_rate"))
     assert [s[1] for s in steps] == exp["funnel"]
     assert [s[2] for s in steps[1:]] == exp["rates"]
@@ -55,7 +55,7 @@ def test_fixture_values(spark, sf):
 
 
 def test_invariants_sf001(spark):
-    d, q = SF["0.01"], queries()
+    d, q = SF["0.01"], QUERIES
     total = q["kpi_totals"](spark, d).first()
     assert sum(r[1] for r in rows(q["event_distribution"](spark, d))) == total.total_events
     assert sum(r[1] for r in rows(q["daily_signups"](spark, d))) <= total.total_users

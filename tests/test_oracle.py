@@ -7,10 +7,12 @@ import os
 import pytest
 from conftest import SF
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from trailmark.plans.oracle import ORACLE_SQL
+from trailmark.plans.registry import QUERIES
 from tools.oracle_check import digest, duck
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE_SQL) == set(QUERIES)
 
 
 def test_entry_smoke(spark):
@@ -30,21 +32,20 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    df = queries()[name](spark, SF["0.001"])
+    df = QUERIES[name](spark, SF["0.001"])
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    res = con.execute(oracle_sql()[name])
+    res = con.execute(ORACLE_SQL[name])
     d_cols, d_rows = [c[0] for c in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert digest(s_cols, s_rows)[0] == digest(d_cols, d_rows)[0]
 
 
-@pytest.mark.skipif(not os.environ.get("TRAILMARK_FULL_ORACLE"), reason="set TRAILMARK_FULL_ORACLE=1 for sf0.01")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle_sf001(spark, name):
     con = duck(SF["0.01"])
-    df = queries()[name](spark, SF["0.01"])
-    res = con.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, SF["0.01"])
+    res = con.execute(ORACLE_SQL[name])
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(
         [c[0] for c in res.description], res.fetchall()
     )[0]
@@ -62,9 +63,9 @@ SPARK_TO_DUCK = {
 
 
 def test_result_types_match_oracle(spark, con):
-    for name, q in queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, SF["0.001"])
-        rel = con.sql(oracle_sql()[name])
+        rel = con.sql(ORACLE_SQL[name])
         spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
         duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
         assert spark_types == duck_types, name
@@ -72,7 +73,7 @@ def test_result_types_match_oracle(spark, con):
 
 def test_date_results_do_not_depend_on_session_time_zone(spark):
     names = ["daily_events_by_type", "cohort_retention", "user_activity", "daily_signups", "cohort_retention_month"]
-    q = queries()
+    q = QUERIES
     before = {n: sorted(map(tuple, q[n](spark, SF["0.001"]).collect()), key=str) for n in names}
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")

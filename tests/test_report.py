@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from conftest import SF, rows
 
-from __spark_entry__ import queries
+from trailmark.plans.registry import QUERIES
 from trailmark.functions.frames import side_by_side
 from trailmark.plans.report import executive_summary
 from trailmark.sources.fixtures import load_mapping_a, split_cohorts
@@ -30,7 +30,7 @@ def test_summary_materialized_equals_lazy(spark):
 
 
 def test_summary_consistent_with_parts(spark):
-    q, d = queries(), SF["0.01"]
+    q, d = QUERIES, SF["0.01"]
     (s,) = q["executive_summary"](spark, d).collect()
     (lift,) = q["ab_lift"](spark, d).collect()
     (imp,) = q["retention_improvement"](spark, d).collect()

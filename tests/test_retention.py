@@ -101,33 +101,23 @@ def test_empty_activity(make_users, make_events):
     assert got == []
 
 
-@pytest.mark.parametrize("strategy", ["pre_aggregate", "join_first"])
-def test_strategies_agree_on_edge_rows(data, strategy):
-    got = rows(retention.cohort_retention(*data, strategy=strategy))
+def test_edge_rows(data):
+    got = rows(retention.cohort_retention(*data))
     assert got == [
         ("Feb 2024", 1, 100.0, 0.0, 0.0, 0.0),
         ("Jan 2024", 2, 100.0, 50.0, 0.0, 50.0),
         (None, 1, 0.0, 100.0, 0.0, 0.0),
     ]
-    assert dict(rows(retention.retention_ratio_doc(*data, strategy=strategy))) == {
+    assert dict(rows(retention.retention_ratio_doc(*data))) == {
         "Jan 2024": 0.5,
         "Feb 2024": None,
         None: 1.0,
     }
 
 
-def test_strategies_agree_on_driver_tables(spark):
-    from conftest import SF
-
-    from trailmark.sources.fixtures import load_mapping_a, load_mapping_b, split_cohorts
-
-    for users, events, lab in (
-        (*load_mapping_a(spark, SF["0.01"]), split_cohorts()),
-        (*load_mapping_b(spark, SF["0.01"]), None),
-    ):
-        a = rows(retention.user_retention_flags(users, events, lab, strategy="pre_aggregate"))
-        b = rows(retention.user_retention_flags(users, events, lab, strategy="join_first"))
-        assert sorted(a, key=str) == sorted(b, key=str)
-        a = rows(retention.retention_ratio_doc(users, events, lab, strategy="pre_aggregate"))
-        b = rows(retention.retention_ratio_doc(users, events, lab, strategy="join_first"))
-        assert sorted(a, key=str) == sorted(b, key=str)
+def test_no_limit_on_offsets(data):
+    users, events = data
+    wide = retention.user_retention_flags(users, events, days=list(range(61)))
+    few = retention.user_retention_flags(users, events, days=[1, 30, 31, 60])
+    assert wide.columns[-1] == "day_60"
+    assert sorted(rows(wide, "cohort", "user_id", "day_1", "day_30", "day_31", "day_60"), key=str) == sorted(rows(few), key=str)

@@ -77,7 +77,7 @@ def test_parquet_users_conform(spark, tmp_path, make_users):
 def test_mapping_a_shapes(spark):
     users, events = fixtures.load_mapping_a(spark, SF["0.001"])
     assert users.count() == 15
-    assert events.count() == 419
+    assert events.count() == 1000
     assert events.where("event_name IS NULL").count() == 0
     assert users.select("user_id").distinct().count() == users.count()
 

@@ -28,9 +28,10 @@ def test_bitmask_and_unpack(spark):
     assert dict(flags.dtypes)["fa"] == "int"
 
 
-def test_bitmask_limit():
-    with pytest.raises(ValueError):
-        bitmask_agg("x", list(range(32)), "m")
+def test_bitmask_of_many_values(spark):
+    masks = spark.range(0, 70, 3).withColumnRenamed("id", "x").agg(bitmask_agg("x", list(range(70)), "m"))
+    (row,) = masks.selectExpr(*unpack_bits("m", [f"f{i}" for i in range(70)])).collect()
+    assert list(row) == [int(i % 3 == 0) for i in range(70)]
 
 
 def test_stack_rows(spark):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sort_few(df: DataFrame, *cols) -> DataFrame:
-    """Order a result with a handful of rows by construction (one per A/B group,
-    cohort or event type) inside one partition.
+    """Order a result with a handful of rows by construction (one per A/B group
+    or cohort label) inside one partition.
 
     A global ``orderBy`` would add a range-partitioning sample job and a shuffle;
     here the input is the partial aggregates of at most a few groups per map

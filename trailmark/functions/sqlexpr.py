@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MASK_BITS = 31  # flags in one INT
+
+
 def lit_sql(value) -> str:
     """A Python value as a SQL literal (strings quoted, doubles typed as DOUBLE)."""
     if value is None:
@@ -33,19 +36,23 @@ def bitmask_agg(column: str, values, alias: str) -> Column:
     """``bit_or`` of bit i for rows where ``column = values[i]``: which values ever occurred, as one INT.
 
     Combines map-side like ``max``; through a shuffle it is one field instead of
-    one per value (each field is an 8-byte slot).
+    one per value (each field is an 8-byte slot). More than 31 values become an array of
+    such masks, read by ``unpack_bits`` in the same way.
     """
-    if len(values) > 31:
-        raise ValueError("at most 31 values per mask")
-    bits = " | ".join(
-        f"CASE WHEN `{column}` = {lit_sql(v)} THEN {1 << i} ELSE 0 END" for i, v in enumerate(values)
-    )
-    return F.expr(f"bit_or({bits})").alias(alias)
+    values = list(values)
+    masks = []
+    for at in range(0, max(len(values), 1), MASK_BITS):
+        part = values[at : at + MASK_BITS]
+        bits = " | ".join(f"CASE WHEN `{column}` = {lit_sql(v)} THEN {1 << i} ELSE 0 END" for i, v in enumerate(part))
+        masks.append(f"bit_or({bits or 0})")
+    return F.expr(masks[0] if len(masks) == 1 else f"array({', '.join(masks)})").alias(alias)
 
 
 def unpack_bits(mask: str, names) -> list[str]:
     """0/1 INT columns ``names[i]`` from bit i of ``mask`` (SQL select expressions)."""
-    return [f"shiftright({mask}, {i}) & 1 AS {name}" for i, name in enumerate(names)]
+    names = list(names)
+    word = (lambda i: mask) if len(names) <= MASK_BITS else (lambda i: f"{mask}[{i // MASK_BITS}]")
+    return [f"shiftright({word(i)}, {i % MASK_BITS}) & 1 AS {name}" for i, name in enumerate(names)]
 
 
 def pct_sql(part: str, whole: str, digits: int | None = None) -> str:

@@ -52,10 +52,10 @@ def with_chi2_2x2(df: DataFrame, a: str, b: str, c: str, d: str, yates: bool = T
     )
     t = t.selectExpr(
         "*",
-        "try_divide(CAST(_r1 * _c1 AS DOUBLE), _n) AS _e_a",
-        "try_divide(CAST(_r1 * _c2 AS DOUBLE), _n) AS _e_b",
-        "try_divide(CAST(_r2 * _c1 AS DOUBLE), _n) AS _e_c",
-        "try_divide(CAST(_r2 * _c2 AS DOUBLE), _n) AS _e_d",
+        "try_divide(CAST(_r1 AS DOUBLE) * _c1, _n) AS _e_a",
+        "try_divide(CAST(_r1 AS DOUBLE) * _c2, _n) AS _e_b",
+        "try_divide(CAST(_r2 AS DOUBLE) * _c1, _n) AS _e_c",
+        "try_divide(CAST(_r2 AS DOUBLE) * _c2, _n) AS _e_d",
     )
     t = t.selectExpr(
         "*",

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.frames import sort_few
 from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, ratio_sql
 from trailmark.schemas import (
     AB_CONTROL,
@@ -116,7 +115,7 @@ def event_distribution(events: DataFrame) -> DataFrame:
         events.where(F.col("event_name").isNotNull())
         .groupBy(F.col("event_name").alias("event_type"))
         .agg(F.count(F.lit(1)).alias("event_count"))
-        .transform(lambda df: sort_few(df, F.col("event_count").desc(), F.col("event_type").asc()))
+        .orderBy(F.col("event_count").desc(), F.col("event_type").asc())
     )
 
 
@@ -182,7 +181,7 @@ def events_filtered(
 def event_types(events: DataFrame) -> DataFrame:
     """Distinct event types (NULL included), in order of first appearance in the log."""
     first_seen = events.groupBy("event_name").agg(F.min("event_id").alias("first_event_id"))
-    return sort_few(first_seen, F.col("first_event_id").asc_nulls_last(), "event_name").select("event_name")
+    return first_seen.orderBy(F.col("first_event_id").asc_nulls_last(), "event_name").select("event_name")
 
 
 def dataset_summary(users: DataFrame, events: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.frames import sort_few
 from trailmark.functions.sqlexpr import bitmask_agg, lit_sql, pct_sql, stack_rows, unpack_bits
-from trailmark.session import broadcastable
 from trailmark.schemas import (
     ACTIVITY_EVENT,
     BASELINE_COHORT,
@@ -114,28 +113,16 @@ def activity_days(events: DataFrame, activity_event: str = ACTIVITY_EVENT) -> Da
 
 
 def _active_offsets(
-    users: DataFrame, events: DataFrame, labeler: Labeler | None, activity_event: str, strategy: str = "auto"
+    users: DataFrame, events: DataFrame, labeler: Labeler | None, activity_event: str
 ) -> DataFrame:
     """(cohort, user_id, n_events, offset) rows of every cohort user's activity.
 
-    ``pre_aggregate``: activity is reduced to (user, date) counts before the join,
-    so a hot user is a few rows per day before any shuffle; the default at scale.
-    ``join_first``: activity rows meet a broadcast users side without any shuffle
-    and the per-(cohort, user) aggregate that follows combines them map-side;
-    cheaper when users are small. ``auto`` picks ``join_first`` only when the
-    users side's size estimate is within the broadcast threshold.
+    Activity is reduced to (user, date) counts before the join, so a hot user is a
+    few rows per day before any shuffle. Which side is broadcast, if any, is left to
+    the planner and its runtime sizes.
     """
     cohorts = user_cohorts(users, labeler)
-    if strategy == "auto":
-        strategy = "join_first" if broadcastable(cohorts) else "pre_aggregate"
-    if strategy == "join_first":
-        acts = events.where(
-            (F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull()
-        ).select("user_id", F.to_date("event_timestamp").alias("activity_date"), F.lit(1).alias("n_events"))
-    elif strategy == "pre_aggregate":
-        acts = activity_days(events, activity_event)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+    acts = activity_days(events, activity_event)
     return cohorts.join(acts, "user_id", "inner").select(
         "cohort",
         "user_id",
@@ -150,14 +137,13 @@ def user_retention_flags(
     labeler: Labeler | None = None,
     days: Sequence[int] = RETENTION_DAYS,
     activity_event: str = ACTIVITY_EVENT,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Per (cohort, user): 0/1 active on exactly day N for each N in ``days``.
 
     Offsets are not filtered before grouping: any activity makes a user part of
-    the cohort's base. ``strategy``: see ``_active_offsets``.
+    the cohort's base.
     """
-    active = _active_offsets(users, events, labeler, activity_event, strategy)
+    active = _active_offsets(users, events, labeler, activity_event)
     masks = active.groupBy("cohort", "user_id").agg(bitmask_agg("offset", list(days), "day_mask"))
     return masks.selectExpr("cohort", "user_id", *unpack_bits("day_mask", [f"day_{d}" for d in days]))
 
@@ -168,14 +154,13 @@ def cohort_retention(
     labeler: Labeler | None = None,
     days: Sequence[int] = RETENTION_DAYS,
     activity_event: str = ACTIVITY_EVENT,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Per cohort: active users and % retained on each day (1 decimal), by label.
 
     ``cohort_size`` counts rows of O16, which are unique per (cohort, user) with a
     non-NULL user, so it equals the distinct user count without a distinct aggregate.
     """
-    flags = user_retention_flags(users, events, labeler, days, activity_event, strategy)
+    flags = user_retention_flags(users, events, labeler, days, activity_event)
     return retention_from_flags(flags, days)
 
 
@@ -285,14 +270,13 @@ def retention_ratio_doc(
     labeler: Labeler | None = None,
     day: int = 7,
     activity_event: str = ACTIVITY_EVENT,
-    strategy: str = "auto",
 ) -> DataFrame:
     """D3: per cohort, day-``day`` activity *events* over distinct active users (a fraction).
 
     Computed from the per-(user, date) event counts, so the event-level rows are
     never materialised.
     """
-    active = _active_offsets(users, events, labeler, activity_event, strategy)
+    active = _active_offsets(users, events, labeler, activity_event)
     return active.groupBy("cohort").agg(
         (
             F.sum(F.when(F.col("offset") == F.lit(day), F.col("n_events")))

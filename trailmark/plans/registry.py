@@ -1,7 +1,8 @@
 """Named queries over the shared test tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Every query reads the given parquet tables in full (through the mapping A / B
-adapters) and runs one operator on them; nothing is sampled or capped.
+Every query reads the given parquet tables through the mapping A / B adapters, which
+keep every row, and runs one operator on them. Sources are read anew for each call, so
+new files are seen.
 """
 
 from __future__ import annotations
@@ -12,38 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.operators import abtest, funnel, kpis, retention
 from trailmark.plans import report
-from trailmark.sources import fixtures
-from trailmark.sources.fixtures import split_cohorts
+from trailmark.sources.fixtures import load_mapping_a, load_mapping_b, split_cohorts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Source plans per (session, table folder). Only the lazily defined DataFrames are
-# kept (no data): building them costs hundreds of JVM round trips, and every
-# query over the same folder starts from the same plan.
-_SOURCES: dict[tuple[str, str, str], tuple[SparkSession, DataFrame, DataFrame]] = {}
-
-
-def _sources(kind: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    key = (spark.sparkContext.applicationId, kind, sf_dir.rstrip("/"))
-    hit = _SOURCES.get(key)
-    if hit is None or hit[0] is not spark:
-        loader = fixtures.load_mapping_a if kind == "a" else fixtures.load_mapping_b
-        hit = _SOURCES[key] = (spark, *loader(spark, sf_dir))
-    return hit[1], hit[2]
-
-
-def load_mapping_a(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _sources("a", spark, sf_dir)
-
-
-def load_mapping_b(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _sources("b", spark, sf_dir)
-
-
-def clear_sources() -> None:
-    """Forget memoized source plans (e.g. after the table folders changed)."""
-    _SOURCES.clear()
-
 # Registry parameters (fixed so that the Spark and SQL sides agree).
 USERS_FILTER = {"plans": ["Paid"], "groups": ["A", "B"], "months": [1]}
 EVENTS_FILTER = {"event_types": ["created_project", "invited_teammate"], "user_id_text": "7"}
@@ -144,7 +117,7 @@ QUERIES: dict[str, Query] = {
     "retention_ratio_doc_month": _month(retention.retention_ratio_doc, day=7),
     # the analysis report's headline numbers (mapping A, before / after split)
     "executive_summary": _split(
-        report.executive_summary, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON, materialize=True
+        report.executive_summary, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON
     ),
     # KPIs, series, explore
     "kpi_totals": _on_both(kpis.kpi_totals),

@@ -78,19 +78,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcastable(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate of ``df`` is within the broadcast threshold.
-
-    The same statistics the planner uses for its own broadcast decision (file
-    sizes through projections, aggregates and filters); a disabled threshold
-    (-1) means never.
-    """
-    spark = df.sparkSession
-    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    if threshold <= 0:
-        return False
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = size if isinstance(size, int) else int(size.toString())
-    return size <= threshold

@@ -1,12 +1,14 @@
 """Users / events readers and CSV writers.
 
-The readers take a fixed schema: no inference pass over the data, 64-bit ids,
-and timezone-free timestamps.
+CSV columns are found by their header names, in any order, and read without an
+inference pass: 64-bit ids, dates, timezone-free timestamps (``2024-01-05 10:00:00``,
+with ``T``, without seconds or with fractions). Empty text is NULL; any other text that
+is no value of its column's type is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.schemas import EVENTS, USERS
@@ -17,28 +19,31 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 def read_users(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Users table: ``user_id, sign_up_date, plan_type, ab_test_group``."""
-    if fmt == "csv":
-        return (
-            spark.read.schema(USERS)
-            .option("header", True)
-            .option("dateFormat", DATE_FORMAT)
-            .option("mode", "PERMISSIVE")
-            .csv(path)
-        )
-    return conform(spark.read.format(fmt).load(path), USERS)
+    return _read(spark, path, fmt, USERS)
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Events table: ``event_id, user_id, event_timestamp, event_name``."""
-    if fmt == "csv":
-        return (
-            spark.read.schema(EVENTS)
-            .option("header", True)
-            .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-            .option("mode", "PERMISSIVE")
-            .csv(path)
-        )
-    return conform(spark.read.format(fmt).load(path), EVENTS)
+    return _read(spark, path, fmt, EVENTS)
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
+    if fmt != "csv":
+        return conform(spark.read.format(fmt).load(path), schema)
+    text = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(text.columns)}")
+    return text.select(*[_typed(f) for f in schema.fields])
+
+
+def _typed(field) -> Column:
+    text, kind = F.col(field.name), field.dataType.simpleString()
+    if kind == "string":
+        return text
+    value = text.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"{field.name} is no {kind}: "), text)).cast(field.dataType)
+    return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value).alias(field.name)
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -56,8 +61,9 @@ def parse_temporal(users: DataFrame, events: DataFrame) -> tuple[DataFrame, Data
     return users, events
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a headered CSV directory (one part file per partition).
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a headered CSV directory (one part file per partition). A folder that exists is
+    an error unless ``mode`` says otherwise.
 
     Dates and timestamps are written in the same text formats the readers
     expect, so a written table reads back unchanged.

@@ -39,25 +39,20 @@ def mapped_event_name(event_type: Column, value: Column) -> Column:
         .when((event_type == "click") & (value >= 150), F.lit(S.INVITED_TEAMMATE))
         .when((event_type == "click") & (value >= 100), F.lit(S.VIEWED_PRICING))
         .when((event_type == "purchase") & (value >= 150), F.lit(S.UPGRADED_PLAN))
+        .otherwise(event_type)
     )
 
 
 def app_events(raw_events: DataFrame) -> DataFrame:
     """Mapping A event log: ``event_id, user_id, event_timestamp, event_name``.
 
-    Rows that map to no product event are dropped. The ``event_type`` pre-filter
-    is implied by the mapping and reaches the parquet scan as a pushed filter.
+    Every row is kept; one that maps to no product event keeps its raw type as name.
     """
-    name = mapped_event_name(F.col("event_type"), F.col("value"))
-    return (
-        raw_events.where(F.col("event_type").isin("signup", "view", "click", "purchase"))
-        .select(
-            "event_id",
-            "user_id",
-            F.col("ts").alias("event_timestamp"),
-            name.alias("event_name"),
-        )
-        .where(F.col("event_name").isNotNull())
+    return raw_events.select(
+        "event_id",
+        "user_id",
+        F.col("ts").alias("event_timestamp"),
+        mapped_event_name(F.col("event_type"), F.col("value")).alias("event_name"),
     )
 
 
