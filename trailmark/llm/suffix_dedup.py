@@ -240,8 +240,9 @@ def _cuts(sample: np.ndarray, buckets: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(sample[at, k]) for k in range(4)]
 
 
-def _collect(df: DataFrame) -> np.ndarray:
-    rows = df.limit(SAMPLE_ROWS).toArrow()
+def _splitters(records: DataFrame, n: int) -> np.ndarray:
+    """About SAMPLE_ROWS / 2 of n records, drawn evenly; the limit bounds what reaches the driver."""
+    rows = records.sample(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)), seed=7).limit(SAMPLE_ROWS).toArrow()
     return np.stack([rows.column(k).to_numpy() for k in _KEYS], axis=1) if rows.num_rows else np.zeros((0, 4), np.int64)
 
 
@@ -328,9 +329,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
     n = own.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
     thin = 3
-    sample = _collect(own.sample(share, seed=7).mapInArrow(_anchor_rows(length, None, thin), _RECORD))
-    buckets = max(shuffle_partitions(spark), int(len(sample) * 2**thin / share / BUCKET_ROWS) + 1)
-    cuts = _cuts(sample, buckets)
+    sample = stored(own.sample(share, seed=7).mapInArrow(_anchor_rows(length, None, thin), _RECORD), "sample")
+    n = sample.count()
+    buckets = max(shuffle_partitions(spark), int(n * 2**thin / share / BUCKET_ROWS) + 1)
+    cuts = _cuts(_splitters(sample, n), buckets)
     copies, open_ = _copies(
         own.mapInArrow(_anchor_rows(length, cuts), f"{_RECORD}, bucket int"), buckets, open_edges=True
     )
@@ -339,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
         records = stored(_marked(own, open_, "inner").mapInArrow(_opened_rows(length, step), _RECORD), f"opened-{step}")
         n = records.count()
         buckets = max(shuffle_partitions(spark), n // BUCKET_ROWS + 1)
-        cuts = _cuts(_collect(records.sample(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)), seed=7)), buckets)
+        cuts = _cuts(_splitters(records, n), buckets)
         more, open_ = _copies(records.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=step > 1)
         copies = copies.unionByName(more)
 
