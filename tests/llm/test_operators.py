@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trailmark.llm import (
+    arrays,
     chunk_fingerprints,
     elias_fano,
     langid,
@@ -84,6 +85,14 @@ def _strip(rows, length):
     return out
 
 
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_suffix_dedup_is_exact_on_other_tables(spark, seed):
+    rows = _rows(seed)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 100).collect()
+    want = _strip([(i, t or "") for i, t in rows], 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == want
+
+
 def test_suffix_dedup_is_exact(docs, data):
     got = suffix_dedup.remove_repeats(docs, 100).collect()
     want = _strip([(i, t or "") for i, t in data], 100)
@@ -91,6 +100,26 @@ def test_suffix_dedup_is_exact(docs, data):
     assert sum(v[1] for v in want.values()) > 0
 
 
+def test_suffix_dedup_with_many_small_buckets(docs, data, monkeypatch):
+    """The sample for splitters grows with the number of buckets; runs reach over bucket boundaries."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 60)
+    got = suffix_dedup.remove_repeats(docs, 100).collect()
+    want = _strip([(i, t or "") for i, t in data], 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == want
+
+
+def test_rows_are_placed_between_cuts_that_tie():
+    """Several cuts with the same leading key, and others right after them."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        cuts = sorted(tuple(int(x) for x in rng.integers(0, 3, 4)) for _ in range(rng.integers(0, 12)))
+        rows = [tuple(int(x) for x in rng.integers(0, 4, 4)) for _ in range(50)]
+        columns = lambda xs: [np.array([x[k] for x in xs], np.int64) for k in range(4)]
+        assert arrays.place(columns(rows), columns(cuts)).tolist() == [sum(c < r for c in cuts) for r in rows]
+
+
 def test_suffix_dedup_repeated_rows_null_ids_and_carried_columns(spark, empty):
     a, b = "0123456789" * 30, "abcdefghij" * 15
     df = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (2, a + b, "y"), (None, b, "z")], "doc_id long, text string, kept string")

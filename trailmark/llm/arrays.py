@@ -115,8 +115,9 @@ def place(keys: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
     high = np.searchsorted(cuts[0], keys[0], "right")
     if len(keys) > 1:
         tie = np.flatnonzero(low < high)
-        for v in np.unique(low[tie]):
-            at = tie[low[tie] == v]
+        first = low[tie]  # a copy: low changes below
+        for v in np.unique(first):
+            at = tie[first == v]
             part = slice(v, high[at[0]])
             low[at] = v + place([k[at] for k in keys[1:]], [c[part] for c in cuts[1:]])
     return low
