@@ -7,7 +7,8 @@ tokens: 4 bytes and a 32-bit fingerprint of the first 16; a 64-bit fingerprint o
 stretch its windows cover; document; place).
 
 1. Splitters from a sample of documents range-partition the records by leading tokens, then by
-   the other keys, so a passage that fills a third of the table is split over many buckets.
+   the other keys, so a passage that fills a third of the table is split over many buckets. The
+   sample grows with the number of buckets, so buckets do not grow with the table.
 2. Each bucket sorts its records by multikey quicksort. A record equal to the one before it has
    an earlier copy: all its windows go. The first and last record of each bucket are compared
    across the boundaries on the driver (two rows a bucket).
@@ -39,9 +40,11 @@ from .arrays import BYTE_SYMBOL, U, Spans, mix, multikey_sort, place, ranges, sl
 from .common import documents, public_id, shuffle_partitions, stored
 
 GRAM = 16  # bytes whose hash decides on anchors
-SAMPLE_DOCS = 4000  # documents sampled for splitters
-SAMPLE_ROWS = 40_000  # records sampled for splitters, on the driver
-BUCKET_ROWS = 400_000  # records a bucket should hold
+SAMPLE_DOCS = 4000  # documents sampled for splitters at first
+SAMPLE_ROWS = 20_000  # records sampled for splitters, on the driver: so many, or
+PER_BUCKET = 4  # so many for each bucket (128 bytes), if that is more
+THIN = 3  # the sample keeps one record in 2**THIN
+BUCKET_ROWS = 1_000_000  # records a bucket should hold
 STEP = 8  # window starts that are compared together when a suffix is first opened
 
 _RECORD = "lead long, rest long, doc long, pos long"
@@ -240,9 +243,9 @@ def _cuts(sample: np.ndarray, buckets: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(sample[at, k]) for k in range(4)]
 
 
-def _splitters(records: DataFrame, n: int) -> np.ndarray:
-    """About SAMPLE_ROWS / 2 of n records, drawn evenly; the limit bounds what reaches the driver."""
-    rows = records.sample(min(1.0, SAMPLE_ROWS / 2 / max(n, 1)), seed=7).limit(SAMPLE_ROWS).toArrow()
+def _splitters(records: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """Of n records, drawn evenly, about as many as make buckets of like size."""
+    rows = records.sample(min(1.0, max(SAMPLE_ROWS, PER_BUCKET * buckets) / max(n, 1)), seed=7).toArrow()
     return np.stack([rows.column(k).to_numpy() for k in _KEYS], axis=1) if rows.num_rows else np.zeros((0, 4), np.int64)
 
 
@@ -255,18 +258,16 @@ def _copies(bucketed: DataFrame, buckets: int, open_edges: bool) -> tuple[DataFr
         ),
         "suffix-runs",
     )
-    # two rows for each bucket: does its first run begin in a bucket before?
-    ends = sorted((r.bucket, r.kind, r.lead, r.rest, r.doc, r.pos) for r in told.filter(f"kind >= {_FIRST}").collect())
-    copies, opened_, before = [], [], None
-    for _, kind, lead, rest, doc, pos in ends:
-        if kind == _FIRST:
-            (copies if before == (lead, rest) else opened_).append((doc, pos))
-        else:
-            before = (lead, rest)
+    # two rows for each bucket, its first and last record: does its first run begin in a bucket before?
+    ends = told.filter(f"kind >= {_FIRST}").toArrow().sort_by([("bucket", "ascending"), ("kind", "ascending")])
+    lead, rest = (ends.column(k).to_numpy() for k in ("lead", "rest"))
+    goes_on = np.zeros(ends.num_rows // 2, bool)
+    goes_on[1:] = (lead[2::2] == lead[1:-1:2]) & (rest[2::2] == rest[1:-1:2])
+    firsts = ends.select(["doc", "pos"]).take(np.arange(0, ends.num_rows, 2))
     rows = lambda kind, more: told.filter(F.col("kind") == kind).select("doc", "pos").unionByName(
-        spark.createDataFrame(more, "doc long, pos long")
+        spark.createDataFrame(firsts.filter(pa.array(more)), "doc long, pos long")
     )
-    return rows(_COPY, copies), rows(_OPEN, opened_) if open_edges else None
+    return rows(_COPY, goes_on), rows(_OPEN, ~goes_on) if open_edges else None
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -326,13 +327,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
     own = documents(docs)
     spark = own.sparkSession
 
-    n = own.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    thin = 3
-    sample = stored(own.sample(share, seed=7).mapInArrow(_anchor_rows(length, None, thin), _RECORD), "sample")
-    n = sample.count()
-    buckets = max(shuffle_partitions(spark), int(n * 2**thin / share / BUCKET_ROWS) + 1)
-    cuts = _cuts(_splitters(sample, n), buckets)
+    share = min(1.0, SAMPLE_DOCS / max(own.count(), 1))
+    while True:
+        sample = stored(own.sample(share, seed=7).mapInArrow(_anchor_rows(length, None, THIN), _RECORD), "sample")
+        n = sample.count()
+        buckets = max(shuffle_partitions(spark), int(n * 2**THIN / share / BUCKET_ROWS) + 1)
+        if share == 1 or n >= PER_BUCKET * buckets:
+            break
+        share = min(1.0, 2 * share * PER_BUCKET * buckets / max(n, 1))
+    cuts = _cuts(_splitters(sample, n, buckets), buckets)
     copies, open_ = _copies(
         own.mapInArrow(_anchor_rows(length, cuts), f"{_RECORD}, bucket int"), buckets, open_edges=True
     )
@@ -341,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
         records = stored(_marked(own, open_, "inner").mapInArrow(_opened_rows(length, step), _RECORD), f"opened-{step}")
         n = records.count()
         buckets = max(shuffle_partitions(spark), n // BUCKET_ROWS + 1)
-        cuts = _cuts(_splitters(records, n), buckets)
+        cuts = _cuts(_splitters(records, n, buckets), buckets)
         more, open_ = _copies(records.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=step > 1)
         copies = copies.unionByName(more)
 
