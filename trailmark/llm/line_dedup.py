@@ -4,8 +4,10 @@ Every three consecutive lines are hashed (two 64-bit hashes with different begin
 also occurs earlier, in a document with a smaller doc_id or further up in the same one, is a
 repeat; all its lines are covered, and overlapping windows merge. Covered lines go.
 
-Hot windows: first occurrences come from an aggregate (partial before the shuffle), and the join that
-finds the others is an ordinary equality join, whose skewed partitions adaptive execution splits.
+Hot windows: first occurrences of repeated windows come from an aggregate (partial before the shuffle)
+and are written as a table. The join that finds the others is an ordinary equality join of that table:
+adaptive execution splits a skewed partition, which it could not do beside an aggregate in the same
+stage, and a small table spares the windows their shuffle.
 Positions are gathered for one document at a time.
 
 Nulls and edge cases: a null text has no lines and keeps an empty text; an empty text is one empty
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, public_id
+from .common import documents, public_id, stored
 
 LINES = 3
 
@@ -48,11 +50,12 @@ def remove_repeated_lines(docs: DataFrame, lines: int = LINES, carry: Sequence[s
     named in ``carry`` for each row."""
     own = documents(docs).withColumn("t", F.xxhash64("text"))
     windows = _windows(own, lines)
-    firsts = (
+    firsts = stored(
         windows.groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "first-windows",
     )
     repeats = windows.join(firsts, ["h1", "h2"]).where("struct(doc_id, t, pos) <> first")
     covered = (
