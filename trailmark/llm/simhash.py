@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, public_id, stored
 from .components import components
@@ -80,8 +79,10 @@ def _variants(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame, max_bits: int) -> DataFrame:
     """prints: rep, fp, distinct by fp. Links u, v between reps within ``max_bits`` bits, enough to
     connect all that are."""
-    sized = _variants(prints).withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1")
-    shared = stored(sized, "variants")
+    variants = _variants(prints)
+    # counted before the shuffle and joined as a table, so a frequent variant is split, too
+    sizes = stored(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "variant-sizes")
+    shared = stored(variants.join(sizes, "variant"), "variants")
     pairs = (
         shared.where(F.col("n") <= GROUP)
         .groupBy("variant")
