@@ -80,9 +80,10 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     """prints: rep, fp, distinct by fp. Links u, v between reps within ``max_bits`` bits, enough to
     connect all that are."""
     variants = _variants(prints)
-    # counted before the shuffle and joined as a table, so a frequent variant is split, too
+    # counted before the shuffle and joined as a table, so a frequent variant is split, too; the counts
+    # grow with the documents, so they are never broadcast
     sizes = stored(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "variant-sizes")
-    shared = stored(variants.join(sizes, "variant"), "variants")
+    shared = stored(variants.join(sizes.hint("merge"), "variant"), "variants")
     pairs = (
         shared.where(F.col("n") <= GROUP)
         .groupBy("variant")
