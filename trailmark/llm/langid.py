@@ -10,12 +10,13 @@ of doc_id. Everything else covers all rows and whole texts.
 
 Nulls and edge cases: a null text and one without a letter are ``und`` with score 0; rows with a null
 lang are not learned from; ties go to the language first in order; without any training row all are
-``und``; words of more than 64 letters count as several; repeated rows get equal answers; an empty
-table gives an empty table. Only doc_id, text and (for training rows) lang are read.
+``und``; words of any length are solved whole (the sums are rescaled, so long ones do not underflow);
+repeated rows get equal answers; an empty table gives an empty table. Only doc_id, text and (for training rows) lang are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,20 +31,20 @@ from pyspark.sql import functions as F
 
 from .arrays import slices, utf8
 from .common import documents, public_id, stored
-from .lattice import WORD_LIMIT, Pieces, by_length, vocabulary
+from .lattice import Pieces, matrices, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = 1e-9  # probability of a letter that is no piece
 SLICE = 4 << 20  # bytes of text whose distinct words are scored together
+SCALE = 200  # sums below 2**-SCALE are multiplied by 2**SCALE
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> list[str]:
-    found = _LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= WORD_LIMIT:
-        return found
-    return [w[i : i + WORD_LIMIT] for w in found for i in range(0, len(w), WORD_LIMIT)]
+def words_of(texts: list[str], pieces: Pieces) -> list[list[str]]:
+    """The words of each text; long ones in the parts that lattice.py splits them into, whose
+    probabilities multiply to the word's."""
+    return pieces.short([_LETTERS.findall(t.lower()) for t in texts])
 
 
 @lru_cache(maxsize=2)
@@ -53,35 +54,77 @@ def letter_pieces(path: str) -> Pieces:
     return Pieces(sorted(t for t in texts if t and _LETTERS.fullmatch(t)))
 
 
-def forward(pieces: Pieces, words: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probability of the first k letters of each word under each column of p (piece by language)."""
+def _lift(ahead: np.ndarray, lifts: np.ndarray) -> None:
+    """Multiplies by 2**SCALE the columns of ``ahead`` that have become too small, and counts that."""
+    if ahead[0].min(initial=1.0) >= 2.0**-SCALE:
+        return
+    top = ahead.max(axis=0)
+    low = (top > 0) & (top < 2.0**-SCALE)
+    ahead[:, low] *= 2.0**SCALE
+    lifts[low] += 1
+
+
+def scaled_forward(pieces: Pieces, words: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha and lifts: the first k letters of each word have probability alpha[k] * 2**(-SCALE * lifts[k])
+    under each column of p (piece by language)."""
     n, length = words.shape
     alpha = np.zeros((length + 1, n, p.shape[1]))
+    lifts = np.zeros(alpha.shape, np.int32)
+    now = np.zeros(alpha.shape[1:], np.int32)
     alpha[0] = 1
     for i in range(length):
+        # all sums that hold something already and are not done with are lifted together
+        _lift(alpha[i : i + pieces.longest], now)
+        if now.any():
+            lifts[i] = now
         known = np.zeros(n, bool)
         for end, rows, piece in pieces.matches(words, i):
             alpha[end, rows] += alpha[i, rows] * p[piece]
             if end == i + 1:
                 known[rows] = True
         alpha[i + 1, ~known] += alpha[i, ~known] * UNKNOWN
-    return alpha
+    lifts[length] = now
+    return alpha, lifts
 
 
-def expected_counts(pieces: Pieces, words: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+def forward(pieces: Pieces, words: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probability of the first k letters of each word under each column of p; of a long word it may
+    be below the least float."""
+    alpha, lifts = scaled_forward(pieces, words, p)
+    return np.ldexp(alpha, -SCALE * lifts)
+
+
+def log_probability(pieces: Pieces, words: np.ndarray, lengths: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log probability of each word under each column of p."""
+    alpha, lifts = scaled_forward(pieces, words, p)
+    rows = np.arange(len(words))
+    return np.log(alpha[lengths, rows]) - SCALE * math.log(2) * lifts[lengths, rows]
+
+
+def expected_counts(
+    pieces: Pieces, words: np.ndarray, weight: np.ndarray, p: np.ndarray, lengths: np.ndarray | None = None
+) -> np.ndarray:
     """Expected uses of each piece in all segmentations. p: a probability for each piece."""
     n, length = words.shape
-    alpha = forward(pieces, words, p[:, None])[:, :, 0]
+    alpha, lifts = (x[:, :, 0] for x in scaled_forward(pieces, words, p[:, None]))
+    last = np.full(n, length) if lengths is None else lengths
+    own = np.arange(n)
     beta = np.zeros((length + 1, n))
-    beta[length] = 1
+    beta[last, own] = 1
     counts = np.zeros(len(p))
-    scale = weight / alpha[length]
+    total, total_lifts = alpha[last, own], lifts[last, own]
+    beta_lifts = np.zeros(n, np.int32)
     for i in range(length - 1, -1, -1):
+        _lift(beta[i + 1 : i + 1 + pieces.longest], beta_lifts)
+        shift = SCALE * (total_lifts - lifts[i] - beta_lifts)
         known = np.zeros(n, bool)
         for end, rows, piece in pieces.matches(words, i):
             onward = p[piece] * beta[end, rows]
             beta[i, rows] += onward
-            counts += np.bincount(piece, alpha[i, rows] * onward * scale[rows], len(p))
+            share = alpha[i, rows] * onward / total[rows]
+            if shift.any():
+                share = np.ldexp(share, shift[rows])
+            counts += np.bincount(piece, share * weight[rows], len(p))
             if end == i + 1:
                 known[rows] = True
         beta[i, ~known] += UNKNOWN * beta[i + 1, ~known]
@@ -94,17 +137,21 @@ def _texts(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[tuple[int, int,
         yield i, j, [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        counts: Counter[tuple[str, str]] = Counter()
-        for i, _, texts in _texts(batch):
-            for k, text in enumerate(texts):
-                counts.update((langs[i + k], w) for w in words_of(text))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-            ["lang", "word", "n"],
-        )
+def _word_counts(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = letter_pieces(path)
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            counts: Counter[tuple[str, str]] = Counter()
+            for i, _, texts in _texts(batch):
+                for k, words in enumerate(words_of(texts, pieces)):
+                    counts.update((langs[i + k], w) for w in words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                ["lang", "word", "n"],
+            )
+
+    return run
 
 
 def _expectation(path: str, langs: list[str], p: np.ndarray):
@@ -118,8 +165,8 @@ def _expectation(path: str, langs: list[str], p: np.ndarray):
             which = np.array([langs.index(x) for x in lang])
             for g in np.unique(which):
                 own = np.flatnonzero(which == g)
-                for at, matrix in by_length([words[k] for k in own]):
-                    counts[:, g] += expected_counts(pieces, matrix, n[own[at]].astype(float), p[:, g])
+                for at, matrix, lengths in matrices([words[k] for k in own]):
+                    counts[:, g] += expected_counts(pieces, matrix, n[own[at]].astype(float), p[:, g], lengths)
         piece, g = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(g.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[piece, g])], ["g", "piece", "c"]
@@ -140,7 +187,7 @@ def learn(training: DataFrame, path: str, per_language: int = 3000, rounds: int
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, per_language / sizes[g])))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     words = stored(
-        chosen.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
+        chosen.mapInArrow(_word_counts(path), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "language-words",
     )
     for _ in range(rounds):
@@ -158,14 +205,14 @@ def learn(training: DataFrame, path: str, per_language: int = 3000, rounds: int
 
 def text_scores(texts: list[str], pieces: Pieces, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each text under each language, and its number of words."""
-    listed = [words_of(t) for t in texts]
+    listed = words_of(texts, pieces)
     count = np.fromiter(map(len, listed), np.int64, len(listed))
     flat = np.empty(int(count.sum()), object)
     flat[:] = [w for words in listed for w in words]
     which, distinct = pd.factorize(flat)
     word = np.zeros((len(distinct) + 1, p.shape[1]))
-    for at, matrix in by_length(list(distinct)):
-        word[at] = np.log(forward(pieces, matrix, p)[-1])
+    for at, matrix, lengths in matrices(list(distinct)):
+        word[at] = log_probability(pieces, matrix, lengths, p)
     letters = np.array([any(map(str.isalpha, w)) for w in distinct], bool)
     word[:-1][~letters] = 0
     owner = np.repeat(np.arange(len(texts)), count)

@@ -3,6 +3,10 @@
 Words of equal length form a matrix of code points and advance together. At each start the
 substring hashes of all rows grow by one code point a step and probe the sorted keys of the pieces'
 prefixes; rows whose substring begins no piece drop out.
+
+A word of more than ``WORD_LIMIT`` code points is split where no piece reaches across, so every
+segmentation of it breaks there and its parts are solved each by itself without loss. Parts that are
+still long share a matrix, filled up with ``PAD``, which no piece holds.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ import sentencepiece
 
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
-WORD_LIMIT = 64  # code points; a longer word is cut into words of that length
+WORD_LIMIT = 64  # code points; a longer word is split where no piece reaches across
+PAD = 0x110000  # no code point
+CELLS = 1 << 20  # of a matrix of long words
 
 
 def grow(h: np.ndarray, code_points: np.ndarray) -> np.ndarray:
@@ -59,6 +65,61 @@ class Pieces:
             if whole.any():
                 yield end, rows[whole], piece[whole]
 
+    def split(self, words: list[str]) -> list[list[str]]:
+        """The parts of each word between the places that no piece reaches across."""
+        joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(w) for w in words])
+        codes = np.insert(joined, ends, PAD) if len(words) else joined
+        reach = np.arange(1, len(codes) + 1)
+        rows = np.arange(len(codes))
+        h = np.zeros(len(codes), U)
+        for k in range(self.longest):
+            inside = rows + k < len(codes)
+            rows, h = rows[inside], h[inside]
+            h = grow(h, codes[rows + k])
+            piece = self.probe(h)
+            alive = piece >= -1
+            rows, h, piece = rows[alive], h[alive], piece[alive]
+            whole = rows[piece >= 0]
+            reach[whole] = whole + k + 1
+        far = np.maximum.accumulate(reach)
+        cuts = np.flatnonzero(far <= np.arange(1, len(codes) + 1)) + 1
+        out = []
+        for i, word in enumerate(words):
+            first = int(ends[i]) - len(word) + i  # one PAD after each word before
+            a, b = np.searchsorted(cuts, [first, first + len(word)], "right")
+            at = [0, *(cuts[a:b] - first).tolist()]
+            if at[-1] < len(word):
+                at.append(len(word))
+            out.append([word[x:y] for x, y in zip(at[:-1], at[1:])])
+        return out
+
+    def short(self, listed: list[list[str]]) -> list[list[str]]:
+        """Lists of words with the long ones split."""
+        long = list({w for words in listed if max(map(len, words), default=0) > WORD_LIMIT for w in words if len(w) > WORD_LIMIT})
+        if not long:
+            return listed
+        parts = dict(zip(long, self.split(long)))
+        return [[p for w in words for p in (parts[w] if len(w) > WORD_LIMIT else (w,))] for words in listed]
+
+
+def matrices(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, matrix of code points, lengths): words up to WORD_LIMIT by length, longer ones with
+    others of up to twice their length, filled up with PAD."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    usual = np.flatnonzero(lengths <= WORD_LIMIT)
+    for at, matrix in by_length([words[i] for i in usual]):
+        yield usual[at], matrix, np.full(len(at), matrix.shape[1])
+    long = np.flatnonzero(lengths > WORD_LIMIT)
+    long = long[np.argsort(lengths[long], kind="stable")]
+    while len(long):
+        fits = (lengths[long] <= 2 * lengths[long[0]]) & (lengths[long] * np.arange(1, len(long) + 1) <= CELLS)
+        at, long = np.split(long, [max(1, int(np.argmin(fits)) if not fits.all() else len(long))])
+        matrix = np.full((len(at), int(lengths[at].max())), PAD, np.uint32)
+        for row, i in zip(matrix, at):
+            row[: lengths[i]] = np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield at, matrix, lengths[at]
+
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, matrix of code points) of the words of each length."""
