@@ -1,0 +1,49 @@
+"""Ids of words longer than a lattice's usual block, against a plain Viterbi."""
+
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+
+from trailmark.llm import lattice, pieces
+
+PATH = public_tokenizers.path(pieces.VOCABULARY)
+URL = "https://example.org/assets/releases/2024/environment-configuration/download?version=latest&platform=environ"
+
+
+def _ids(text):
+    """One table over each whole word; of equals the path found first."""
+    texts, ids, scores, byte_ids = lattice.vocabulary(PATH)
+    place = {t: k for k, t in enumerate(texts)}
+    out = []
+    for word in text.split(" "):
+        word = pieces.MARK + word
+        best, back = [0.0] + [float("-inf")] * len(word), [None] * (len(word) + 1)
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + 16) + 1):
+                k = place.get(word[i:j])
+                if k is not None and best[i] + scores[k] > best[j]:
+                    best[j], back[j] = best[i] + scores[k], (i, [int(ids[k])])
+            if best[i] + scores.min() - 10 > best[i + 1]:
+                best[i + 1], back[i + 1] = best[i] + scores.min() - 10, (i, [int(byte_ids[b]) for b in word[i].encode()])
+        path, at = [], len(word)
+        while at:
+            at, own = back[at]
+            path.append(own)
+        out += [x for own in reversed(path) for x in own]
+    return out
+
+
+def test_ids_of_long_words_equal_brute_force():
+    rng = random.Random(5)
+    letters = "etaoinshrdlucm/.-_:=&?0123456789"
+    texts = [URL, URL * 3, "z" * 1000, "日本語のテキスト" * 40, "def f(x):\n\treturn{}\n" * 12, "a short text", URL + " " + URL[7:]]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(60, 400))) for _ in range(40)]
+    texts += ["the" * 30 + "environment" * rng.randint(5, 40) for _ in range(5)] + ["environment" * 3200]
+    ids, counts = pieces.encode_texts(texts, PATH)
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        assert ids[at : at + n].tolist() == _ids(text), text[:80]
+        at += n
+    assert pieces.decode_ids(ids, counts, PATH) == texts

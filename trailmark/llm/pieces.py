@@ -1,14 +1,13 @@
 """Encoding to and decoding from the pieces of a SentencePiece vocabulary, by batched Viterbi.
 
 A text is cut before each space; a space becomes the word mark, which also goes before the text. The
-segmentation of each such word is the one with the greatest sum of piece scores (of equals, the one
-with the longer pieces first). Words of equal length advance together: substring hashes probe the
+segmentation of each such word, however long, is the one with the greatest sum of piece scores (of
+equals, the one with the longer pieces first). Words of equal length advance together: substring hashes probe the
 sorted piece keys, and vectorised maxima store backpointers. A code point without a piece becomes
 its UTF-8 byte pieces, so decoding gives back every text exactly. No normalisation is applied.
 
-Nulls and edge cases: a null text has null ids and decodes to null; an empty one has no ids; words of
-more than 64 code points are cut into words of 64; repeated rows give equal rows; an empty table gives
-an empty table. Other columns are dropped.
+Nulls and edge cases: a null text has null ids and decodes to null; an empty one has no ids; repeated
+rows give equal rows; an empty table gives an empty table. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .arrays import slices, utf8
 from .common import documents, public_id
-from .lattice import WORD_LIMIT, Pieces, by_length, vocabulary
+from .lattice import Pieces, matrices, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -41,20 +40,17 @@ def _model(path: str) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray]:
 
 def words_of(text: str) -> list[str]:
     """The text's words, each with its mark."""
-    words = [MARK + w for w in text.replace(MARK, _LITERAL).split(" ")]
-    if max(map(len, words)) > WORD_LIMIT:
-        words = [w[i : i + WORD_LIMIT] for w in words for i in range(0, len(w), WORD_LIMIT)]
-    return words
+    return [MARK + w for w in text.replace(MARK, _LITERAL).split(" ")]
 
 
-def best_paths(pieces: Pieces, scores: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The best segmentation of each row, right to left, filled with -1. A value from _RAW on is a
-    code point to spell in bytes."""
+def best_paths(pieces: Pieces, scores: np.ndarray, words: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The best segmentation of each row (of its first ``lengths`` code points), right to left, filled
+    with -1. A value from _RAW on is a code point to spell in bytes."""
     n, length = words.shape
     unknown = scores.min() - 10
     best = np.full((length + 1, n), -np.inf)
     best[0] = 0
-    back = np.zeros((length + 1, n), np.int16)
+    back = np.zeros((length + 1, n), np.int16 if length < 1 << 15 else np.int32)
     used = np.full((length + 1, n), -1, np.int32)
     for i in range(length):
         known = np.zeros(n, bool)
@@ -70,7 +66,7 @@ def best_paths(pieces: Pieces, scores: np.ndarray, words: np.ndarray) -> np.ndar
         best[i + 1, spelt], back[i + 1, spelt] = score[spelt], i
         used[i + 1, spelt] = _RAW + words[spelt, i].astype(np.int32)
     path = np.full((n, length), -1, np.int32)
-    at = np.full(n, length)
+    at = np.full(n, length) if lengths is None else lengths.copy()
     rows = np.arange(n)
     for step in range(length):
         path[rows, step] = used[at[rows], rows]
@@ -109,7 +105,7 @@ def _spell(tokens: np.ndarray, counts: np.ndarray, ids: np.ndarray, byte_ids: np
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids and the number of ids of each text."""
     pieces, ids, scores, byte_ids = _model(path)
-    listed = [words_of(t) if t else [] for t in texts]
+    listed = pieces.short([words_of(t) if t else [] for t in texts])
     n_words = np.fromiter(map(len, listed), np.int64, len(listed))
     flat = np.empty(int(n_words.sum()), object)
     flat[:] = [w for words in listed for w in words]
@@ -120,8 +116,8 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     else:
         which, distinct = pd.factorize(flat)
     order, tokens, counts = [], [], []
-    for at, matrix in by_length(list(distinct)):
-        path_ = best_paths(pieces, scores, matrix)[:, ::-1]
+    for at, matrix, lengths in matrices(list(distinct)):
+        path_ = best_paths(pieces, scores, matrix, lengths)[:, ::-1]
         kept = path_ >= 0
         order.append(at)
         tokens.append(path_[kept])
