@@ -1,0 +1,22 @@
+"""The added token of byte_bpe_50k.json in texts."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from trailmark.llm import packing
+
+
+def test_the_added_token_equals_the_tokenizer():
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY))
+    assert np.frombuffer(encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|EndOfText|>", " ", "  ", "\n", "\t", "a", "the", "é", "'s", "1", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)

@@ -9,7 +9,8 @@ fullest sequences that still take them. The plan says, for ranges of ranks among
 length, which sequences and places they get; Spark ranks the pieces (by length and a hash, with
 offsets from the counts, so that one frequent length is many groups) and joins the plan.
 
-Nulls and edge cases: a null text is empty and still has the end id; rows that share a doc_id are
+Nulls and edge cases: a null text is empty and still has the end id; ``<|endoftext|>`` in a text is
+one token, as the vocabulary's own tokenizer has it; rows that share a doc_id are
 packed each; pieces of one length are interchangeable, ranked by a hash of doc_id and piece, then by
 doc_id, piece and checksum; an empty table gives an empty table. Only doc_id and text are read.
 """
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 from .common import documents, public_id, shuffle_partitions, stored
 
 VOCABULARY = "byte_bpe_50k.tiktoken"  # byte_bpe_50k.json as ranks: the same ids, several times faster
+ADDED, ADDED_ID = "<|endoftext|>", 50256  # the added token of byte_bpe_50k.json: found before all else
 END = 2
 _CACHE = 400_000  # words whose ids a worker remembers
 
@@ -58,7 +60,12 @@ def tokenizer(path: str):
     encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
     first, spaced = _Words(encode, ""), _Words(encode, " ")
 
+    added = ADDED_ID.to_bytes(4, "little")
+
     def ids(text: str) -> bytes:
+        return added.join(map(plain, text.split(ADDED))) if ADDED in text else plain(text)
+
+    def plain(text: str) -> bytes:
         # a token never reaches over the beginning of a run of white space, so single spaces are safe cuts
         if "  " in text:
             return encode(text).tobytes()
