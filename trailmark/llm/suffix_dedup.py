@@ -4,7 +4,7 @@ A suffix is kept for each *anchor*: in every window of ``length`` bytes the posi
 hash is least (the leftmost of equals). Equal windows have the same anchor, so every repeated
 window is seen, at about 1/42 of the suffixes for 100 bytes. A suffix record is (its leading
 tokens: 4 bytes and a 32-bit fingerprint of the first 16; a 64-bit fingerprint of the whole
-stretch its windows cover; document; place).
+stretch its windows cover; document: doc_id and a 64-bit hash of the text; place).
 
 1. Splitters from a sample of documents range-partition the records by leading tokens, then by
    the other keys, so a passage that fills a third of the table is split over many buckets. The
@@ -21,13 +21,12 @@ stretch its windows cover; document; place).
 
 Nulls and edge cases: a null text is empty; texts shorter than ``length`` lose nothing; a null
 doc_id sorts before all others; a row that repeats a (doc_id, text) is the same document and gets
-the same result; rows that share a doc_id but differ in text are told apart by a checksum of the
-text; an empty table gives an empty table. Only doc_id and text are read.
+the same result; rows that share a doc_id (or have none) but differ in text are documents of their
+own, ordered by the hash of the text; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,30 +41,31 @@ from .common import documents, public_id, shuffle_partitions, stored
 GRAM = 16  # bytes whose hash decides on anchors
 SAMPLE_DOCS = 4000  # documents sampled for splitters at first
 SAMPLE_ROWS = 20_000  # records sampled for splitters, on the driver: so many, or
-PER_BUCKET = 4  # so many for each bucket (128 bytes), if that is more
+PER_BUCKET = 4  # so many for each bucket (160 bytes), if that is more
 THIN = 3  # the sample keeps one record in 2**THIN
 BUCKET_ROWS = 1_000_000  # records a bucket should hold
 STEP = 8  # window starts that are compared together when a suffix is first opened
 
-_RECORD = "lead long, rest long, doc long, pos long"
-_KEYS = ("lead", "rest", "doc", "pos")
+_RECORD = "lead long, rest long, doc long, hash long, pos long"
+_KEYS = ("lead", "rest", "doc", "hash", "pos")
+_MARK = ("doc", "hash", "pos")
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _COPY, _OPEN, _FIRST, _LAST = 0, 1, 2, 3
 
 
-def _pos(start: np.ndarray, check: np.ndarray, anchor: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """First window start (31 bits), checksum of the text (12), distance from it to the anchor (10),
-    number of further window starts (10)."""
-    return (start << 32) | (check << 20) | (anchor << 10) | more
+def _pos(start: np.ndarray, anchor: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """First window start (31 bits), distance from it to the anchor (10), number of further window
+    starts (10)."""
+    return (start << 20) | (anchor << 10) | more
 
 
-def _parts(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return pos >> 32, (pos >> 20) & 0xFFF, (pos >> 10) & 0x3FF, pos & 0x3FF
+def _parts(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pos >> 20, (pos >> 10) & 0x3FF, pos & 0x3FF
 
 
-def _checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    view = memoryview(data)
-    return np.array([zlib.crc32(view[a:b]) & 0xFFF for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+def _hashed(docs: DataFrame) -> DataFrame:
+    """With the hash that tells apart the texts of one doc_id."""
+    return docs.withColumn("hash", F.xxhash64("text"))
 
 
 def _gram_hash(data: np.ndarray) -> np.ndarray:
@@ -80,11 +80,11 @@ def _gram_hash(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> list[np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, hashes: np.ndarray, length: int) -> list[np.ndarray]:
     """Suffix records of one slice of documents, as the columns of _RECORD."""
     n, wide = len(data), length - GRAM + 1
     if n < length:
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * len(_KEYS)
     gram = _gram_hash(data)
     bits = U(max(1, (wide - 1).bit_length()))
     low = (U(1) << bits) - U(1)
@@ -103,7 +103,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int)
     step[ends[has] - length + 1] -= 1
     at = np.flatnonzero(np.cumsum(step[: len(least)], dtype=np.int8))
     if not len(at):
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * len(_KEYS)
     anchor = at + (least[at] & low).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -111,10 +111,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int)
     last = np.append(first[1:], len(at)) - 1
     lo, hi, anchor = at[first], at[last], anchor[first]
     doc = np.searchsorted(offsets, lo, "right") - 1
-    check = _checks(data, offsets)
     whole = Spans(gram)(lo, hi + wide)
     lead = _lead(data, anchor, mix(gram[anchor]))
-    return [lead, whole.view(np.int64), ids[doc], _pos(lo - offsets[doc], check[doc], anchor - lo, hi - lo)]
+    return [lead, whole.view(np.int64), ids[doc], hashes[doc], _pos(lo - offsets[doc], anchor - lo, hi - lo)]
 
 
 def _lead(data: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -125,11 +124,9 @@ def _lead(data: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def opened(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int, step: int) -> list[np.ndarray]:
     """Records of ``step`` window starts each (in distance from the anchor) for those at pos; doc: their
-    place in the slice. Returns the keys but doc, and doc's places."""
-    check = _checks(data, offsets)
-    own, _, anchor, more = _parts(pos)
-    mine = _parts(pos)[1] == check[doc]
-    doc, lo, anchor, more = doc[mine], (own + offsets[doc])[mine], anchor[mine], more[mine]
+    place in the slice. Returns the keys but doc and hash, and doc's places."""
+    lo, anchor, more = _parts(pos)
+    lo = lo + offsets[doc]
     if not len(doc):
         return [np.zeros(0, np.int64)] * 4
     anchor += lo
@@ -144,7 +141,7 @@ def opened(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, pos: np.ndarr
     return [
         _lead(data, shared, tokens),
         whole.view(np.int64),
-        _pos(first - offsets[doc], check[doc], np.minimum(anchor - first, 0x3FF), last - first),
+        _pos(first - offsets[doc], np.minimum(anchor - first, 0x3FF), last - first),
         doc,
     ]
 
@@ -163,11 +160,11 @@ def _anchor_rows(length: int, cuts: list[np.ndarray] | None, thin: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = (batch.column(k).to_numpy() for k in ("doc_id", "hash"))
             for i, j in slices(offsets):
-                part = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], length)
+                part = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], hashes[i:j], length)
                 if thin:
-                    keep = (mix(part[3].view(U) ^ part[2].view(U)) & U((1 << thin) - 1)) == 0
+                    keep = (mix(part[4].view(U) ^ part[3].view(U) ^ part[2].view(U)) & U((1 << thin) - 1)) == 0
                     part = [c[keep] for c in part]
                 yield _bucketed(part, cuts)
 
@@ -178,7 +175,7 @@ def _opened_rows(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, hashes = (batch.column(k).to_numpy() for k in ("doc_id", "hash"))
             marks = batch.column("marks")
             mark_at = marks.offsets.to_numpy().astype(np.int64)
             mark = marks.flatten().to_numpy()
@@ -188,7 +185,7 @@ def _opened_rows(length: int, step: int):
                 doc = np.repeat(np.arange(j - i), np.diff(mark_at[i : j + 1]))
                 part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 lead, rest, at, doc = opened(*part, doc, pos, length, step)
-                yield _bucketed([lead, rest, ids[i:j][doc], at], None)
+                yield _bucketed([lead, rest, ids[i:j][doc], hashes[i:j][doc], at], None)
 
     return run
 
@@ -211,7 +208,7 @@ def _sorted_bucket(open_edges: bool):
         bucket = int(np.min(table.column("bucket").to_numpy()))
         keys = [table.column(k).to_numpy() for k in _KEYS]
         del table
-        order, (lead_tie, rest_tie, _, all_tie) = multikey_sort(keys)
+        order, (lead_tie, rest_tie, _, _, all_tie) = multikey_sort(keys)
         keys = [k[order] for k in keys]
         kind = np.full(len(order), -1, np.int32)
         kind[rest_tie] = _COPY
@@ -230,7 +227,7 @@ def _sorted_bucket(open_edges: bool):
         ends = kinds >= _FIRST
         names = ["kind", "bucket", *_KEYS]
         columns = [pa.array(kinds), pa.array(np.full(len(rows), bucket, np.int32))]
-        columns += [pa.array(k[rows], mask=None if name in ("doc", "pos") else ~ends) for name, k in zip(_KEYS, keys)]
+        columns += [pa.array(k[rows], mask=None if name in _MARK else ~ends) for name, k in zip(_KEYS, keys)]
         yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -240,17 +237,17 @@ def _cuts(sample: np.ndarray, buckets: int) -> list[np.ndarray]:
     """buckets - 1 splitters: even steps through the sorted sample."""
     order = np.lexsort(sample.T[::-1])
     at = order[np.linspace(0, len(order) - 1, buckets + 1).astype(int)[1:-1]] if len(order) else order
-    return [np.ascontiguousarray(sample[at, k]) for k in range(4)]
+    return [np.ascontiguousarray(sample[at, k]) for k in range(len(_KEYS))]
 
 
 def _splitters(records: DataFrame, n: int, buckets: int) -> np.ndarray:
     """Of n records, drawn evenly, about as many as make buckets of like size."""
     rows = records.sample(min(1.0, max(SAMPLE_ROWS, PER_BUCKET * buckets) / max(n, 1)), seed=7).toArrow()
-    return np.stack([rows.column(k).to_numpy() for k in _KEYS], axis=1) if rows.num_rows else np.zeros((0, 4), np.int64)
+    return np.stack([rows.column(k).to_numpy() for k in _KEYS], axis=1) if rows.num_rows else np.zeros((0, len(_KEYS)), np.int64)
 
 
 def _copies(bucketed: DataFrame, buckets: int, open_edges: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(records with an earlier copy, records to open), each as doc, pos."""
+    """(records with an earlier copy, records to open), each as doc, hash, pos."""
     spark = bucketed.sparkSession
     told = stored(
         bucketed.repartitionById(buckets, F.col("bucket")).mapInArrow(
@@ -263,17 +260,17 @@ def _copies(bucketed: DataFrame, buckets: int, open_edges: bool) -> tuple[DataFr
     lead, rest = (ends.column(k).to_numpy() for k in ("lead", "rest"))
     goes_on = np.zeros(ends.num_rows // 2, bool)
     goes_on[1:] = (lead[2::2] == lead[1:-1:2]) & (rest[2::2] == rest[1:-1:2])
-    firsts = ends.select(["doc", "pos"]).take(np.arange(0, ends.num_rows, 2))
-    rows = lambda kind, more: told.filter(F.col("kind") == kind).select("doc", "pos").unionByName(
-        spark.createDataFrame(firsts.filter(pa.array(more)), "doc long, pos long")
+    firsts = ends.select(list(_MARK)).take(np.arange(0, ends.num_rows, 2))
+    rows = lambda kind, more: told.filter(F.col("kind") == kind).select(*_MARK).unionByName(
+        spark.createDataFrame(firsts.filter(pa.array(more)), "doc long, hash long, pos long")
     )
     return rows(_COPY, goes_on), rows(_OPEN, ~goes_on) if open_edges else None
 
 
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     """Documents with their records; a document has fewer of them than bytes."""
-    lists = marks.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("marks"))
-    return docs.join(lists, "doc_id", how)
+    lists = marks.groupBy(F.col("doc").alias("doc_id"), "hash").agg(F.collect_list("pos").alias("marks"))
+    return docs.join(lists, ["doc_id", "hash"], how)
 
 
 def _remove(length: int, as_text: bool, carry: bool):
@@ -281,19 +278,16 @@ def _remove(length: int, as_text: bool, carry: bool):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             marks = batch.column("marks")
-            check = _checks(data, offsets)
             removed, spans, kept = [], [], []
             for i in range(len(batch)):
                 own = data[offsets[i] : offsets[i + 1]]
                 lo = hi = np.zeros(0, np.int64)
                 if marks[i].is_valid:
                     pos = marks[i].values.to_numpy()
-                    start, whose, _, more = _parts(np.sort(pos))
-                    lo, hi = start[whose == check[i]], (start + more)[whose == check[i]] + length
-                    if len(lo):
-                        reach = np.maximum.accumulate(hi)
-                        new = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
-                        lo, hi = lo[new], reach[np.append(new[1:], len(lo)) - 1]
+                    lo, _, more = _parts(np.sort(pos))
+                    reach = np.maximum.accumulate(lo + more + length)
+                    new = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
+                    lo, hi = lo[new], reach[np.append(new[1:], len(lo)) - 1]
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(lo, hi)])
                 removed.append(int((hi - lo).sum()))
                 if len(lo):
@@ -324,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
     string, without characters of which a part went) and the columns named in ``carry``."""
     if not GRAM + STEP <= length <= 1024:
         raise ValueError(f"length must be from {GRAM + STEP} to 1024")
-    own = documents(docs)
+    own = _hashed(documents(docs))
     spark = own.sparkSession
 
     share = min(1.0, SAMPLE_DOCS / max(own.count(), 1))
@@ -348,7 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
         more, open_ = _copies(records.mapInArrow(_assign(cuts), f"{_RECORD}, bucket int"), buckets, open_edges=step > 1)
         copies = copies.unionByName(more)
 
-    last = documents(docs, carry)
+    last = _hashed(documents(docs, carry))
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
