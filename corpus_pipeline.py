@@ -42,8 +42,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, words=3, max_bits=2)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    least = simhash.least_rows(docs, words=3, max_bits=2).withColumnRenamed("doc_id", "wanted")
+    hashed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    kept = hashed.join(least, (hashed.hash == least.hash) & F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # of equal (doc_id, text) one row stays, the least by its other columns
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = kept.groupBy("doc_id", "hash").agg(F.min(F.struct(*others, "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ within two bits, and a key has 65 members at most; each is linked to the least o
 grows with the table, and no link is lost.
 
 Nulls and edge cases: a null text, an empty one and one without words have fingerprint zero and link
-like any other; equal fingerprints always link; rows that share a doc_id are one document for
-linking and keep a row each; a null doc_id sorts first; an empty table gives an empty table.
+like any other; equal fingerprints always link; rows that share a doc_id, or have none, link by their
+fingerprints alone and keep a row each; a null doc_id sorts first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def _fingerprints(words: int):
         for batch in batches:
             prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("hash"), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                ["doc_id", "hash", "fp"],
             )
 
     return run
@@ -110,24 +111,35 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fp (long) and component_id (smallest doc_id reachable over links of at most
-    ``max_bits`` bits, itself included) for each row."""
+def _labelled(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """doc_id, hash of the text, fp and component (its least fingerprint) for each row, and component_id."""
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2: two segments with one bit left out find no more")
-    own = documents(docs)
-    prints = stored(own.mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
+    own = documents(docs).withColumn("hash", F.xxhash64("text"))
+    prints = stored(own.mapInArrow(_fingerprints(words), "doc_id long, hash long, fp long"), "fingerprints")
     # tables on both sides of the joins by fingerprint: a frequent one can then be split
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    same = prints.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    # one node a fingerprint; a doc_id with several rows ties its fingerprints together
-    again = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
-    tied = same.join(again.withColumnRenamed("doc_id", "u"), "u", "left_semi")
-    found = components(links(reps, max_bits).unionByName(tied))
-    labelled = stored(
-        reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "labels",
+    # one node a fingerprint, known by itself: a doc_id may have several
+    found = components(links(reps.select(F.col("fp").alias("rep"), "fp"), max_bits))
+    parts = stored(
+        reps.join(found, reps.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")),
+        "parts",
     )
-    return prints.join(labelled, "fp").select(
+    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = stored(parts.join(least, "component").select("fp", "component", "component_id"), "labels")
+    return prints.join(labelled, "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id, fp (long) and component_id (smallest doc_id reachable over links of at most
+    ``max_bits`` bits, itself included) for each row."""
+    return _labelled(docs, words, max_bits).select(
         public_id().alias("doc_id"), "fp", public_id("component_id").alias("component_id")
     )
+
+
+def least_rows(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id and hash (XXH64 of the text) of one document of each component: the least by doc_id (null
+    first), then by hash. Equal rows of it are not told apart."""
+    least = _labelled(docs, words, max_bits).groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("least"))
+    return least.select(public_id("least.doc_id").alias("doc_id"), F.col("least.hash").alias("hash"))
