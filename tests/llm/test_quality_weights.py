@@ -1,0 +1,28 @@
+"""Inverse document frequencies come from all documents, not from the labelled ones alone."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from trailmark.llm import quality
+from trailmark.llm.queries import remainder
+
+
+def test_weights_count_all_documents(spark, monkeypatch):
+    spaces, init = [], quality.Space.__init__
+    monkeypatch.setattr(quality.Space, "__init__", lambda self, *args: (init(self, *args), spaces.append(self))[0])
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["river", "stone", "garden"], k=9))) for i in range(60)]
+    rows += [(100 + i, "quartz and feldspar" if i % 2 else "zzz") for i in range(300)] + [(None, "quartz"), (900, None), (901, "ab"), (5, "a river")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    assert len(quality.score(df, labels, remainder(4) != 2).collect()) == len(rows)
+    seen = np.zeros(quality.FEATURES)
+    for _, text in rows:
+        raw = (text or "").encode()
+        codes = {(int.from_bytes(raw[k : k + 3], "little") * 2654435761 % 2**32) >> 21 for k in range(len(raw) - 2)}
+        seen[list(codes)] += 1
+    (space,) = spaces
+    assert np.allclose(space.weight, np.log((len(rows) + 1) / (seen + 1)) + 0.1, rtol=1e-5)

@@ -65,12 +65,28 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: in how many documents each feature occurs, and last the number of documents."""
+    seen = np.zeros(FEATURES + 1, np.int64)
+    for batch in batches:
+        for block in _blocks(batch):
+            seen[:-1] += (block > 0).sum(axis=0)
+        seen[-1] += len(batch)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1, dtype=np.int32)), pa.array(seen)], ["feature", "n"])
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Over all documents: in how many each feature occurs, and their number."""
+    sums = docs.mapInArrow(_seen, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().sort_by("feature")
+    n = sums.column("n").to_numpy() if sums.num_rows else np.zeros(FEATURES + 1, np.int64)
+    return n[:-1], int(n[-1])
+
+
 class Space:
-    """The latent space and the labelled vectors in it."""
+    """The latent space and the labelled vectors in it. ``seen``: documents of all ``n`` with each feature."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int) -> None:
-        seen = (counts > 0).sum(axis=0)
-        self.weight = np.log((len(counts) + 1) / (seen + 1)).astype(np.float32) + np.float32(0.1)
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int, seen: np.ndarray, n: int) -> None:
+        self.weight = np.log((n + 1) / (seen + 1)).astype(np.float32) + np.float32(0.1)
         x = self._weighted(counts)
         _, vectors = np.linalg.eigh(x.T @ x)
         self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions])
@@ -131,7 +147,7 @@ def score(
     if not rows.num_rows:
         return own.select(public_id().alias("doc_id"), F.lit(0.0).alias("score"))
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(rows.num_rows, FEATURES)
-    space = Space(counts, rows.column("label").to_numpy(), dimensions)
+    space = Space(counts, rows.column("label").to_numpy(), dimensions, *document_frequencies(own))
     held = own.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
