@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_fingerprints, langid, line_dedup, lm_scoring, packing, pieces, quality, search, simhash, suffix_dedup
+from . import (
+    chunk_fingerprints,
+    fim,
+    langid,
+    line_dedup,
+    lm_scoring,
+    packing,
+    pieces,
+    quality,
+    search,
+    simhash,
+    suffix_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +94,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk_search,
         op9_quality_classifier,
         op10_sentencepiece,
+        op11_fill_in_middle,
     )
 }
 
