@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from trailmark.llm import fim
-from trailmark.llm.queries import QUERIES
+from trailmark.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, row string, n long, form int, h1 string"
 
@@ -105,3 +106,6 @@ def test_query_against_brute_force(spark):
     got = QUERIES["op11_fill_in_middle"](spark, SF["0.001"])
     assert got.columns[-2:] == ["output_sha256", "restored_sha256"]
     assert sorted(map(tuple, got.collect())) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF['0.001']}/documents.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["op11_fill_in_middle"]).fetchall()) == want

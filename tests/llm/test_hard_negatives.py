@@ -1,0 +1,158 @@
+"""Hard-negative mining against brute force in Python integers."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from trailmark.llm import hard_negatives
+from trailmark.llm.queries import ORACLE_SQL, QUERIES
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id long, key string, block int, score double"
+
+
+def _brute(rows, is_anchor, positives=5, negatives=5, low=80, high=100):
+    whole = set()
+    for i, v, label in rows:
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        whole.add((i, label, tuple(math.floor(256 * float(np.float32(x))) for x in v)))
+    whole = list(whole)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    first = lambda x: (-x[0], x[1] is not None, x[1] or 0)
+    out = []
+    for me in whole:
+        if not is_anchor(me[0]):
+            continue
+        scored = [(dot(me[2], o[2]), o[0], o[1]) for o in whole if o is not me]
+        for nth, p in enumerate(sorted((s for s in scored if s[2] == me[1]), key=first)[:positives]):
+            inside = [s for s in scored if s[2] != me[1] and low * p[0] <= 100 * s[0] <= high * p[0]]
+            for rank, s in enumerate(sorted(inside, key=first)[:negatives]):
+                out.append((me[0], p[1], rank + 1, s[1], p[0], s[0], nth + 1))
+    return sorted(out, key=str)
+
+
+def _anchor(i):
+    return i is not None and i % 5 == 0
+
+
+def _rows(seed=2, n=260, dim=8):
+    rng = random.Random(seed)
+    vector = lambda: [rng.gauss(0, 0.5) for _ in range(dim)]
+    rows = [(i, vector(), rng.randrange(4)) for i in range(n)]
+    hub = vector()
+    rows += [(1000 + i, [x + rng.gauss(0, 0.01) for x in hub], i % 2) for i in range(60)]  # close anchors
+    rows += [(2000 + i, [0.5, 0.25] + [0.0] * (dim - 2), i % 3) for i in range(30)]  # ties
+    rows += [(3000, None, 1), (3005, vector(), None), (3010, [math.nan] * dim, 1), (3015, [math.inf] * dim, 1)]
+    rows += [(3020, [None] * dim, 2), (3025, [0.0] * dim, 2), (3030, [], 2), (3035, [0.9], 1), (None, vector(), 1), (None, hub, 0)]
+    rows += [(40, vector(), 1), (40, vector(), 3), (55, hub, 2), (55, hub, 2), (55, hub, 2), (3040, vector(), 77)]
+    return rows
+
+
+def _frame(spark, rows):
+    """With columns whose names clash with the operator's own."""
+    return spark.createDataFrame([(*r, 1, "k", 2, 3.0) for r in rows], SCHEMA).repartition(4)
+
+
+def _got(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [(4096, 16384, 2048, 4096), (16, 64, 8, 7)])
+def test_against_brute_force(spark, monkeypatch, sizes):
+    for name, value in zip(("BLOCK", "LANE", "LEAST_LANE", "TILE"), sizes):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = _rows()
+    want = _brute(rows, _anchor)
+    assert len(want) > 300
+    assert _got(hard_negatives.mine(_frame(spark, rows), F.col("vec_id") % 5 == 0)) == want
+
+
+def test_other_parameters(spark):
+    rows = _rows(3, 120)
+    got = hard_negatives.mine(_frame(spark, rows), F.col("vec_id") % 5 == 0, positives=2, negatives=3, low_share=50, high_share=90)
+    assert _got(got) == _brute(rows, _anchor, 2, 3, 50, 90)
+
+
+def test_bounds_prune_and_stay_exact():
+    """Anchors close together: few vectors are scored beyond the root's."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    v = np.floor(rng.standard_normal((3000, 16)) * 256).astype("<i4")
+    a = v[:1] + rng.integers(-2, 3, (200, 16)).astype("<i4")
+    order, parent, edge = hard_negatives.spanning_tree(a)
+    place = np.argsort(order)
+    table = pa.table(
+        {
+            "id": np.arange(200), "key": np.arange(200) - 1000, "label": np.zeros(200, int), "place": place,
+            "parent": np.append(place, -1)[parent], "edge": edge, "q": [x.tobytes() for x in a],
+            "scores": pa.array([[90000]] * 200, pa.list_(pa.int64())),
+        }
+    )
+    lane = pa.table({"id": np.arange(3000), "key": np.zeros(3000, int), "label": np.arange(3000) % 2, "q": [x.tobytes() for x in v]})
+    for find in (lambda b: b.positives(5), lambda b: [w[0] for w in b.negatives(5, 80, 100)]):
+        block = hard_negatives.Block(table, lane)
+        best = find(block)
+        assert block.scored < 3000 * 40
+        exact = block.a @ block.v.T
+        same = find(hard_negatives.Block(table, lane)) and (np.arange(3000) % 2 == 0)
+        inside = np.broadcast_to(same, exact.shape) if find.__code__.co_names[0] == "positives" else ~same & (exact >= 72000) & (exact <= 90000)
+        for k in range(200):
+            at = np.flatnonzero(inside[k])
+            order = at[np.lexsort((at, -exact[k][at]))][:5]
+            assert best[k][1].tolist() == order.tolist()
+
+
+def test_spanning_tree_is_minimal_and_walked_from_parents():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, (60, 3))
+    order, parent, edge = hard_negatives.spanning_tree(x)
+    assert sorted(order.tolist()) == list(range(60)) and parent[order[0]] == -1
+    place = np.argsort(order)
+    assert all(place[p] < place[k] for k, p in enumerate(parent) if p >= 0)
+    # Kruskal's weight
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    group, weight = list(range(60)), 0.0
+    for i, j in sorted(((i, j) for i in range(60) for j in range(i)), key=lambda p: d[p]):
+        if group[i] != group[j]:
+            weight += d[i, j]
+            old = group[i]
+            group = [group[j] if g == old else g for g in group]
+    assert math.isclose(edge.sum(), weight)
+
+
+def test_large_components_are_exact(spark):
+    """Products beyond 2**53 are summed as integers."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(100000, 400000)) for _ in range(6)], i % 2) for i in range(40)]
+    rows.append((100, [1e30] * 6, 0))  # too large: takes no part
+    got = hard_negatives.mine(_frame(spark, rows), F.col("vec_id") % 5 == 0)
+    assert _got(got) == _brute(rows[:-1], _anchor)
+
+
+def test_empty_table_and_no_anchors(spark):
+    empty = hard_negatives.mine(_frame(spark, [(1, None, None)]).limit(0), F.col("vec_id") % 5 == 0)
+    assert empty.collect() == []
+    assert hard_negatives.mine(_frame(spark, _rows(5, 20)), F.lit(None).cast("boolean")).collect() == []
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_against_brute_force_and_sql(spark, sf):
+    import duckdb
+
+    path = f"{SF[sf]}/embeddings.parquet"
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(path).collect()]
+    rows = [(i, v, (x + 1) % 10 if x is not None and i is not None and i % 7 == 0 else x) for i, v, x in rows]
+    want = [r[:6] for r in _brute(rows, lambda i: i is not None and i % 100 == 0)]
+    got = QUERIES["op12_hard_negatives"](spark, SF[sf])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    columns = ", ".join(got.columns)
+    assert sorted(con.execute(f"SELECT {columns} FROM ({ORACLE_SQL['op12_hard_negatives']})").fetchall(), key=str) == sorted(want, key=str)

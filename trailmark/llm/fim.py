@@ -185,3 +185,40 @@ def recut(cut: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "form", "prefix_chars", "middle_chars"
     )
     return needed.mapInArrow(_recut, "doc_id long, output string")
+
+
+#: The registered query's digests, from the tokens as a list.
+ORACLE = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+    FROM documents
+),
+cut AS (
+    SELECT doc_id, text, tokens, len(tokens) AS n,
+        ('0x' || hex[1:8])::BIGINT % (len(tokens) + 1) AS u, ('0x' || hex[9:16])::BIGINT % (len(tokens) + 1) AS v,
+        CASE
+            WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+            WHEN ('0x' || hex[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+            WHEN ('0x' || hex[25:32])::BIGINT % 100 < 20 THEN 'spm'
+            ELSE 'psm'
+        END AS form
+    FROM drawn
+),
+parts AS (
+    SELECT doc_id, text, n, form,
+        array_to_string(tokens[1:least(u, v)], '') AS prefix,
+        array_to_string(tokens[least(u, v) + 1:greatest(u, v)], '') AS middle,
+        array_to_string(tokens[greatest(u, v) + 1:], '') AS suffix
+    FROM cut
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+        ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""

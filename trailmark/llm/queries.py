@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (
     chunk_fingerprints,
     fim,
+    hard_negatives,
     langid,
     line_dedup,
     lm_scoring,
@@ -106,6 +107,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, is_anchor=F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -120,7 +129,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_classifier,
         op10_sentencepiece,
         op11_fill_in_middle,
+        op12_hard_negatives,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+}
