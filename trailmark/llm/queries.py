@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chunk_fingerprints,
+    embedding_dedup,
     fim,
     hard_negatives,
     langid,
@@ -115,6 +116,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98, recall=0.999).select(
+        "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece,
         op11_fill_in_middle,
         op12_hard_negatives,
+        op13_embedding_near_dedup,
     )
 }
 
@@ -137,4 +145,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_embedding_near_dedup": embedding_dedup.ORACLE,
 }
