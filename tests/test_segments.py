@@ -1,0 +1,93 @@
+"""The funnel by segment with totals."""
+
+from __future__ import annotations
+
+import re
+
+from conftest import SF, D, rows
+
+from trailmark.operators import funnel, segments
+from trailmark.operators.retention import date_split_cohorts
+from trailmark.plans.registry import QUERIES
+from trailmark.sources.fixtures import load_mapping_a, split_cohorts
+
+USERS = [
+    (1, D("2024-01-01"), "Free", "A"),
+    (2, D("2024-01-02"), "Paid", "A"),
+    (3, D("2024-02-01"), "Free", "B"),
+    (4, D("2024-05-01"), None, "B"),  # no plan, no month cohort
+    (5, D("2024-01-01"), "Paid", "A"),  # no events: in no funnel
+]
+T = "2024-01-05 00:00:00"
+EVENTS = [
+    *[(u, T, "signed_up") for u in (1, 2, 3, 4, 9, 1)],
+    *[(u, T, "created_project") for u in (1, 3, 4)],
+    (1, T, "invited_teammate"),
+    (9, T, "upgraded_plan"),  # of no users row
+    (None, T, "signed_up"),
+    (2, T, "something else"),
+]
+
+
+def _steps(df, **where):
+    for column, value in where.items():
+        df = df.where(df[column].eqNullSafe(value))
+    return [r.user_count for r in df.orderBy("step_number").collect()]
+
+
+def test_total_and_each_segment(make_users, make_events):
+    df = segments.funnel_by_segment(make_users(USERS), make_events(EVENTS))
+    assert df.count() == 5 * (1 + 3 + 3 + 3)  # total; Free, Paid, NULL; A, B, NULL; Jan, Feb, NULL
+    assert _steps(df, segment="total") == [6, 3, 1, 0, 1]
+    assert _steps(df, segment="plan_type", plan_type="Free") == [2, 2, 1, 0, 0]
+    assert _steps(df, segment="plan_type", plan_type="Paid") == [1, 0, 0, 0, 0]
+    assert _steps(df, segment="plan_type", plan_type=None) == [3, 1, 0, 0, 1]  # user 4, the unknown 9, no id
+    assert _steps(df, segment="cohort", cohort=None) == [3, 1, 0, 0, 1]
+    assert _steps(df, segment="ab_test_group", ab_test_group="B") == [2, 2, 0, 0, 0]
+
+
+def test_grouping_id_tells_null_from_total(make_users, make_events):
+    df = segments.funnel_by_segment(make_users(USERS), make_events(EVENTS)).where("step_number = 1 AND plan_type IS NULL")
+    got = {(r.segment, r.grouping_id) for r in df.collect()}
+    assert got == {("total", 7), ("plan_type", 3), ("ab_test_group", 5), ("cohort", 6)}
+
+
+def test_cube_adds_up(make_users, make_events):
+    sets = segments.cube_sets(segments.SEGMENTS)
+    assert len(sets) == 8
+    df = segments.funnel_by_segment(make_users(USERS), make_events(EVENTS), sets=sets)
+    sums = rows(df.groupBy("segment", "step_number").sum("user_count").orderBy("segment", "step_number"))
+    assert len({tuple(n for s, _, n in sums if s == name) for name, *_ in sums}) == 1
+    assert _steps(df, segment="plan_type+ab_test_group", plan_type="Free", ab_test_group="A") == [1, 1, 1, 0, 0]
+
+
+def test_rates_are_within_the_segment(make_users, make_events):
+    df = segments.funnel_by_segment(make_users(USERS), make_events(EVENTS), segments=["plan_type"])
+    got = {(r.plan_type, r.step_number): (r.conversion_rate, r.drop_off_rate) for r in df.where("segment = 'plan_type'").collect()}
+    assert got["Free", 2] == (100.0, 50.0) and got["Free", 3] == (50.0, 100.0) and got["Free", 5] == (0.0, 0.0)
+    assert got["Paid", 2] == (0.0, 100.0)
+
+
+def test_total_equals_the_plain_funnel(spark):
+    users, events = load_mapping_a(spark, SF["0.01"])
+    total = segments.funnel_by_segment(users, events, labeler=split_cohorts()).where("segment = 'total'")
+    plain = funnel.funnel_dropoff(events)
+    assert sorted(rows(total.select(*plain.columns))) == sorted(rows(plain))
+
+
+def test_own_cohorts_and_empty_tables(make_users, make_events):
+    labeler = date_split_cohorts(D("2024-01-02"))
+    df = segments.funnel_by_segment(make_users(USERS), make_events(EVENTS), ["cohort"], labeler=labeler)
+    assert _steps(df, segment="cohort", cohort="before") == [1, 1, 1, 0, 0]
+    empty = segments.funnel_by_segment(make_users([]), make_events([]))
+    assert all(r.user_count is None for r in empty.collect())
+
+
+def test_one_event_scan_and_a_small_expand(spark):
+    """The users side of mapping A reads the events too; the funnel itself reads them once, and the grouping
+    sets expand what is counted already."""
+    df = QUERIES["funnel_by_segment"](spark, SF["0.001"])
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*event_type", p)) == 2
+    assert p.count("Expand") == 1 and p.index("Expand") < p.index("Join")  # above the join and its count
+    assert "HashAggregate" in p[p.index("Expand") : p.index("Join")]

@@ -23,6 +23,17 @@ def erfc(x: Column) -> Column:
     return F.reflect(F.lit(ERF_CLASS), F.lit("erfc"), x.cast("double")).cast("double")
 
 
+def normal_quantile_sql(p: str) -> str:
+    """The standard normal quantile of a SQL expression between 0 and 1, evaluated in the JVM; NULL for NULL."""
+    inverse = f"CAST(reflect('{ERF_CLASS}', 'erfInv', CAST(2 * {p} - 1 AS DOUBLE)) AS DOUBLE)"
+    return f"CASE WHEN {p} IS NOT NULL THEN sqrt(2.0D) * {inverse} END"
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The standard normal distribution function of a SQL expression; NULL for NULL."""
+    return f"CASE WHEN {x} IS NOT NULL THEN {erfc_sql(f'-({x}) / sqrt(2.0D)')} / 2 END"
+
+
 def chi2_sf_dof1_sql(stat: str) -> str:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
     return erfc_sql(f"sqrt({stat} / 2.0D)")

@@ -98,7 +98,7 @@ def _summarize(viewers: DataFrame) -> DataFrame:
     return sort_few(summary, F.col("ab_test_group").asc_nulls_last())
 
 
-def _ab_wide(summary: DataFrame, control: str, treatment: str) -> DataFrame:
+def wide_summary(summary: DataFrame, control: str, treatment: str) -> DataFrame:
     """The two groups' rows of O9 side by side in one row (conditional aggregates)."""
     picks = []
     for prefix, group in (("a", control), ("b", treatment)):
@@ -109,7 +109,7 @@ def _ab_wide(summary: DataFrame, control: str, treatment: str) -> DataFrame:
 
 def contingency_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
     """The 2x2 table of an O9-shaped summary as one row."""
-    return _ab_wide(summary, control, treatment).selectExpr(
+    return wide_summary(summary, control, treatment).selectExpr(
         "a_conv AS a_conversions",
         "a_total - a_conv AS a_non_conversions",
         "b_conv AS b_conversions",
@@ -141,7 +141,7 @@ def chi2_from_summary(
 
 def lift_from_summary(summary: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT) -> DataFrame:
     """Relative lift (%) from the 2-decimal rates of an O9-shaped summary, and lift in points."""
-    return _ab_wide(summary, control, treatment).selectExpr(
+    return wide_summary(summary, control, treatment).selectExpr(
         "a_rate AS control_rate",
         "b_rate AS treatment_rate",
         "try_divide(b_rate - a_rate, a_rate) * 100.0D AS lift_pct",
@@ -184,5 +184,5 @@ def ab_sample_size(
     users: DataFrame, events: DataFrame, control: str = AB_CONTROL, treatment: str = AB_TREATMENT
 ) -> DataFrame:
     """Exposed users across the two groups."""
-    w = _ab_wide(ab_test_summary(users, events), control, treatment)
+    w = wide_summary(ab_test_summary(users, events), control, treatment)
     return w.selectExpr("a_total + b_total AS sample_size")

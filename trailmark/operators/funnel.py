@@ -71,7 +71,7 @@ def _step_rows(wide: DataFrame, steps: Sequence[Step], fields) -> DataFrame:
     return stack_rows(wide, rows, [name for name, _ in fields])
 
 
-def _dropoff(steps: Sequence[Step], i: int) -> str:
+def dropoff_sql(steps: Sequence[Step], i: int) -> str:
     """drop_off_rate of step i: 100 - next step's share of sign-ups; 0 for the last step."""
     if i + 1 >= len(steps):
         return "0.0D"
@@ -107,7 +107,7 @@ def funnel_dropoff(events: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> D
 
 def funnel_dropoff_from_flags(flags: DataFrame, steps: Sequence[Step] = FUNNEL_STEPS) -> DataFrame:
     """O3 from an O1-shaped table of per-user flags."""
-    fields = STEP_FIELDS + [("drop_off_rate", lambda i, s: _dropoff(steps, i))]
+    fields = STEP_FIELDS + [("drop_off_rate", lambda i, s: dropoff_sql(steps, i))]
     return _step_rows(_totals_from_flags(flags, steps), steps, fields)
 
 

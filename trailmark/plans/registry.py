@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.operators import abtest, funnel, kpis, retention
+from trailmark.operators import abtest, funnel, inviters, kpis, maturity, power, retention, segments, weekly
+from trailmark import schemas as S
 from trailmark.plans import report
 from trailmark.sources.fixtures import load_mapping_a, load_mapping_b, split_cohorts
 
@@ -119,6 +120,25 @@ QUERIES: dict[str, Query] = {
     "executive_summary": _split(
         report.executive_summary, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON
     ),
+    # retention over users observed long enough
+    "mature_retention": _split(maturity.mature_retention),
+    "mature_retention_month": _month(maturity.mature_retention),
+    "mature_retention_comparison": _split(
+        maturity.mature_retention_comparison, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON
+    ),
+    "mature_retention_comparison_month": _month(maturity.mature_retention_comparison),
+    # the funnel by segment
+    "funnel_by_segment": _split(segments.funnel_by_segment),
+    "funnel_by_segment_cube": _split(segments.funnel_by_segment, sets=segments.cube_sets(segments.SEGMENTS)),
+    # inviters against others, sample sizes, weekly KPIs
+    "conversion_by_invite": _on_events(inviters.conversion_by_invite),
+    "conversion_by_invite_activated": _on_events(
+        lambda e: inviters.conversion_by_invite(e, base_event=S.CREATED_PROJECT)
+    ),
+    "invite_risk_ratio": _on_events(inviters.invite_risk_ratio),
+    "ab_power_plan": _on_both(power.ab_power_plan),
+    "weekly_kpis": _on_both(weekly.weekly_kpis),
+    "weekly_kpis_orders": _month(weekly.weekly_kpis),
     # KPIs, series, explore
     "kpi_totals": _on_both(kpis.kpi_totals),
     "kpi_overview": _on_both(kpis.kpi_overview),
