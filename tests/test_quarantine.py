@@ -1,0 +1,208 @@
+"""CSV records kept apart with a reason; strict reading; text times; footer counts; the keyed table."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from conftest import SF, TS, rows
+
+from trailmark.operators import funnel, retention
+from trailmark.schemas import EVENTS, USERS
+from trailmark.sources import counts, keyed, times
+from trailmark.sources.csv import read_events, read_users
+from trailmark.sources.quarantine import checked_lines, quarantine, read_checked, rejections
+
+HEAD = "event_id,user_id,event_timestamp,event_name\n"
+GOOD = "1,7,2024-01-05 10:00:00,a\n2,,2024-01-05T10:00,\"b, c\"\n3,8,,\n"
+BAD = {
+    "4,9\n": "2 fields instead of 4",
+    "5,9,2024-01-05 10:00:00,a,more\n": "5 fields instead of 4",
+    '6,9,2024-01-05 10:00:00,"a,b",x\n': "5 fields instead of 4",
+    "7,nine,2024-01-05 10:00:00,a\n": "user_id is no bigint: nine",
+    "8,9,2024-13-05 10:00:00,a\n": "event_timestamp is no timestamp_ntz: 2024-13-05 10:00:00",
+    "x,y,soon,a\n": "event_id is no bigint: x; user_id is no bigint: y; event_timestamp is no timestamp_ntz: soon",
+    "\n": "blank line",
+    "  \n": "blank line",
+    "99999999999999999999,1,2024-01-05 10:00:00,a\n": "event_id is no bigint: 99999999999999999999",
+}
+
+
+def _write(tmp_path, text, name="in.csv"):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / name).write_bytes(text.encode())
+    return str(tmp_path / "in")
+
+
+def test_each_fault_is_kept_with_its_reason(spark, tmp_path):
+    path = _write(tmp_path, HEAD + GOOD + "".join(BAD))
+    valid, rejected = quarantine(spark, path, EVENTS)
+    assert rows(valid.orderBy("event_id")) == [
+        (1, 7, TS("2024-01-05 10:00:00"), "a"),
+        (2, None, TS("2024-01-05 10:00:00"), "b, c"),
+        (3, 8, None, None),
+    ]
+    assert sorted((r.line + "\n", r.reason) for r in rejected.collect()) == sorted(BAD.items())
+    assert all(r.file.endswith("in.csv") for r in rejected.collect())
+
+
+def test_valid_and_rejected_are_all_lines(spark, tmp_path):
+    path = _write(tmp_path, HEAD + GOOD + "".join(BAD))
+    _write(tmp_path, HEAD + GOOD, "more.csv")
+    valid, rejected = quarantine(spark, path, EVENTS)
+    assert valid.count() + rejected.count() == 2 * 3 + len(BAD)
+    outcomes = dict(rows(rejections(read_checked(spark, path, EVENTS))))
+    assert sum(outcomes.values()) == 2 * 3 + len(BAD) and outcomes["valid"] == 6 and outcomes["blank line"] == 2
+
+
+def test_users_bad_id_and_bad_date(spark, tmp_path):
+    text = "user_id,sign_up_date,plan_type,ab_test_group\n1,2024-01-05,Free,A\n2,2024-02-30,Free,A\nu3,2024-01-05,Free,A\n4,2024-01-06\n"
+    valid, rejected = quarantine(spark, _write(tmp_path, text), USERS)
+    assert rows(valid, "user_id") == [(1,)]
+    assert sorted(rows(rejected, "reason")) == [
+        ("2 fields instead of 4",), ("sign_up_date is no date: 2024-02-30",), ("user_id is no bigint: u3",),
+    ]
+
+
+def test_columns_go_by_header_and_extra_ones_are_dropped(spark, tmp_path):
+    text = "event_name,extra,user_id,event_id,event_timestamp\r\nsigned,?,7,1,2024-01-05 10:00\r\nsigned,?,7,1\r\n"
+    valid, rejected = quarantine(spark, _write(tmp_path, "﻿" + text), EVENTS)
+    assert rows(valid) == [(1, 7, TS("2024-01-05 10:00:00"), "signed")]
+    assert rows(rejected, "reason") == [("4 fields instead of 5",)]
+
+
+def test_a_file_in_another_order_is_an_error(spark, tmp_path):
+    path = _write(tmp_path, HEAD + GOOD, "a.csv")
+    _write(tmp_path, "user_id,event_id,event_timestamp,event_name\n7,1,2024-01-05 10:00:00,a\n", "b.csv")
+    with pytest.raises(Exception, match="another order"):
+        quarantine(spark, path, EVENTS)[0].collect()
+
+
+def test_missing_column_and_no_lines(spark, tmp_path):
+    with pytest.raises(ValueError, match="event_name"):
+        quarantine(spark, _write(tmp_path, "event_id,user_id,event_timestamp\n"), EVENTS)
+    none = checked_lines(spark.createDataFrame([], "line string"), EVENTS)
+    assert none.count() == 0 and none.columns[-1] == "reasons"
+
+
+@pytest.mark.parametrize("bad", ["4,9\n", "5,9,2024-01-05 10:00:00,a,more\n", "7,nine,2024-01-05 10:00:00,a\n", "\n"])
+def test_strict_reading_refuses_what_quarantine_keeps(spark, tmp_path, bad):
+    path = _write(tmp_path, HEAD + GOOD + bad)
+    with pytest.raises(Exception, match=BAD[bad][:12]):
+        read_events(spark, path).collect()
+    with pytest.raises(Exception, match=BAD[bad][:12]):
+        read_events(spark, path).count()  # also without any column
+
+
+def test_short_user_record_is_no_longer_nulls(spark, tmp_path):
+    path = _write(tmp_path, "user_id,sign_up_date,plan_type,ab_test_group\n2,2024-01-06\n")
+    with pytest.raises(Exception, match="2 fields instead of 4"):
+        read_users(spark, path).collect()
+
+
+TIMES = [
+    ("2024-01-05", "date", "2024-01-05 00:00:00"),
+    ("2024-01-05 10:20", "space", "2024-01-05 10:20:00"),
+    (" 2024-01-05 10:20:30 ", "space", "2024-01-05 10:20:30"),
+    ("2024-01-05T10:20:30", "T", "2024-01-05 10:20:30"),
+    ("2024-01-05T10:20:30.5", "fraction", "2024-01-05 10:20:30.500000"),
+    ("2024-01-05 10:20:30.123456789", "fraction", "2024-01-05 10:20:30.123456"),
+    ("2024-01-05T10:20:30+02:00", "offset", "2024-01-05 08:20:30"),
+    ("2024-01-05 10:20:30.25-0130", "offset", "2024-01-05 11:50:30.250000"),
+    ("2024-01-01T00:30Z", "offset", "2024-01-01 00:30:00"),
+    ("2024-01-01 00:30:00+05:30", "offset", "2023-12-31 19:00:00"),
+    ("13/04/2024", "day_first", "2024-04-13 00:00:00"),
+    ("4/13/2024 09:15", "month_first", "2024-04-13 09:15:00"),
+    ("05.05.2024", "day_first", "2024-05-05 00:00:00"),  # both forms agree
+    ("03/04/2024", "ambiguous", None),
+    ("2024-02-30", "unread", None),
+    ("31/31/2024", "unread", None),
+    ("2024-01-05 25:00", "unread", None),
+    ("10:20", "unread", None),
+    ("soon", "unread", None),
+    ("", None, None),
+    (None, None, None),
+]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_times_in_several_forms(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(TIMES)], "id int, at string")
+        got = rows(times.read_times(df, "at").orderBy("id"), "at", "at_form")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(None if w is None else TS(w), f) for _, f, w in TIMES]
+
+
+def test_a_local_hour_that_a_zone_skips_is_read(spark):
+    """02:30 on the day clocks go forward is a time without zone like any other."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-03-10T02:30:00-08:00",)], "at string")
+        got = rows(times.read_times(df, "at"), "at")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(TS("2024-03-10 02:30:00"),), (TS("2024-03-10 10:30:00"),)]
+
+
+def test_report_and_own_forms(spark):
+    df = spark.createDataFrame([(t,) for t, *_ in TIMES], "at string")
+    report = {r.form: r.n_rows for r in times.time_forms(times.read_times(df, "at"), "at").collect()}
+    assert report["ambiguous"] == 1 and report["unread"] == 5 and report[None] == 2 and sum(report.values()) == len(TIMES)
+    only_days = [f for f in times.FORMS if f.name != "month_first"]
+    (r,) = times.read_times(spark.createDataFrame([("03/04/2024",)], "at string"), "at", only_days).collect()
+    assert (r["at"], r["at_form"]) == (TS("2024-04-03 00:00:00"), "day_first")
+
+
+def test_counts_come_from_the_footers(spark):
+    paths = {t: f"{SF['0.01']}/{t}.parquet" for t in ("events", "orders")}
+    df = counts.input_row_counts(spark, paths)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == 2
+    assert dict(rows(df)) == {t: spark.read.parquet(p).count() for t, p in paths.items()}
+    # the caller's session is as it was
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert "PushedAggregation" not in spark.read.parquet(paths["events"]).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_folders_and_no_tables(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "some"))
+    got = counts.input_row_counts(spark, {"none": str(tmp_path / "none"), "some": str(tmp_path / "some")})
+    assert dict(rows(got)) == {"none": 0, "some": 1000}
+    with pytest.raises(ValueError):
+        counts.input_row_counts(spark, {})
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyed_events_need_no_shuffle_by_user_and_prune_dates(spark, make_users, make_events, tmp_path):
+    log = [(u, f"2024-01-{d:02d} 10:00:00", n) for u in range(30) for d in (1, 2, 3) for n in ("signed_up", "used_feature_X")]
+    events = make_events([*log, (None, "2024-01-02 10:00:00", "signed_up"), (5, None, "upgraded_plan")])
+    spark.sql("DROP TABLE IF EXISTS keyed_test")
+    keyed.save_keyed_events(events, "keyed_test", 4, path=str(tmp_path / "keyed"))
+    try:
+        kept = keyed.keyed_events(spark, "keyed_test")
+        flags = funnel.user_funnel_flags(kept)
+        assert "Exchange" not in _executed(flags)
+        assert sorted(rows(flags), key=str) == sorted(rows(funnel.user_funnel_flags(events)), key=str)
+        day = keyed.keyed_events(spark, "keyed_test", dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+        assert "PartitionFilters: [isnotnull(event_date" in _executed(day) and day.count() == 61
+        assert len(day.inputFiles()) <= 4 < len(kept.inputFiles())
+        # two tables with equal buckets join by user without a shuffle as well
+        users = make_users([(u, dt.date(2024, 1, 1), "Free", "A") for u in range(30)])
+        got = {r.cohort: r.day_1_retention for r in retention.cohort_retention(users, kept.drop("event_date")).collect()}
+        assert got == {"Jan 2024": 100.0}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS keyed_test")
+
+
+def test_keyed_copies_do_not_meet(spark, make_events):
+    events = make_events([(u, "2024-01-01 10:00:00", "signed_up") for u in range(9)])
+    one, two = keyed.keyed_copy(events, 3), keyed.keyed_copy(events.limit(0), 3)
+    assert (one.count(), two.count()) == (9, 0)
+    assert "Exchange" not in _executed(funnel.user_funnel_flags(one))

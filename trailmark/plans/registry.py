@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailmark.operators import abtest, funnel, inviters, kpis, maturity, power, retention, segments, weekly
 from trailmark import schemas as S
+from trailmark.operators import abtest, funnel, inviters, kpis, maturity, power, retention, segments, weekly
 from trailmark.plans import report
+from trailmark.sources import counts, fixtures, keyed, quarantine, times
 from trailmark.sources.fixtures import load_mapping_a, load_mapping_b, split_cohorts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Registry parameters (fixed so that the Spark and SQL sides agree).
 USERS_FILTER = {"plans": ["Paid"], "groups": ["A", "B"], "months": [1]}
 EVENTS_FILTER = {"event_types": ["created_project", "invited_teammate"], "user_id_text": "7"}
+COUNTED = ("customer", "documents", "embeddings", "events", "lineitem", "orders")
 SPLIT_BASELINE, SPLIT_COMPARISON = "before", "after"
 
 
@@ -78,6 +81,28 @@ def _split_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.user_cohorts(users, split_cohorts())
 
 
+def _checked_lines(events: DataFrame) -> DataFrame:
+    return quarantine.checked_lines(fixtures.damaged_lines(events), S.EVENTS, list(fixtures.EVENT_FIELDS))
+
+
+def _read_times(events: DataFrame) -> DataFrame:
+    return times.read_times(fixtures.mixed_times(events), "event_timestamp")
+
+
+def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.input_row_counts(spark, {name: f"{sf_dir.rstrip('/')}/{name}.parquet" for name in COUNTED})
+
+
+def _keyed_flags(events: DataFrame) -> DataFrame:
+    return funnel.user_funnel_flags(keyed.keyed_copy(events, fixtures.KEYED_BUCKETS))
+
+
+def _keyed_period_flags(events: DataFrame) -> DataFrame:
+    date = F.col(keyed.DATE)
+    kept = keyed.keyed_copy(events, fixtures.KEYED_BUCKETS)
+    return funnel.user_funnel_flags(kept.where((date >= fixtures.KEYED_SINCE) & (date < fixtures.KEYED_UNTIL)))
+
+
 QUERIES: dict[str, Query] = {
     # funnel
     "user_funnel_flags": _on_events(funnel.user_funnel_flags),
@@ -139,6 +164,15 @@ QUERIES: dict[str, Query] = {
     "ab_power_plan": _on_both(power.ab_power_plan),
     "weekly_kpis": _on_both(weekly.weekly_kpis),
     "weekly_kpis_orders": _month(weekly.weekly_kpis),
+    # sources: records kept apart, times in several forms, footer counts, a keyed table
+    "events_accepted": _on_events(lambda e: quarantine.valid_rows(_checked_lines(e), S.EVENTS)),
+    "events_rejected": _on_events(lambda e: quarantine.rejected_rows(_checked_lines(e))),
+    "events_line_outcomes": _on_events(lambda e: quarantine.rejections(_checked_lines(e))),
+    "event_times_read": _on_events(_read_times),
+    "event_time_forms": _on_events(lambda e: times.time_forms(_read_times(e), "event_timestamp")),
+    "input_row_counts": _row_counts,
+    "keyed_user_funnel_flags": _on_events(_keyed_flags),
+    "keyed_period_funnel_flags": _on_events(_keyed_period_flags),
     # KPIs, series, explore
     "kpi_totals": _on_both(kpis.kpi_totals),
     "kpi_overview": _on_both(kpis.kpi_overview),

@@ -3,15 +3,17 @@
 CSV columns are found by their header names, in any order, and read without an
 inference pass: 64-bit ids, dates, timezone-free timestamps (``2024-01-05 10:00:00``,
 with ``T``, without seconds or with fractions). Empty text is NULL; any other text that
-is no value of its column's type is an error.
+is no value of its column's type is an error, and so is a record with too few or too many
+fields. ``sources.quarantine`` keeps such records apart instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.schemas import EVENTS, USERS
+from trailmark.sources.quarantine import read_checked, strict_rows
 
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -30,20 +32,7 @@ def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     if fmt != "csv":
         return conform(spark.read.format(fmt).load(path), schema)
-    text = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    missing = [f.name for f in schema.fields if f.name not in text.columns]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(text.columns)}")
-    return text.select(*[_typed(f) for f in schema.fields])
-
-
-def _typed(field) -> Column:
-    text, kind = F.col(field.name), field.dataType.simpleString()
-    if kind == "string":
-        return text
-    value = text.try_cast(field.dataType)
-    wrong = F.raise_error(F.concat(F.lit(f"{field.name} is no {kind}: "), text)).cast(field.dataType)
-    return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value).alias(field.name)
+    return strict_rows(read_checked(spark, path, schema), schema)
 
 
 def conform(df: DataFrame, schema) -> DataFrame:

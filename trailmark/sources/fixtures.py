@@ -113,3 +113,49 @@ def load_mapping_b(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """(users, activity events) of mapping B from ``orders`` and ``lineitem``."""
     orders = table(spark, sf_dir, "orders")
     return order_users(orders), order_activity(orders, table(spark, sf_dir, "lineitem"))
+
+
+# --- fixed values: how the text versions of the event log are damaged and dated -----
+EVENT_FIELDS = ("event_id", "user_id", "event_timestamp", "event_name")
+KEYED_BUCKETS = 8
+KEYED_SINCE, KEYED_UNTIL = dt.date(2024, 1, 8), dt.date(2024, 1, 15)
+# -------------------------------------------------------------------------------------
+
+
+def damaged_lines(events: DataFrame) -> DataFrame:
+    """The event log as CSV lines, every row once; of every fifty ids six have a fault: short, long, a user id
+    that is no number, a time that is none, a blank line, and two faults at once."""
+    fields = {
+        "id": "coalesce(CAST(event_id AS STRING), '')",
+        "user": "coalesce(CAST(user_id AS STRING), '')",
+        "at": "coalesce(date_format(event_timestamp, 'yyyy-MM-dd HH:mm:ss'), '')",
+        "name": "coalesce(event_name, '')",
+    }
+    lines = {
+        0: "{id}, {user}",
+        1: "{id}, {user}, {at}, {name}, 'more'",
+        2: "{id}, concat('u', {user}), {at}, {name}",
+        3: "{id}, {user}, 'soon', {name}",
+        4: "''",
+        5: "'x', {user}, 'soon', {name}",
+    }
+    cases = " ".join(f"WHEN {k} THEN concat_ws(',', {v.format(**fields)})" for k, v in lines.items())
+    return events.selectExpr(f"CASE event_id % 50 {cases} ELSE concat_ws(',', {', '.join(fields.values())}) END AS line")
+
+
+def mixed_times(events: DataFrame) -> DataFrame:
+    """``event_id`` and ``event_timestamp`` as text, in ten forms by the last digit of the id (two of them no time)."""
+    forms = [
+        "date_format(event_timestamp, 'yyyy-MM-dd')",
+        "date_format(event_timestamp, 'yyyy-MM-dd HH:mm:ss')",
+        "date_format(event_timestamp, \"yyyy-MM-dd'T'HH:mm\")",
+        "date_format(event_timestamp, 'yyyy-MM-dd HH:mm:ss.SSSSSS')",
+        "date_format(event_timestamp, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\")",
+        "date_format(event_timestamp, 'd/M/yyyy HH:mm')",
+        "date_format(event_timestamp, 'M/d/yyyy HH:mm:ss')",
+        "'soon'",
+        "NULL",
+        "date_format(event_timestamp, \"yyyy-MM-dd HH:mm:ss'Z'\")",
+    ]
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(forms))
+    return events.selectExpr("event_id", f"CASE event_id % 10 {cases} END AS event_timestamp")
