@@ -41,7 +41,9 @@ def test_retention_has_no_outer_join(spark, make_users, make_events):
     users, events = make_users([]), make_events([])
     for op in (retention.cohort_retention, retention.user_activity, retention.retention_ratio_doc):
         assert "LeftOuter" not in optimized(op(users, events)), op.__name__
-    assert "LeftOuter" not in optimized(QUERIES["cohort_retention_month"](spark, SF["0.001"]))
+    from trailmark.sources.fixtures import load_mapping_b
+
+    assert "LeftOuter" not in optimized(retention.cohort_retention(*load_mapping_b(spark, SF["0.001"])))
 
 
 def test_ab_viewers_join_is_inner(make_users, make_events):

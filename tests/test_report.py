@@ -57,3 +57,33 @@ def test_materialized_report_never_rereads_events(spark, make_users, make_events
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "event_name" not in plan, name
         assert df.count() >= 1
+
+
+def test_lazy_summary_equals_the_parts_on_odd_tables(spark, make_users, make_events):
+    """Repeated users, unknown ones, no sign-up date, a missing group, no activity."""
+    import datetime as dt
+
+    from trailmark.operators.retention import date_split_cohorts
+    from trailmark.plans.report import analysis_tables
+
+    d = dt.date
+    users = [(1, d(2024, 1, 1), "Free", "A"), (1, d(2024, 1, 1), "Free", "A"), (1, d(2024, 1, 9), "Free", "B"), (2, None, "Free", "B")]
+    users += [(3, d(2024, 1, 8), "Paid", "B"), (4, d(2024, 1, 2), "Free", None), (5, d(2024, 1, 2), "Free", "A")]
+    log = [(u, "2024-01-01 00:00:00", "signed_up") for u in (1, 2, 3, 4, 9, None)]
+    log += [(u, "2024-01-02 00:00:00", n) for u in (1, 3, 9) for n in ("viewed_pricing_page", "created_project", "used_feature_X")]
+    log += [(3, "2024-01-09 10:00:00", "used_feature_X"), (5, "2024-01-09 10:00:00", "used_feature_X"), (3, "2024-01-09 10:00:00", "upgraded_plan")]
+    for u, e in ((users, log), (users, []), ([], log), (users[:3], log), ([x for x in users if x[3] == "B"], log)):
+        args = make_users(u), make_events(e), date_split_cohorts(d(2024, 1, 3)), "before", "after"
+        assert rows(executive_summary(*args)) == rows(analysis_tables(*args)["summary"])
+
+
+def test_summary_reads_each_table_once_for_users_and_once_for_events(spark):
+    plan = QUERIES["executive_summary"](spark, SF["0.001"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3
+
+
+def test_month_retention_reads_orders_and_lines_once(spark):
+    for name in ("cohort_retention_month", "retention_comparison_month", "retention_ratio_doc_month"):
+        plan = QUERIES[name](spark, SF["0.001"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2, name
+        assert plan.count("Exchange hashpartitioning") <= 3, name

@@ -121,3 +121,33 @@ def test_no_limit_on_offsets(data):
     few = retention.user_retention_flags(users, events, days=[1, 30, 31, 60])
     assert wide.columns[-1] == "day_60"
     assert sorted(rows(wide, "cohort", "user_id", "day_1", "day_30", "day_31", "day_60"), key=str) == sorted(rows(few), key=str)
+
+
+def test_journeys_give_the_same_as_users_and_events(spark):
+    from conftest import SF
+
+    from trailmark.sources.fixtures import load_journeys_b, load_mapping_b
+
+    for sf in ("0.001", "0.01"):
+        users, events = load_mapping_b(spark, SF[sf])
+        journeys = load_journeys_b(spark, SF[sf])
+        flags = sorted(map(tuple, retention.journey_flags(journeys).collect()), key=str)
+        assert flags == sorted(map(tuple, retention.user_retention_flags(users, events).collect()), key=str)
+        for day in (7, 30):
+            ratio = sorted(map(tuple, retention.journey_ratio_doc(journeys, day=day).collect()), key=str)
+            assert ratio == sorted(map(tuple, retention.retention_ratio_doc(users, events, day=day).collect()), key=str)
+
+
+def test_journeys_with_nulls(spark):
+    rows_in = [
+        (1, "2024-01-05", "2024-01-12"), (1, "2024-01-04", None), (1, "2024-01-05", "2024-01-11"), (1, "2024-01-05", "2024-01-11"),
+        (2, "2024-01-01", None),  # never active: no base
+        (3, None, "2024-01-01"),  # no sign-up: the NULL cohort
+        (None, "2024-01-01", "2024-01-02"),
+    ]
+    df = spark.createDataFrame(rows_in, "user_id long, sign_up_date string, event_timestamp string")
+    df = df.selectExpr("user_id", "cast(sign_up_date AS date) AS sign_up_date", "cast(event_timestamp AS timestamp_ntz) AS event_timestamp")
+    got = {tuple(r) for r in retention.journey_flags(df).collect()}
+    assert got == {("Jan 2024", 1, 0, 1, 0, 0), (None, 3, 0, 0, 0, 0)}
+    assert {tuple(r) for r in retention.journey_ratio_doc(df).collect()} == {("Jan 2024", 2.0), (None, None)}
+    assert retention.journey_flags(df.limit(0)).collect() == []

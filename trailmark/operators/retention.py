@@ -4,14 +4,14 @@ Retention base (as in the analysis this mirrors): users of a cohort with at leas
 one activity event, at any offset. A user counts as retained on day N when an
 activity event falls on calendar day ``sign_up_date + N``.
 
-Plan shape for the rates: at scale, activity events are first reduced to
-distinct (user, activity date) pairs with an event count, combined map-side, so
-a user with a third of all events becomes a few hundred rows at most; only that
-reduced set is joined to users, and the per-(cohort, user) flags reuse the
-join's ``user_id`` partitioning. When the users side is within the broadcast
-threshold (size-checked on Catalyst's estimate), activity rows are joined to
-it without any shuffle and combined map-side per (cohort, user) instead. The
-per-cohort aggregate is tiny either way.
+Plan shape for the rates: activity events are first reduced to distinct (user, activity
+date) pairs with an event count, combined map-side, so a user with a third of all events
+becomes a few hundred rows at most; only that reduced set is joined to users, and whether a
+side of that join is broadcast is left to the planner. The per-cohort aggregate is tiny.
+
+Where sign-ups and activity come from one table already joined (a *journey* table: one row
+per sign-up candidate and activity event of a user), the ``journey_*`` forms need no join of
+users: one aggregate per user takes the first sign-up and the set of active dates.
 """
 
 from __future__ import annotations
@@ -85,10 +85,11 @@ def user_activity(
     """
     cohorts = user_cohorts(users, labeler)
     acts = events.where((F.col("event_name") == F.lit(activity_event)) & F.col("user_id").isNotNull()).select(
-        "user_id", "event_timestamp", "event_name"
+        "user_id", "event_timestamp", "event_name", *([c for c in ("event_id",) if salt and c in events.columns])
     )
     if salt and salt > 1:
-        acts = acts.withColumn("_salt", F.expr(f"pmod(xxhash64(user_id, event_timestamp, event_name), {int(salt)})"))
+        row = [c for c in ("event_id", "user_id", "event_timestamp", "event_name") if c in acts.columns]
+        acts = acts.withColumn("_salt", F.expr(f"pmod(xxhash64({', '.join(row)}), {int(salt)})"))
         cohorts = cohorts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(int(salt) - 1))))
         joined = cohorts.join(acts, ["user_id", "_salt"], "inner")
     else:
@@ -283,3 +284,40 @@ def retention_ratio_doc(
             / F.count_distinct("user_id")
         ).alias(f"day_{day}_retention")
     )
+
+
+def journey_flags(
+    journeys: DataFrame, labeler: Labeler | None = None, days: Sequence[int] = RETENTION_DAYS
+) -> DataFrame:
+    """O16 from a journey table: ``user_id``, ``sign_up_date`` (its least counts) and ``event_timestamp`` of an
+    activity event, or NULL in rows that only tell of a sign-up.
+
+    One shuffle, by user: dates are combined map-side into sets, which the calendar bounds.
+    """
+    labeler = labeler or month_cohorts()
+    known = journeys.where(F.col("user_id").isNotNull())
+    per_user = known.groupBy("user_id").agg(
+        F.min(F.to_date("sign_up_date")).alias("sign_up_date"),
+        F.collect_set(F.to_date("event_timestamp")).alias("active_dates"),
+    )
+    active = per_user.where(F.size("active_dates") > 0).withColumn("cohort", labeler(F.col("sign_up_date")))
+    flags = [f"CAST(coalesce(array_contains(active_dates, date_add(sign_up_date, {d})), false) AS INT) AS day_{d}" for d in days]
+    return active.selectExpr("cohort", "user_id", *flags)
+
+
+def journey_ratio_doc(journeys: DataFrame, labeler: Labeler | None = None, day: int = 7) -> DataFrame:
+    """D3 from a journey table: events are counted per (user, date) first, so a hot user is a row per day."""
+    labeler = labeler or month_cohorts()
+    known = journeys.where(F.col("user_id").isNotNull())
+    per_day = known.groupBy("user_id", F.to_date("event_timestamp").alias("date")).agg(
+        F.min(F.to_date("sign_up_date")).alias("sign_up_date"), F.count("event_timestamp").alias("n_events")
+    )
+    per_user = per_day.groupBy("user_id").agg(
+        F.min("sign_up_date").alias("sign_up_date"),
+        F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "n_events"))).alias("active"),
+    )
+    of_day = f"filter(active, x -> x.date = date_add(sign_up_date, {int(day)}))"
+    active = per_user.where(F.size("active") > 0).select(
+        labeler(F.col("sign_up_date")).alias("cohort"), F.expr(f"get({of_day}, 0).n_events AS n_events")
+    )
+    return active.groupBy("cohort").agg((F.sum("n_events") / F.count(F.lit(1))).alias(f"day_{day}_retention"))

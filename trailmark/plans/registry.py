@@ -71,6 +71,19 @@ def _month(op, **kw) -> Query:
     return run
 
 
+def _on_journeys(op) -> Query:
+    """Retention on mapping B's journey table, with the literal sign-up-month cohorts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(fixtures.load_journeys_b(spark, sf_dir))
+
+    return run
+
+
+def _journey_retention(journeys: DataFrame) -> DataFrame:
+    return retention.retention_from_flags(retention.journey_flags(journeys))
+
+
 def _month_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     users, _ = load_mapping_b(spark, sf_dir)
     return retention.user_cohorts(users)
@@ -138,9 +151,9 @@ QUERIES: dict[str, Query] = {
     # retention, mapping B (literal month cohorts incl. NULL, orders x lineitem)
     "user_cohorts_month": _month_cohorts,
     "user_activity_month": _month(retention.user_activity, activity_event="used_feature_X"),
-    "cohort_retention_month": _month(retention.cohort_retention, activity_event="used_feature_X"),
-    "retention_comparison_month": _month(retention.retention_comparison, baseline="Jan 2024", comparison="Feb 2024"),
-    "retention_ratio_doc_month": _month(retention.retention_ratio_doc, day=7),
+    "cohort_retention_month": _on_journeys(_journey_retention),
+    "retention_comparison_month": _on_journeys(lambda j: retention.comparison_from_retention(_journey_retention(j))),
+    "retention_ratio_doc_month": _on_journeys(retention.journey_ratio_doc),
     # the analysis report's headline numbers (mapping A, before / after split)
     "executive_summary": _split(
         report.executive_summary, baseline=SPLIT_BASELINE, comparison=SPLIT_COMPARISON

@@ -103,6 +103,19 @@ def order_activity(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
+def order_journeys(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Mapping B as one journey table: every order date (a sign-up candidate) of a customer with the shipping
+    date of each of its lines, or NULL for an order without lines. Each table is read once."""
+    lines = lineitem.select("l_orderkey", F.col("l_shipdate").alias("event_timestamp"))
+    placed = orders.select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("sign_up_date"))
+    joined = placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("user_id", "sign_up_date", "event_timestamp")
+
+
+def load_journeys_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_journeys(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
 def load_mapping_a(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(users, events) of mapping A from ``events`` and ``customer``."""
     raw = table(spark, sf_dir, "events")
