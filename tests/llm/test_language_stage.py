@@ -1,0 +1,81 @@
+"""The pipeline's language stage row by row, and the bound of what language ID learns from."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from trailmark.llm import langid
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+GOOD = [
+    "The committee will meet again in the spring to discuss the new budget for public schools and libraries.",
+    "She walked along the river until the evening light had faded and the streets were quiet once more.",
+    "Most of the farmers in the valley had sold their land before the railway was built through the hills.",
+]
+FREMD = [
+    "Der Ausschuss trifft sich im Frühjahr wieder, um über den neuen Haushalt der Schulen zu beraten.",
+    "Sie ging am Fluss entlang, bis das Abendlicht verblasst war und die Straßen wieder still wurden.",
+]
+JUNK = [
+    "12345 678", "!!! ###", "", None, "99 99", "zzkq xwvj qqpx kzzt vvbn wqpl jjxx qqqz kxkx zvzv bqbq",
+    "Všetci ľudia sú si rovní", "全ての人間は、生まれながらにして自由である", "ⴰⵎⴷⴰⵏ ⴰⴽⴽⵯ ⵙ ⵉⵣⵔⴼⴰⵏ ⵏⵏⵙ",
+]
+
+
+@pytest.fixture(scope="module")
+def learned():
+    return [(i, (GOOD if i % 2 else FREMD)[i % 2] + f" {w}", "en" if i % 2 else "de", "s", 5) for i, w in enumerate(GOOD * 20)]
+
+
+def _stage(spark, rows):
+    return corpus_pipeline.language_id(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), "")
+
+
+def test_rows_without_or_with_shared_ids_are_judged_one_by_one(spark, learned):
+    odd = [(None, t, None, "x", 1) for t in (*GOOD, *JUNK)]
+    odd += [(700, t, None, "x", 2) for t in (*FREMD, *JUNK)] + [(701, GOOD[0], None, "x", 3)] * 3
+    kept = _stage(spark, learned + odd)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    got = [(r.doc_id, r.text) for r in kept.where("source = 'x'").collect()]
+    assert sorted(got, key=str) == sorted([(None, t) for t in GOOD] + [(700, t) for t in FREMD] + [(701, GOOD[0])] * 3, key=str)
+    assert kept.where("source = 's'").count() == len(learned)
+    assert {r.n_chars for r in kept.where("source = 'x'").collect()} == {1, 2, 3}
+
+
+def test_wanted_languages(spark, learned):
+    docs = spark.createDataFrame(learned + [(900, GOOD[1], None, "x", 1), (901, FREMD[1], None, "x", 1)], COLUMNS)
+    found = langid.identify(docs, F.lit(True), carry=["source"])
+    assert [r.doc_id for r in found.where(langid.in_language(["de"])).where("source = 'x'").collect()] == [901]
+    assert found.where(langid.in_language([])).count() == 0
+
+
+def test_no_join_in_the_stage(spark, learned):
+    plan = _stage(spark, learned)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_the_sample_is_bounded_and_repeated_rows_count_once(spark, monkeypatch):
+    sizes = []
+    real = langid.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "language-words":
+            sizes.append(out.groupBy("lang").agg(F.sum("n")).collect())
+        return out
+
+    monkeypatch.setattr(langid, "stored", counted)
+    rows = [(None, f"word number {i}", "en", "s", 1) for i in range(2000)] + [(7, "always equal text", "en", "s", 1)] * 3000
+    rows += [(i, "ein wort", "de", "s", 1) for i in range(40)]
+    langid.identify(spark.createDataFrame(rows, COLUMNS), F.lit(True), per_language=100)
+    words = {r.lang: r[1] for r in sizes[0]}
+    assert words["en"] <= 3 * 100 and words["de"] == 2 * 40  # letters only: a number is no word
+
+
+def test_repeated_rows_and_clashing_columns(spark, learned):
+    docs = spark.createDataFrame(learned + [(5, GOOD[2], None, "x", 1)] * 4, COLUMNS)
+    docs = docs.selectExpr("*", "1 AS score", "'q' AS lang_pred", "2 AS letters", "3 AS carry", "4 AS log10_p")
+    got = langid.identify(docs, F.lit(True), carry=["source"]).where("source = 'x'").collect()
+    assert len({tuple(r) for r in got}) == 1 and len(got) == 4 and got[0].lang_pred == "en"

@@ -5,13 +5,14 @@ is the sum over all its segmentations into pieces of the product of their probab
 forward algorithm; a text's is the product over its words (runs of letters, lower case). Piece
 probabilities are learned by expectation maximisation (forward and backward) on word counts.
 
-Training uses a bounded sample: about ``per_language`` documents of each language, chosen by a hash
-of doc_id. Everything else covers all rows and whole texts.
+Training uses a bounded sample: at most ``per_language`` documents of each language, those with the least
+64-bit hashes of doc_id and text; equal rows count once there. Everything else covers all rows and whole texts.
 
 Nulls and edge cases: a null text and one without a letter are ``und`` with score 0; rows with a null
 lang are not learned from; ties go to the language first in order; without any training row all are
 ``und``; words of any length are solved whole (the sums are rescaled, so long ones do not underflow);
-repeated rows get equal answers; an empty table gives an empty table. Only doc_id, text and (for training rows) lang are read.
+repeated rows get equal answers, as do rows that share a doc_id or have none, each by its own text; other columns are
+dropped unless carried; an empty table gives an empty table. Only text and (for training rows) doc_id and lang are read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +29,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import slices, utf8
-from .common import documents, public_id, stored
+from .common import documents, public_id, shuffle_partitions, stored
 from .lattice import Pieces, matrices, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -184,12 +186,20 @@ def learn(training: DataFrame, path: str, per_language: int = 3000, rounds: int
     p = np.full((n_pieces, len(langs)), 1 / n_pieces)
     if not langs:
         return langs, p
-    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, per_language / sizes[g])))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    # a little more than wanted by a threshold on the hash, then the least of them
+    share = {g: min(1.0, 1.2 * per_language / n + 1e-6) for g, n in sizes.items()}
+    ends = {g: (1 << 63) - 1 if x == 1 else int(x * 2**64) - (1 << 63) for g, x in share.items()}
+    end = F.create_map(*[x for g, e in ends.items() for x in (F.lit(g), F.lit(e).cast("long"))])
+    hashed = known.withColumn("hash", F.xxhash64("doc_id", "text")).where(F.col("hash") <= end[F.col("lang")])
+    once = hashed.groupBy("lang", "hash").agg(F.max("text").alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = once.withColumn("nth", least).where(F.col("nth") <= per_language)
     words = stored(
         chosen.mapInArrow(_word_counts(path), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "language-words",
     )
+    # few rows, but much work on each: one part for each core at least
+    words = words.repartition(max(shuffle_partitions(training.sparkSession), training.sparkSession.sparkContext.defaultParallelism), "word")
     for _ in range(rounds):
         counts = (
             words.mapInArrow(_expectation(path, langs, p), "g int, piece int, c double")
@@ -204,7 +214,7 @@ def learn(training: DataFrame, path: str, per_language: int = 3000, rounds: int
 
 
 def text_scores(texts: list[str], pieces: Pieces, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each text under each language, and its number of words."""
+    """Log probability of each text under each language, and its number of letters."""
     listed = words_of(texts, pieces)
     count = np.fromiter(map(len, listed), np.int64, len(listed))
     flat = np.empty(int(count.sum()), object)
@@ -213,39 +223,67 @@ def text_scores(texts: list[str], pieces: Pieces, p: np.ndarray) -> tuple[np.nda
     word = np.zeros((len(distinct) + 1, p.shape[1]))
     for at, matrix, lengths in matrices(list(distinct)):
         word[at] = log_probability(pieces, matrix, lengths, p)
-    letters = np.array([any(map(str.isalpha, w)) for w in distinct], bool)
-    word[:-1][~letters] = 0
+    letters = np.array([sum(map(str.isalpha, w)) for w in distinct], np.int64)
+    word[:-1][letters == 0] = 0
     owner = np.repeat(np.arange(len(texts)), count)
     totals = np.stack([np.bincount(owner, word[which, g], len(texts)) for g in range(p.shape[1])], axis=1)
     return totals, np.bincount(owner, letters[which], len(texts)).astype(np.int64)
 
 
-def _predict(path: str, langs: list[str], p: np.ndarray):
+def _predict(path: str, langs: list[str], p: np.ndarray, carried: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = letter_pieces(path)
         for batch in batches:
-            names, scores = [], []
+            names, scores, each, letters = [], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]
             for _, _, texts in _texts(batch):
                 totals, n = text_scores(texts, pieces, p)
                 best = totals.argmax(axis=1)
-                shares = 1 / np.exp(totals - totals[np.arange(len(texts)), best][:, None]).sum(axis=1)
+                top = totals[np.arange(len(texts)), best]
+                shares = 1 / np.exp(totals - top[:, None]).sum(axis=1)
                 names += [langs[b] if k else "und" for b, k in zip(best, n)]
                 scores.append(np.where(n > 0, shares, 0.0))
+                each.append(top / math.log(10))
+                letters.append(n)
+            kept = [c for c in ("doc_id", *carried) if c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [*map(batch.column, kept), pa.array(names, pa.string()), *(pa.array(np.concatenate(x)) for x in (scores, each, letters))],
+                [*kept, "lang_pred", "score", "log10_p", "letters"],
             )
 
     return run
 
 
-def identify(docs: DataFrame, trained_on: Column, vocabulary_path: str | None = None, per_language: int = 3000) -> DataFrame:
-    """doc_id, lang_pred and score (the language's share of the likelihood, 0 to 1) for each row.
-    ``trained_on``: condition on doc_id of the rows whose lang may be learned from."""
+def in_language(
+    wanted: Sequence[str] | None = None, least_share: float = 0.5, least_letter: float = -2.5, margin: float = 6.0
+) -> Column:
+    """Of rows of ``identify``: whether the text is in one of the wanted languages (default: any learned one), with
+    at least that share of the likelihood, and not letters of another kind: a model that gives every letter
+    10**least_letter must not be 10**margin times likelier than the language."""
+    own = F.col("lang_pred") != "und" if wanted is None else F.col("lang_pred").isin(list(wanted))
+    return own & (F.col("score") >= least_share) & (F.col("log10_p") >= least_letter * F.col("letters") - margin)
+
+
+def identify(
+    docs: DataFrame,
+    trained_on: Column,
+    vocabulary_path: str | None = None,
+    per_language: int = 3000,
+    carry: Sequence[str] = (),
+    with_text: bool = False,
+) -> DataFrame:
+    """doc_id, lang_pred, score (the language's share of the likelihood, 0 to 1), log10_p (the language's log10
+    probability of the text) and letters for each row, with its text and columns to carry if asked for.
+    ``trained_on``: condition of the rows whose lang may be learned from."""
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
-    own = documents(docs)
+    own = documents(docs, carry)
     labelled = docs.where(trained_on).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs, p = learn(labelled, path, per_language)
-    if not langs:
-        return own.select(public_id().alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return own.mapInArrow(_predict(path, langs, p), "doc_id long, lang_pred string, score double").withColumn("doc_id", public_id())
+    kept = [*(["text"] if with_text else []), *(["carry"] if carry else [])]
+    answers = "lang_pred string, score double, log10_p double, letters long"
+    if langs:
+        kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+        own = own.mapInArrow(_predict(path, langs, p, kept), ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in kept), answers]))
+    else:
+        own = own.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "log10_p": F.lit(0.0), "letters": F.lit(0).cast("long")})
+    columns = [*(["text"] if with_text else []), *(["carry.*"] if carry else []), "lang_pred", "score", "log10_p", "letters"]
+    return own.select(public_id().alias("doc_id"), *columns)
