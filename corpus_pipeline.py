@@ -18,13 +18,6 @@ from trailmark.llm.queries import remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source")
-LEAST_SHARE = 0.5  # of a document's language in the likelihood
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is in ids."""
-    wanted = ids.select(F.col("doc_id").alias("wanted"))
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(*COLUMNS)
 
 
 def _with_text(kept: DataFrame) -> DataFrame:
@@ -33,8 +26,10 @@ def _with_text(kept: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, trained_on=remainder(4) != 2)
-    return _only(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
+    """Texts without letters, in no learned language, or of letters that no learned language explains go. Each row is
+    judged by its own text: rows that share a doc_id, or have none, stay or go one by one."""
+    found = langid.identify(docs, trained_on=remainder(4) != 2, carry=(*CARRIED, "n_chars"), with_text=True)
+    return found.where(langid.in_language()).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
