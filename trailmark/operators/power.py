@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from trailmark.functions.sqlexpr import lit_sql, stack_rows
 from trailmark.functions.stats import normal_cdf_sql, normal_quantile_sql
-from trailmark.operators.abtest import ab_test_summary, wide_summary
+from trailmark.operators.abtest import ab_test_summary, _ab_wide
 from trailmark.schemas import AB_CONTROL, AB_TREATMENT, ALPHA
 
 POWER = 0.8
@@ -24,7 +24,7 @@ def power_plan_from_summary(
     treatment: str = AB_TREATMENT,
 ) -> DataFrame:
     """X1 from an O9-shaped summary (see ``ab_power_plan``)."""
-    wide = wide_summary(summary, control, treatment)
+    wide = _ab_wide(summary, control, treatment)
     rows = [["'observed'", "b_rate - a_rate"], *([lit_sql(f"{d:g} points"), lit_sql(float(d))] for d in differences)]
     fixed = ["a_rate", "a_total", "b_total"]
     plan = stack_rows(wide, [[*r, *fixed] for r in rows], ["difference", "difference_pp", "control_rate", "n_a", "n_b"])
