@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie on them, queried in numpy batches.
+"""Elias-Fano sequences and an n-gram trie on them, queried in numpy batches.
 
 A monotone sequence is kept as packed low bits and a unary bit vector of the high parts. Levels are
 written to a file and read back through memory maps.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -96,50 +97,74 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 class Trie:
     """Contexts, monotone pointers to their successors, the successors relative to their context, and
-    the quantised probability of each."""
-
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> None:
-        """Sorted by context, then successor (below 2**SUCCESSOR_BITS), without repeats."""
-        own, first = np.unique(contexts, return_index=True)
-        nth = np.repeat(np.arange(len(own), dtype=U), np.diff(np.append(first, len(contexts))))
-        levels = {
-            "contexts": EliasFano.of(own, 1 << 64),
-            "pointers": EliasFano.of(np.append(first, len(contexts)).astype(U), len(contexts) + 1),
-            "successors": EliasFano.of(nth << U(SUCCESSOR_BITS) | successors, max(1, len(own)) << SUCCESSOR_BITS),
-        }
+    the quantised probability of each; and so on for each deeper level, whose contexts are the successors above."""
+
+    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray, deeper: Sequence[tuple] = ()) -> None:
+        """Sorted by context, then successor (below 2**SUCCESSOR_BITS), without repeats. deeper: for each further
+        level the places of its contexts in the level above, successors and codes, in the same order."""
+        own, nth = np.unique(contexts, return_inverse=True)
         self._file = tempfile.NamedTemporaryFile(prefix="trie-")
-        parts = [("codes", codes)] + [(k, p) for k, level in levels.items() for p in level.parts()]
-        spans, at = [], 0
-        for _, part in parts:
-            self._file.write(part.tobytes() + bytes(-part.nbytes % 8))
-            spans.append((at, part))
-            at += part.nbytes + -part.nbytes % 8
+        self._size = 0
+        self.contexts = self._mapped(EliasFano.of(own, 1 << 64))
+        self.levels = []
+        above = len(own)
+        for parents, last, code in ((nth, successors, codes), *deeper):
+            pointers = np.append(0, np.cumsum(np.bincount(parents, minlength=above)))
+            self.levels.append(
+                (
+                    self._mapped(EliasFano.of(pointers.astype(U), len(last) + 1)),
+                    self._mapped(
+                        EliasFano.of(parents.astype(U) << U(SUCCESSOR_BITS) | last, max(1, above) << SUCCESSOR_BITS)
+                    ),
+                    self._written(code),
+                )
+            )
+            above = len(last)
+
+    def _written(self, part: np.ndarray) -> np.ndarray:
+        """``part`` as a memory map of the trie's file."""
+        if not part.size:
+            return part
+        at = self._size
+        self._file.write(part.tobytes() + bytes(-part.nbytes % 8))
         self._file.flush()
+        self._size += part.nbytes + -part.nbytes % 8
         os.posix_fadvise(self._file.fileno(), 0, 0, os.POSIX_FADV_RANDOM)
-        mapped = [np.memmap(self._file.name, p.dtype, "r", a, p.shape) if p.size else p for a, p in spans]
-        self.codes = mapped[0]
-        for k, (name, level) in enumerate(levels.items()):
-            setattr(self, name, EliasFano(level.n, level.low_bits, *mapped[1 + 3 * k : 4 + 3 * k]))
+        return np.memmap(self._file.name, part.dtype, "r", at, part.shape)
 
-    def find(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """The code of each pair; 0 where it is not in the trie."""
-        out = np.zeros(len(contexts), np.uint16)
+    def _mapped(self, level: EliasFano) -> EliasFano:
+        return EliasFano(level.n, level.low_bits, *map(self._written, level.parts()))
+
+    def first(self, contexts: np.ndarray) -> np.ndarray:
+        """The place of each context; -1 where it is not in the trie."""
         n = self.contexts.n
         if not n or not len(contexts):
-            return out
-        asked, which = np.unique(contexts, return_inverse=True)
-        at = self.contexts.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n, np.int64))
-        known = (at < n) & (self.contexts[np.minimum(at, n - 1)] == asked)
-        row = at[which]
-        rows = np.flatnonzero(known[which])
-        row = row[rows]
-        lo, hi = self.pointers[row].astype(np.int64), self.pointers[row + 1].astype(np.int64)
-        x = row.astype(U) << U(SUCCESSOR_BITS) | successors[rows]
-        place = self.successors.successor(x, lo, hi)
+            return np.full(len(contexts), -1, np.int64)
+        at = self.contexts.successor(contexts, np.zeros(len(contexts), np.int64), np.full(len(contexts), n, np.int64))
+        return np.where((at < n) & (self.contexts[np.minimum(at, n - 1)] == contexts), at, -1)
+
+    def after(self, level: int, rows: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place in its level (from 0, -1 if missing) and the code (0 if missing) of each successor of the
+        entry at ``rows`` (-1: missing) in the level above."""
+        pointers, inside, codes = self.levels[level]
+        out, code = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.uint16)
+        at = np.flatnonzero(rows >= 0)
+        if not len(at) or not inside.n:
+            return out, code
+        row = rows[at]
+        lo, hi = pointers[row].astype(np.int64), pointers[row + 1].astype(np.int64)
+        x = row.astype(U) << U(SUCCESSOR_BITS) | successors[at]
+        place = inside.successor(x, lo, hi)
         hit = place < hi
-        hit[hit] = self.successors[place[hit]] == x[hit]
-        out[rows[hit]] = self.codes[place[hit]]
-        return out
+        hit[hit] = inside[place[hit]] == x[hit]
+        out[at[hit]] = place[hit]
+        code[at[hit]] = codes[place[hit]]
+        return out, code
+
+    def find(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """The code of each pair; 0 where it is not in the trie."""
+        asked, which = np.unique(contexts, return_inverse=True)
+        return self.after(0, self.first(asked)[which], successors)[1]
 
     def close(self) -> None:
         self._file.close()

@@ -1,26 +1,31 @@
-"""Bigram language-model scores of whole documents, from sharded Elias-Fano tries.
+"""N-gram language-model scores of whole documents, from sharded Elias-Fano tries.
 
-Model: p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), where p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and all
-counts are over the whole training text. A text begins with a start mark (a context only) and ends
-with an end token.
+Model of order n: p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), h' being h without its first token, down to
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); all counts are over the whole training text. A text begins with a
+start mark (a context only) and ends with an end token; h is the last n - 1 tokens, or all that there are.
 
-Documents are dealt to blocks of about ``BLOCK`` bytes of text. A block asks for each of its distinct
-words and bigrams once, with its own training counts of them, so a frequent word is one request a
-block however often it occurs. Requests are dealt to shards by the hash of the word or context
-(bigrams of the few contexts that hold more than a quarter of a shard's share of all tokens by
-context and successor). A shard adds up the counts of all blocks, builds its trie of contexts,
-monotone pointers, successors and quantised probabilities, and answers every request. Blocks score
-their documents from the answers. Words are told apart by 64-bit hashes, successors of one
-context by 40 bits of theirs.
+Documents are packed where they are read into blocks of about ``BLOCK`` bytes of text, a compressed row
+each, in a table: blocks are even whatever the ids or copies. A block asks for each of its distinct words
+and n-grams once, with its own training counts of them, so a frequent word is one request a block however
+often it occurs. Requests are dealt to shards by the hash of the word, or of an n-gram's first token (if
+that holds more than a quarter of a shard's share of all tokens: by its first two). A shard adds up
+the counts of all blocks, builds its trie and answers every request. A trie's levels are the first tokens, their
+successors, and so on; each level has monotone pointers into the next, successors within their context
+and quantised probabilities. Blocks score their documents from the answers; the count of a context of
+several tokens is told from its own probability. Words are told apart by 64-bit hashes, successors of one token by
+40 bits of theirs, of several tokens by 32.
+
+The driver holds the tokens whose requests are split: fewer than four for each shard.
 
 Nulls and edge cases: a null text is empty, and an empty text is one end token; repeated rows count and
-are scored each; without training rows all counts are 0; a row whose training flag is null is not
-trained on; an empty table gives an empty table. Only doc_id, text and the flag are read.
+are scored each; ids are only passed through, so null and shared ones change nothing; without training rows
+all counts are 0; a row whose training flag is null is not trained on; a very long text is a block of its own;
+an empty table gives an empty table. Only doc_id, text and the flag are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, distinct, mix, slices, utf8, word_hashes
-from .common import NULL_ID, public_id, shuffle_partitions, stored, workers_import
+from .common import shuffle_partitions, stored, workers_import
 from .elias_fano import SUCCESSOR_BITS, Trie, quantise, restored
 
 BLOCK = 12 << 20
-SHARD_GRAMS = 2_000_000  # bigrams a shard should be asked for
+SHARD_BYTES = 16_000_000  # of text a shard: about two million bigrams that it is asked for
 MU = 300.0
 START, END = U(0x5354415254), U(0x454E44)  # no hash is this small but by chance of 2**-24
 
 _DROP = U(64 - SUCCESSOR_BITS)
 
 
+def successor_octets(order: int) -> int:
+    """Bytes that tell apart the last tokens of n-grams that are alike before."""
+    return SUCCESSOR_BITS // 8 if order == 2 else 4
+
+
 class Block:
     """Tokens and distinct grams of one block of documents."""
 
@@ -60,11 +70,32 @@ class Block:
         self.context[self.last[:-1] + 1] = start
         self.word_counts = np.bincount(self.token[self.trained], minlength=len(self.words)).astype(np.int64)
 
-    def bigrams(self) -> None:
-        grams, self.bigram, _ = distinct(self.context.astype(np.int64) << 32 | self.token)
-        self.bigram_counts = np.bincount(self.bigram[self.trained], minlength=len(grams)).astype(np.uint32)
-        self.contexts = self.words[grams >> 32]
-        self.successors = self.words[grams & 0xFFFFFFFF] >> _DROP
+    def count_grams(self, order: int) -> None:
+        """``grams``: a Level for each order from 2. Within a level, grams are in order of their parents."""
+        at = np.arange(len(self.tokens))
+        inside = np.ones(len(at), bool)  # texts that have begun long enough ago
+        before = self.context
+        self.grams: list[Level] = []
+        for _ in range(2, order + 1):
+            keys, which, _ = distinct(before.astype(np.int64) << 32 | self.token[at])
+            counts = np.bincount(which[self.trained[at]], minlength=len(keys)).astype(np.uint32)
+            self.grams.append(Level(at, which, keys >> 32, self.words[keys & 0xFFFFFFFF] >> _DROP, counts))
+            # the grams that end at the next token of the same text
+            own = np.full(len(self.tokens), -1, np.int64)
+            own[at] = which
+            first = self.last - self.n_tokens + 1
+            inside = np.append(False, own[:-1] >= 0)
+            inside[first] = False
+            at = np.flatnonzero(inside)
+            before = own[at - 1]
+
+
+class Level:
+    """The grams of one order in a block: ``at`` the tokens that end one, ``which`` each of them ends,
+    ``parents`` (words, or grams of the order below), ``successors`` and training ``counts`` of each gram."""
+
+    def __init__(self, at: np.ndarray, which: np.ndarray, parents: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> None:
+        self.at, self.which, self.parents, self.successors, self.counts = at, which, parents, successors, counts
 
 
 def word_shard(words_: np.ndarray, shards: int) -> np.ndarray:
@@ -76,39 +107,85 @@ def bigram_shard(contexts: np.ndarray, successors: np.ndarray, hot: np.ndarray,
     return word_shard(np.where(split, contexts ^ mix(successors + U(1)), contexts), shards)
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]).tobytes()
+def _narrow(successors: np.ndarray, octets: int) -> bytes:
+    """The leading bytes of successors (SUCCESSOR_BITS wide)."""
+    cut = successors >> U(SUCCESSOR_BITS - 8 * octets)
+    return np.ascontiguousarray(cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets]).tobytes()
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    octets = np.frombuffer(raw, np.uint8).reshape(-1, SUCCESSOR_BITS // 8)
-    out = np.zeros((len(octets), 8), np.uint8)
-    out[:, : SUCCESSOR_BITS // 8] = octets
+def _wide(raw: bytes, octets: int) -> np.ndarray:
+    narrow = np.frombuffer(raw, np.uint8).reshape(-1, octets)
+    out = np.zeros((len(narrow), 8), np.uint8)
+    out[:, :octets] = narrow
     return out.view("<u8").ravel()
 
 
+_BLOCK_ROW = "block long, n_bytes long, n_docs long, docs binary"
+
+
+def _packed(size: int):
+    """The documents of one task as blocks of about ``size`` bytes, each named by the number of its first row."""
+
+    def row(parts: list[pa.RecordBatch], n_bytes: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        docs = table.drop_columns("row").combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        return pa.RecordBatch.from_arrays(
+            [
+                table.column("row").chunk(0)[:1],
+                pa.array([n_bytes], pa.int64()),
+                pa.array([table.num_rows], pa.int64()),
+                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            ],
+            ["block", "n_bytes", "n_docs", "docs"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n_bytes = [], 0
+        for batch in batches:
+            _, offsets = utf8(batch.column("text"))
+            for i, j in slices(offsets, size):
+                more = int(offsets[j] - offsets[i])
+                if parts and n_bytes + more > size:
+                    yield row(parts, n_bytes)
+                    parts, n_bytes = [], 0
+                parts.append(batch.slice(i, j - i))
+                n_bytes += more
+        if parts:
+            yield row(parts, n_bytes)
+
+    return run
+
+
+def _docs(packed: pa.Scalar) -> tuple[pa.Table, Block]:
+    docs = pa.ipc.open_stream(packed.as_buffer()).read_all()
+    return docs, Block(docs.column("text").combine_chunks(), docs.column("train").to_numpy().astype(bool))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """The blocks of one partition, which holds its blocks whole."""
-    batches = list(batches)
-    if not batches:
-        return
-    rows = pa.Table.from_batches(batches)
-    number = rows.column("block").to_numpy()
-    for b in np.unique(number):
-        own = rows.filter(pa.array(number == b))
-        yield int(b), Block(own.column("text").combine_chunks(), own.column("train").to_numpy().astype(bool))
+    for batch in batches:
+        for number, packed in zip(batch.column("block").to_pylist(), batch.column("docs")):
+            yield number, _docs(packed)[1]
+
+
+def _by_number(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, in order, with its places in order."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        yield int(shard[at[0]]), at
 
 
 def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches):
-            shard = word_shard(block.words, shards)
-            rows = [(s, np.flatnonzero(shard == s)) for s in range(shards)]
-            rows = [(s, at) for s, at in rows if len(at)]
+            rows = list(_by_number(word_shard(block.words, shards)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([s for s, _ in rows], pa.int32()),
-                    "block": pa.array([number] * len(rows), pa.int32()),
+                    "block": pa.array([number] * len(rows), pa.int64()),
                     "words": pa.array([block.words[at].tobytes() for _, at in rows], pa.binary()),
                     "counts": pa.array([block.word_counts[at].tobytes() for _, at in rows], pa.binary()),
                 }
@@ -117,122 +194,179 @@ def _ask_words(shards: int):
     return run
 
 
-_ANSWER = "block int, shard int, kind int, answer binary"
-_WORDS, _BIGRAMS, _TOTALS = 0, 1, 2
-_TOP = 64
+_ANSWER = "block long, shard int, kind int, answer binary"
+_WORDS = 1  # the kind of answers to words; that of answers to n-grams is their order
+_FACT = f"{_ANSWER}, word long, n long, vocabulary long"
+_TOTAL, _TOP = -1, -2  # kinds of rows without a block: a shard's sums, one of its most frequent words
+_TOPS = 64
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    rows = [r for b in batches for r in b.to_pylist()]
-    for s in sorted({r["shard"] for r in rows}):
-        yield s, sorted((r for r in rows if r["shard"] == s), key=lambda r: r["block"])
+def _asked(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[dict]]:
+    """The one shard of a task and its requests."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["block"])
+    return (rows[0]["shard"] if rows else 0), rows
 
 
 def _answers(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     block, shard, kind, answer = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(block, pa.int32()), pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(answer, pa.binary())],
+        [pa.array(block, pa.int64()), pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(answer, pa.binary())],
         ["block", "shard", "kind", "answer"],
     )
 
 
 def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for s, rows in _by_shard(batches):
-        asked = np.concatenate([np.frombuffer(r["words"], U) for r in rows])
-        counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
-        own, which = np.unique(asked, return_inverse=True)
-        total = np.bincount(which, counts, len(own)).astype(np.int64)
-        ends = np.cumsum([len(r["words"]) // 8 for r in rows])
-        for r, part in zip(rows, np.split(total[which], ends[:-1])):
-            yield _answers([(r["block"], s, _WORDS, part.tobytes())])
-        top = np.argsort(-total, kind="stable")[:_TOP]
-        facts = np.concatenate([[total.sum(), (total > 0).sum()], own[top].view(np.int64), total[top]]).astype(np.int64)
-        yield _answers([(-1, s, _TOTALS, facts.tobytes())])
-
-
-def _ask_bigrams(shards: int, hot: np.ndarray):
+    shard, rows = _asked(batches)
+    if not rows:
+        return
+    asked = np.concatenate([np.frombuffer(r["words"], U) for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+    own, which = np.unique(asked, return_inverse=True)
+    total = np.bincount(which, counts, len(own)).astype(np.int64)
+    ends = np.cumsum([len(r["words"]) // 8 for r in rows])
+    none = pa.array([None], pa.int64())
+    for r, part in zip(rows, np.split(total[which], ends[:-1])):
+        answer = _answers([(r["block"], shard, _WORDS, part.tobytes())])
+        yield pa.RecordBatch.from_arrays([*answer.columns, none, none, none], [*answer.schema.names, "word", "n", "vocabulary"])
+    top = np.argsort(-total, kind="stable")[:_TOPS]
+    n = len(top) + 1
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.nulls(n, pa.int64()),
+            pa.array(np.full(n, shard, np.int32)),
+            pa.array([_TOTAL] + [_TOP] * len(top), pa.int32()),
+            pa.nulls(n, pa.binary()),
+            pa.array([None, *own[top].view(np.int64).tolist()], pa.int64()),
+            pa.array([int(total.sum()), *total[top].tolist()], pa.int64()),
+            pa.array([int((total > 0).sum())] + [None] * len(top), pa.int64()),
+        ],
+        ["block", "shard", "kind", "answer", "word", "n", "vocabulary"],
+    )
+
+
+_ASK = "shard int, block long, contexts binary, fans array<binary>, successors array<binary>, counts array<binary>"
+
+
+def _gram_shards(block: Block, hot: np.ndarray, shards: int) -> list[np.ndarray]:
+    """For each order the shard of each gram: that of its first two tokens."""
+    first = block.grams[0]
+    out = [bigram_shard(block.words[first.parents], first.successors, hot, shards)]
+    for level in block.grams[1:]:
+        out.append(out[-1][level.parents])
+    return out
+
+
+def _ask_grams(order: int, shards: int, hot: np.ndarray):
+    """For each shard its first tokens and, order by order, how many grams go on from each gram of the order below
+    (in order), their last tokens and counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches):
-            block.bigrams()
-            shard = bigram_shard(block.contexts, block.successors, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            for s, at in zip(np.unique(shard), np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)):
-                own, first = np.unique(block.contexts[at], return_index=True)
-                fan = np.diff(np.append(first, len(at))).astype(np.uint32)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array([s], pa.int32()),
-                        "block": pa.array([number], pa.int32()),
-                        "contexts": pa.array([own.tobytes()], pa.binary()),
-                        "fan": pa.array([fan.tobytes()], pa.binary()),
-                        "successors": pa.array([_narrow(block.successors[at])], pa.binary()),
-                        "counts": pa.array([block.bigram_counts[at].tobytes()], pa.binary()),
-                    }
+            block.count_grams(order)
+            dealt = [dict(_by_number(s)) for s in _gram_shards(block, hot, shards)]
+            for s, at in dealt[0].items():
+                own, first = np.unique(block.grams[0].parents[at], return_index=True)
+                fans = [np.diff(np.append(first, len(at)))]
+                successors, counts = [], []
+                for k, level in enumerate(block.grams):
+                    at = dealt[k].get(s, np.zeros(0, np.int64))
+                    if k:  # parents that no gram goes on from have none
+                        fans.append(np.bincount(np.searchsorted(above, level.parents[at]), minlength=len(above)))
+                    successors.append(_narrow(level.successors[at], successor_octets(k + 2)))
+                    counts.append(level.counts[at].tobytes())
+                    above = at
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([s], pa.int32()),
+                        pa.array([number], pa.int64()),
+                        pa.array([block.words[own].tobytes()], pa.binary()),
+                        pa.array([[f.astype(np.uint32).tobytes() for f in fans]], pa.list_(pa.binary())),
+                        pa.array([successors], pa.list_(pa.binary())),
+                        pa.array([counts], pa.list_(pa.binary())),
+                    ],
+                    ["shard", "block", "contexts", "fans", "successors", "counts"],
                 )
 
     return run
 
 
-def _answer_bigrams(hot: np.ndarray, hot_counts: np.ndarray, mu: float):
+def _answer_grams(order: int, hot: np.ndarray, hot_counts: np.ndarray, mu: Sequence[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in _by_shard(batches):
-            fan = [np.frombuffer(r["fan"], np.uint32) for r in rows]
-            contexts = np.concatenate([np.repeat(np.frombuffer(r["contexts"], U), f) for r, f in zip(rows, fan)])
-            successors = np.concatenate([_wide(r["successors"]) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
-            ends = np.cumsum([len(r["counts"]) // 4 for r in rows])
-            numbers = [r["block"] for r in rows]
-            del rows, fan
-            trie = _trie(contexts, successors, counts, hot, hot_counts, mu)
-            for k, number in enumerate(numbers):
-                part = slice(ends[k - 1] if k else 0, ends[k])
-                yield _answers([(number, s, _BIGRAMS, trie.find(contexts[part], successors[part]).tobytes())])
-            trie.close()
+        shard, rows = _asked(batches)
+        if not rows:
+            return
+        numbers = [r["block"] for r in rows]
+        contexts, above = np.unique(np.concatenate([np.frombuffer(r["contexts"], U) for r in rows]), return_inverse=True)
+        size = None  # of the contexts; first tokens have the sum of their successors
+        levels, places = [], []
+        for k in range(order - 1):
+            octets = successor_octets(k + 2)
+            fan = np.concatenate([np.frombuffer(r["fans"][k], np.uint32) for r in rows])
+            last = np.concatenate([_wide(r["successors"][k], octets) for r in rows])
+            counts = np.concatenate([np.frombuffer(r["counts"][k], np.uint32) for r in rows])
+            ends = np.cumsum([len(r["counts"][k]) // 4 for r in rows])
+            for r in rows:
+                r["fans"][k] = r["successors"][k] = r["counts"][k] = None
+            # the distinct grams asked for: each is counted and looked up once
+            grams, which, _ = distinct(np.repeat(above, fan).astype(U) << U(SUCCESSOR_BITS) | last)
+            total = np.bincount(which, counts, len(grams))
+            parent, last = (grams >> U(SUCCESSOR_BITS)).astype(np.int64), grams & U((1 << SUCCESSOR_BITS) - 1)
+            if size is None:
+                size = np.bincount(parent, total, len(contexts))
+                held = np.searchsorted(hot, contexts)
+                held[held == len(hot)] = 0
+                known = hot[held] == contexts if len(hot) else np.zeros(len(contexts), bool)
+                size[known] = hot_counts[held[known]]
+            levels.append((parent, last, total > 0, quantise(total / (size[parent] + mu[k]))))
+            places.append((which, ends))
+            above, size = which, total
+        trie = _trie(contexts, levels)
+        row = trie.first(contexts)
+        for k, ((parent, last, _, _), (which, ends)) in enumerate(zip(levels, places)):
+            row, code = trie.after(k, row[parent], last)
+            for number, part in zip(numbers, np.split(which, ends[:-1])):
+                yield _answers([(number, shard, k + 2, code[part].tobytes())])
+        trie.close()
 
     return run
 
 
-def _trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, mu: float) -> Trie:
-    seen = counts > 0
-    contexts, successors, counts = contexts[seen], successors[seen], counts[seen]
-    order = np.lexsort((successors, contexts))
-    contexts, successors, counts = contexts[order], successors[order], counts[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (contexts[1:] != contexts[:-1]) | (successors[1:] != successors[:-1])
-    first = np.flatnonzero(new)
-    counts = np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
-    contexts, successors = contexts[first], successors[first]
-    own, which = np.unique(contexts, return_inverse=True)
-    size = np.bincount(which, counts, len(own))
-    for word, n in zip(hot, hot_counts):
-        size[own == word] = n
-    return Trie(contexts, successors, quantise(counts / (size[which] + mu)))
-
-
-def _score(shards: int, hot: np.ndarray, total: int, vocabulary: int, mu: float):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(docs.column("text").combine_chunks(), docs.column("train").to_numpy().astype(bool))
-        block.bigrams()
+def _trie(contexts: np.ndarray, levels: list[tuple]) -> Trie:
+    """Of the grams that occur in training."""
+    parent, _, seen, _ = levels[0]
+    used = np.zeros(len(contexts), bool)
+    used[parent[seen]] = True
+    contexts = contexts[used]
+    kept = []
+    for parent, last, seen, codes in levels:
+        number = np.cumsum(used) - 1  # of each gram of the order below among those that occur
+        kept.append((number[parent[seen]], last[seen], codes[seen]))
+        used = seen
+    (first, last, codes), *deeper = kept
+    return Trie(contexts[first], last, codes, deeper)
+
+
+def _score(order: int, shards: int, hot: np.ndarray, total: int, vocabulary: int, mu: Sequence[float]):
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, block = _docs(blocks.column("docs")[0])
+        block.count_grams(order)
         counts = np.zeros(len(block.words), np.int64)
-        codes = np.zeros(len(block.contexts), np.uint16)
-        orders = {}
-        for kind, shard in (
-            (_WORDS, word_shard(block.words, shards)),
-            (_BIGRAMS, bigram_shard(block.contexts, block.successors, hot, shards)),
-        ):
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            orders[kind] = lambda s, order=order, cut=cut: order[cut[s] : cut[s + 1]]
+        codes = [np.zeros(len(level.counts), np.uint16) for level in block.grams]
+        dealt = [dict(_by_number(s)) for s in (word_shard(block.words, shards), *_gram_shards(block, hot, shards))]
         for s, kind, answer in zip(answers.column("shard").to_pylist(), answers.column("kind").to_pylist(), answers.column("answer")):
             if kind == _WORDS:
-                counts[orders[kind](s)] = np.frombuffer(answer.as_buffer(), np.int64)
-            else:
-                codes[orders[kind](s)] = np.frombuffer(answer.as_buffer(), np.uint16)
-        end = np.searchsorted(block.words, END)
-        contexts = counts.copy()
-        contexts[np.searchsorted(block.words, START)] = counts[end]
+                counts[dealt[0][s]] = np.frombuffer(answer.as_buffer(), np.int64)
+            elif s in dealt[kind - 1]:
+                codes[kind - 2][dealt[kind - 1][s]] = np.frombuffer(answer.as_buffer(), np.uint16)
+        size = counts.astype(float)
+        size[np.searchsorted(block.words, START)] = counts[np.searchsorted(block.words, END)]
         share = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
-        p = restored(codes)[block.bigram] + (mu / (contexts + mu))[block.context] * share[block.token]
+        p = share[block.token]
+        for level, code, m in zip(block.grams, codes, mu):
+            own = restored(code)
+            parent = level.parents[level.which]
+            p[level.at] = own[level.which] + m / (size[parent] + m) * p[level.at]
+            size = np.rint(own * (size[level.parents] + m))  # how often each gram occurs
         first = block.last - block.n_tokens + 1
         sums = lambda x: np.add.reduceat(x, first)
         return pa.table(
@@ -249,54 +383,54 @@ def _score(shards: int, hot: np.ndarray, total: int, vocabulary: int, mu: float)
     return run
 
 
-def score(docs: DataFrame, trained_on: Column, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, trained_on: Column, mu: float | Sequence[float] = MU, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known (tokens met in training), train_tokens, base_score (unigrams only) and
     score (log10 probability of the text) for each row. ``trained_on``: condition on docs' columns of the
-    rows that are learned from."""
+    rows that are learned from; ``order``: longest n-grams (2 or more); ``mu``: of bigrams, trigrams and so on."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    mu = [float(mu)] * (order - 1) if isinstance(mu, (int, float)) else [float(m) for m in mu]
+    if len(mu) != order - 1:
+        raise ValueError("mu must have a value for each order from 2")
     spark = docs.sparkSession
     workers_import(spark)
     own = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(trained_on, F.lit(False)).alias("train"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    size = own.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    blocks = int(size[0] or 0) // BLOCK + 1
-    shards = max(shuffle_partitions(spark), int(size[0] or 0) // 8 // SHARD_GRAMS + 1)
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not size[1]:
+    packed = stored(own.mapInArrow(_packed(BLOCK), _BLOCK_ROW), "blocks")
+    size = packed.agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("blocks")).first()
+    if not size.blocks:
         return spark.createDataFrame([], schema)
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
-    # as many partitions as the later cogroup has, so that all three uses share one shuffle
-    dealt = own.withColumn("block", block).repartition(max(blocks, shuffle_partitions(spark)), "block")
+    shards = max(shuffle_partitions(spark), size.n_bytes // SHARD_BYTES + 1)
+    blocks = packed.select("block", "docs")
 
     words_ = stored(
-        dealt.mapInArrow(_ask_words(shards), "shard int, block int, words binary, counts binary")
+        blocks.mapInArrow(_ask_words(shards), "shard int, block long, words binary, counts binary")
         .repartitionById(shards, F.col("shard"))
-        .mapInArrow(_answer_words, _ANSWER),
+        .mapInArrow(_answer_words, _FACT),
         "word-counts",
     )
-    # a few numbers from each shard
-    facts = [np.frombuffer(r.answer, np.int64) for r in words_.where(F.col("kind") == _TOTALS).select("answer").collect()]
-    total, vocabulary = (int(sum(f[k] for f in facts)) for k in (0, 1))
-    tops = [(f[2 : 2 + (len(f) - 2) // 2].view(U), f[2 + (len(f) - 2) // 2 :]) for f in facts]
-    top, top_counts = (np.concatenate(x) for x in zip(*tops))
-    hot = top_counts > total / (4 * shards)
-    hot, hot_counts = top[hot], top_counts[hot]
+    sums = words_.where(F.col("kind") == _TOTAL).agg(F.sum("n").alias("n"), F.sum("vocabulary").alias("vocabulary")).first()
+    total, vocabulary = sums.n, sums.vocabulary
+    often = words_.where((F.col("kind") == _TOP) & (F.col("n") > total / (4 * shards))).select("word", "n").toArrow()
+    hot, hot_counts = often.column("word").to_numpy().view(U), often.column("n").to_numpy()
     if END in hot:  # as many texts begin as end
         hot, hot_counts = np.append(hot, START), np.append(hot_counts, hot_counts[hot == END])
+    by_word = np.argsort(hot)
+    hot, hot_counts = hot[by_word], hot_counts[by_word]
 
     answers = (
-        dealt.mapInArrow(
-            _ask_bigrams(shards, hot), "shard int, block int, contexts binary, fan binary, successors binary, counts binary"
-        )
+        blocks.mapInArrow(_ask_grams(order, shards, hot), _ASK)
         .repartitionById(shards, F.col("shard"))
-        .mapInArrow(_answer_bigrams(hot, hot_counts, mu), _ANSWER)
-        .unionByName(words_.where(F.col("kind") == _WORDS))
+        .mapInArrow(_answer_grams(order, hot, hot_counts, mu), _ANSWER)
+        .unionByName(words_.where(F.col("kind") == _WORDS).select("block", "shard", "kind", "answer"))
     )
     return (
-        dealt.groupBy("block")
+        blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_score(shards, hot, total, vocabulary, mu), schema)
-        .withColumn("doc_id", public_id())
+        .applyInArrow(_score(order, shards, hot, total, vocabulary, mu), schema)
     )

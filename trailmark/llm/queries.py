@@ -61,7 +61,8 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(_table(spark, sf_dir, "documents"), trained_on=remainder(5) != 1).select(
+    documents = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(documents, trained_on=remainder(5) != 1, order=3, mu=(300.0, 5.0)).select(
         "doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
