@@ -147,9 +147,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return Spans(BYTE_SYMBOL[data])(start, end), np.bincount(owner, minlength=n)
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values in order, the place among them of each value, how often each occurs)."""
-    order = np.argsort(values, kind="stable")
+def distinct(values: np.ndarray, kind: str = "stable") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, the place among them of each value, how often each occurs). ``kind`` of sort:
+    the result does not depend on it."""
+    order = np.argsort(values, kind=kind)
     ordered = values[order]
     new = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
     which = np.empty(len(values), np.int32)

@@ -13,11 +13,23 @@ from collections.abc import Sequence
 import numpy as np
 
 U = np.uint64
-_BYTE_RANKS = np.bitwise_count(np.arange(256, dtype=np.uint8))
 #: Place of the r-th set bit of each byte.
 _BYTE_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.int64)
 
 
+_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+
+
+def _octet(bits: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, where the byte with the set bit of that rank begins, and the set bits before it: sums of all
+    eight bytes at once, in the bytes of one word."""
+    sums = bits - (bits >> U(1) & U(0x5555555555555555))
+    sums = (sums & U(0x3333333333333333)) + (sums >> U(2) & U(0x3333333333333333))
+    sums = (sums + (sums >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    octet = np.bitwise_count((rank * _ONES | _TOPS) - sums & _TOPS).astype(np.int64) * 8
+    return octet, (sums << U(8) >> octet.astype(U) & U(255)).astype(np.int64)
+
+
 class EliasFano:
     """A monotone sequence of unsigned integers below ``universe``."""
 
@@ -50,12 +62,9 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ranks, i, "right") - 1
         rest = i - self.ranks[word].astype(np.int64)
-        octets = self.high[word].view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_BYTE_RANKS[octets], axis=1, dtype=np.int64)
-        octet = (sums <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(octet))
-        rest = rest - np.where(octet > 0, sums[row, np.maximum(octet - 1, 0)], 0)
-        place = word * 64 + octet * 8 + _BYTE_SELECT[octets[row, octet], rest]
+        bits = self.high[word]
+        octet, below = _octet(bits, rest.astype(U))
+        place = word * 64 + octet + _BYTE_SELECT[(bits >> octet.astype(U) & U(255)).astype(np.int64), rest - below]
         value = (place - i).astype(U) << U(self.low_bits)
         if self.low_bits:
             at = i.astype(U) * U(self.low_bits)

@@ -37,7 +37,7 @@ from .common import shuffle_partitions, stored, workers_import
 from .elias_fano import SUCCESSOR_BITS, Trie, quantise, restored
 
 BLOCK = 12 << 20
-SHARD_BYTES = 16_000_000  # of text a shard: about two million bigrams that it is asked for
+SHARD_BYTES = 8_000_000  # of text a shard: about a million n-grams of an order that it is asked for
 MU = 300.0
 START, END = U(0x5354415254), U(0x454E44)  # no hash is this small but by chance of 2**-24
 
@@ -46,7 +46,7 @@ _DROP = U(64 - SUCCESSOR_BITS)
 
 def successor_octets(order: int) -> int:
     """Bytes that tell apart the last tokens of n-grams that are alike before."""
-    return SUCCESSOR_BITS // 8 if order == 2 else 4
+    return SUCCESSOR_BITS // 8 if order == 2 else 4  # what goes on from two tokens is rarely much
 
 
 class Block:
@@ -63,7 +63,7 @@ class Block:
         is_word[self.last] = False
         self.tokens[is_word] = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U)
         self.trained = np.repeat(train, self.n_tokens)
-        self.words, which, _ = distinct(np.append(self.tokens, START))
+        self.words, which, _ = distinct(np.append(self.tokens, START), "quicksort")
         self.token = which[:-1]
         start = which[-1]
         self.context = np.append(start, self.token[:-1]).astype(np.int32)
@@ -77,7 +77,7 @@ class Block:
         before = self.context
         self.grams: list[Level] = []
         for _ in range(2, order + 1):
-            keys, which, _ = distinct(before.astype(np.int64) << 32 | self.token[at])
+            keys, which, _ = distinct(before.astype(np.int64) << 32 | self.token[at], "quicksort")
             counts = np.bincount(which[self.trained[at]], minlength=len(keys)).astype(np.uint32)
             self.grams.append(Level(at, which, keys >> 32, self.words[keys & 0xFFFFFFFF] >> _DROP, counts))
             # the grams that end at the next token of the same text
@@ -120,6 +120,21 @@ def _wide(raw: bytes, octets: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Mostly small numbers: their bytes by significance, compressed, after their count."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def _full(raw: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], n * width, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 _BLOCK_ROW = "block long, n_bytes long, n_docs long, docs binary"
 
 
@@ -187,7 +202,7 @@ def _ask_words(shards: int):
                     "shard": pa.array([s for s, _ in rows], pa.int32()),
                     "block": pa.array([number] * len(rows), pa.int64()),
                     "words": pa.array([block.words[at].tobytes() for _, at in rows], pa.binary()),
-                    "counts": pa.array([block.word_counts[at].tobytes() for _, at in rows], pa.binary()),
+                    "counts": pa.array([_small(block.word_counts[at]) for _, at in rows], pa.binary()),
                 }
             )
 
@@ -220,13 +235,13 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not rows:
         return
     asked = np.concatenate([np.frombuffer(r["words"], U) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+    counts = np.concatenate([_full(r["counts"], np.int64) for r in rows])
     own, which = np.unique(asked, return_inverse=True)
     total = np.bincount(which, counts, len(own)).astype(np.int64)
     ends = np.cumsum([len(r["words"]) // 8 for r in rows])
     none = pa.array([None], pa.int64())
     for r, part in zip(rows, np.split(total[which], ends[:-1])):
-        answer = _answers([(r["block"], shard, _WORDS, part.tobytes())])
+        answer = _answers([(r["block"], shard, _WORDS, _small(part))])
         yield pa.RecordBatch.from_arrays([*answer.columns, none, none, none], [*answer.schema.names, "word", "n", "vocabulary"])
     top = np.argsort(-total, kind="stable")[:_TOPS]
     n = len(top) + 1
@@ -273,14 +288,14 @@ def _ask_grams(order: int, shards: int, hot: np.ndarray):
                     if k:  # parents that no gram goes on from have none
                         fans.append(np.bincount(np.searchsorted(above, level.parents[at]), minlength=len(above)))
                     successors.append(_narrow(level.successors[at], successor_octets(k + 2)))
-                    counts.append(level.counts[at].tobytes())
+                    counts.append(_small(level.counts[at]))
                     above = at
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([s], pa.int32()),
                         pa.array([number], pa.int64()),
                         pa.array([block.words[own].tobytes()], pa.binary()),
-                        pa.array([[f.astype(np.uint32).tobytes() for f in fans]], pa.list_(pa.binary())),
+                        pa.array([[_small(f.astype(np.uint32)) for f in fans]], pa.list_(pa.binary())),
                         pa.array([successors], pa.list_(pa.binary())),
                         pa.array([counts], pa.list_(pa.binary())),
                     ],
@@ -301,14 +316,15 @@ def _answer_grams(order: int, hot: np.ndarray, hot_counts: np.ndarray, mu: Seque
         levels, places = [], []
         for k in range(order - 1):
             octets = successor_octets(k + 2)
-            fan = np.concatenate([np.frombuffer(r["fans"][k], np.uint32) for r in rows])
+            fan = np.concatenate([_full(r["fans"][k], np.uint32) for r in rows])
             last = np.concatenate([_wide(r["successors"][k], octets) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"][k], np.uint32) for r in rows])
-            ends = np.cumsum([len(r["counts"][k]) // 4 for r in rows])
+            counts = [_full(r["counts"][k], np.uint32) for r in rows]
+            ends = np.cumsum([len(c) for c in counts])
+            counts = np.concatenate(counts)
             for r in rows:
                 r["fans"][k] = r["successors"][k] = r["counts"][k] = None
             # the distinct grams asked for: each is counted and looked up once
-            grams, which, _ = distinct(np.repeat(above, fan).astype(U) << U(SUCCESSOR_BITS) | last)
+            grams, which, _ = distinct(np.repeat(above, fan).astype(U) << U(SUCCESSOR_BITS) | last, "quicksort")
             total = np.bincount(which, counts, len(grams))
             parent, last = (grams >> U(SUCCESSOR_BITS)).astype(np.int64), grams & U((1 << SUCCESSOR_BITS) - 1)
             if size is None:
@@ -325,7 +341,7 @@ def _answer_grams(order: int, hot: np.ndarray, hot_counts: np.ndarray, mu: Seque
         for k, ((parent, last, _, _), (which, ends)) in enumerate(zip(levels, places)):
             row, code = trie.after(k, row[parent], last)
             for number, part in zip(numbers, np.split(which, ends[:-1])):
-                yield _answers([(number, shard, k + 2, code[part].tobytes())])
+                yield _answers([(number, shard, k + 2, _small(code[part]))])
         trie.close()
 
     return run
@@ -355,9 +371,9 @@ def _score(order: int, shards: int, hot: np.ndarray, total: int, vocabulary: int
         dealt = [dict(_by_number(s)) for s in (word_shard(block.words, shards), *_gram_shards(block, hot, shards))]
         for s, kind, answer in zip(answers.column("shard").to_pylist(), answers.column("kind").to_pylist(), answers.column("answer")):
             if kind == _WORDS:
-                counts[dealt[0][s]] = np.frombuffer(answer.as_buffer(), np.int64)
+                counts[dealt[0][s]] = _full(answer.as_py(), np.int64)
             elif s in dealt[kind - 1]:
-                codes[kind - 2][dealt[kind - 1][s]] = np.frombuffer(answer.as_buffer(), np.uint16)
+                codes[kind - 2][dealt[kind - 1][s]] = _full(answer.as_py(), np.uint16)
         size = counts.astype(float)
         size[np.searchsorted(block.words, START)] = counts[np.searchsorted(block.words, END)]
         share = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
