@@ -12,8 +12,8 @@ that holds more than a quarter of a shard's share of all tokens: by its first tw
 the counts of all blocks, builds its trie and answers every request. A trie's levels are the first tokens, their
 successors, and so on; each level has monotone pointers into the next, successors within their context
 and quantised probabilities. Blocks score their documents from the answers; the count of a context of
-several tokens is told from its own probability. Words are told apart by 64-bit hashes, successors of one token by
-40 bits of theirs, of several tokens by 32.
+several tokens is told from its own probability. Words have 64-bit hashes; those of one shard are told apart by 48 bits,
+as first tokens by 40, successors of one context by 32 (a shard holds about a million).
 
 The driver holds the tokens whose requests are split: fewer than four for each shard.
 
@@ -41,12 +41,8 @@ SHARD_BYTES = 8_000_000  # of text a shard: about a million n-grams of an order
 MU = 300.0
 START, END = U(0x5354415254), U(0x454E44)  # no hash is this small but by chance of 2**-24
 
-_DROP = U(64 - SUCCESSOR_BITS)
-
-
-def successor_octets(order: int) -> int:
-    """Bytes that tell apart the last tokens of n-grams that are alike before."""
-    return SUCCESSOR_BITS // 8 if order == 2 else 4  # what goes on from two tokens is rarely much
+# low bits of a hash that requests leave out: of words, first tokens and successors
+_WORD, _FIRST, _NEXT = U(16), U(24), U(32)
 
 
 class Block:
@@ -79,7 +75,7 @@ class Block:
         for _ in range(2, order + 1):
             keys, which, _ = distinct(before.astype(np.int64) << 32 | self.token[at], "quicksort")
             counts = np.bincount(which[self.trained[at]], minlength=len(keys)).astype(np.uint32)
-            self.grams.append(Level(at, which, keys >> 32, self.words[keys & 0xFFFFFFFF] >> _DROP, counts))
+            self.grams.append(Level(at, which, keys >> 32, self.words[keys & 0xFFFFFFFF] >> _NEXT, counts))
             # the grams that end at the next token of the same text
             own = np.full(len(self.tokens), -1, np.int64)
             own[at] = which
@@ -103,23 +99,10 @@ def word_shard(words_: np.ndarray, shards: int) -> np.ndarray:
 
 
 def bigram_shard(contexts: np.ndarray, successors: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    split = np.isin(contexts, hot)
+    split = np.isin(contexts >> _WORD, hot)
     return word_shard(np.where(split, contexts ^ mix(successors + U(1)), contexts), shards)
 
 
-def _narrow(successors: np.ndarray, octets: int) -> bytes:
-    """The leading bytes of successors (SUCCESSOR_BITS wide)."""
-    cut = successors >> U(SUCCESSOR_BITS - 8 * octets)
-    return np.ascontiguousarray(cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :octets]).tobytes()
-
-
-def _wide(raw: bytes, octets: int) -> np.ndarray:
-    narrow = np.frombuffer(raw, np.uint8).reshape(-1, octets)
-    out = np.zeros((len(narrow), 8), np.uint8)
-    out[:, :octets] = narrow
-    return out.view("<u8").ravel()
-
-
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -145,7 +128,7 @@ def _packed(size: int):
         table = pa.Table.from_batches(parts)
         docs = table.drop_columns("row").combine_chunks()
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
             out.write_table(docs)
         return pa.RecordBatch.from_arrays(
             [
@@ -201,7 +184,7 @@ def _ask_words(shards: int):
                 {
                     "shard": pa.array([s for s, _ in rows], pa.int32()),
                     "block": pa.array([number] * len(rows), pa.int64()),
-                    "words": pa.array([block.words[at].tobytes() for _, at in rows], pa.binary()),
+                    "words": pa.array([_small(block.words[at] >> _WORD) for _, at in rows], pa.binary()),
                     "counts": pa.array([_small(block.word_counts[at]) for _, at in rows], pa.binary()),
                 }
             )
@@ -234,11 +217,12 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     shard, rows = _asked(batches)
     if not rows:
         return
-    asked = np.concatenate([np.frombuffer(r["words"], U) for r in rows])
+    asked = [_full(r["words"], U) for r in rows]
+    ends = np.cumsum([len(a) for a in asked])
+    asked = np.concatenate(asked)
     counts = np.concatenate([_full(r["counts"], np.int64) for r in rows])
     own, which = np.unique(asked, return_inverse=True)
     total = np.bincount(which, counts, len(own)).astype(np.int64)
-    ends = np.cumsum([len(r["words"]) // 8 for r in rows])
     none = pa.array([None], pa.int64())
     for r, part in zip(rows, np.split(total[which], ends[:-1])):
         answer = _answers([(r["block"], shard, _WORDS, _small(part))])
@@ -287,14 +271,14 @@ def _ask_grams(order: int, shards: int, hot: np.ndarray):
                     at = dealt[k].get(s, np.zeros(0, np.int64))
                     if k:  # parents that no gram goes on from have none
                         fans.append(np.bincount(np.searchsorted(above, level.parents[at]), minlength=len(above)))
-                    successors.append(_narrow(level.successors[at], successor_octets(k + 2)))
+                    successors.append(level.successors[at].astype(np.uint32).tobytes())
                     counts.append(_small(level.counts[at]))
                     above = at
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([s], pa.int32()),
                         pa.array([number], pa.int64()),
-                        pa.array([block.words[own].tobytes()], pa.binary()),
+                        pa.array([_small(block.words[own] >> _FIRST)], pa.binary()),
                         pa.array([[_small(f.astype(np.uint32)) for f in fans]], pa.list_(pa.binary())),
                         pa.array([successors], pa.list_(pa.binary())),
                         pa.array([counts], pa.list_(pa.binary())),
@@ -311,13 +295,12 @@ def _answer_grams(order: int, hot: np.ndarray, hot_counts: np.ndarray, mu: Seque
         if not rows:
             return
         numbers = [r["block"] for r in rows]
-        contexts, above = np.unique(np.concatenate([np.frombuffer(r["contexts"], U) for r in rows]), return_inverse=True)
+        contexts, above = np.unique(np.concatenate([_full(r["contexts"], U) for r in rows]), return_inverse=True)
         size = None  # of the contexts; first tokens have the sum of their successors
         levels, places = [], []
         for k in range(order - 1):
-            octets = successor_octets(k + 2)
             fan = np.concatenate([_full(r["fans"][k], np.uint32) for r in rows])
-            last = np.concatenate([_wide(r["successors"][k], octets) for r in rows])
+            last = np.concatenate([np.frombuffer(r["successors"][k], np.uint32) for r in rows]).astype(U)
             counts = [_full(r["counts"][k], np.uint32) for r in rows]
             ends = np.cumsum([len(c) for c in counts])
             counts = np.concatenate(counts)
@@ -329,10 +312,8 @@ def _answer_grams(order: int, hot: np.ndarray, hot_counts: np.ndarray, mu: Seque
             parent, last = (grams >> U(SUCCESSOR_BITS)).astype(np.int64), grams & U((1 << SUCCESSOR_BITS) - 1)
             if size is None:
                 size = np.bincount(parent, total, len(contexts))
-                held = np.searchsorted(hot, contexts)
-                held[held == len(hot)] = 0
-                known = hot[held] == contexts if len(hot) else np.zeros(len(contexts), bool)
-                size[known] = hot_counts[held[known]]
+                _, here, there = np.intersect1d(contexts, hot >> (_FIRST - _WORD), return_indices=True)
+                size[here] = hot_counts[there]
             levels.append((parent, last, total > 0, quantise(total / (size[parent] + mu[k]))))
             places.append((which, ends))
             above, size = which, total
@@ -434,10 +415,8 @@ def score(docs: DataFrame, trained_on: Column, mu: float | Sequence[float] = MU,
     total, vocabulary = sums.n, sums.vocabulary
     often = words_.where((F.col("kind") == _TOP) & (F.col("n") > total / (4 * shards))).select("word", "n").toArrow()
     hot, hot_counts = often.column("word").to_numpy().view(U), often.column("n").to_numpy()
-    if END in hot:  # as many texts begin as end
-        hot, hot_counts = np.append(hot, START), np.append(hot_counts, hot_counts[hot == END])
-    by_word = np.argsort(hot)
-    hot, hot_counts = hot[by_word], hot_counts[by_word]
+    if END >> _WORD in hot:  # as many texts begin as end
+        hot, hot_counts = np.append(hot, START >> _WORD), np.append(hot_counts, hot_counts[hot == END >> _WORD])
 
     answers = (
         blocks.mapInArrow(_ask_grams(order, shards, hot), _ASK)
