@@ -6,13 +6,16 @@ match, after it a looser one, and a chunk has at least ``SMALLEST`` and at most
 text's chunk digests with their lengths; the likeness of one fingerprint to another is the
 share of its length whose chunks the other has too (containment).
 
-Edited texts: documents are in order of descending doc_id. Splitters from approximate percentiles of
-doc_id cut that order into buckets; the first document of each bucket is also sent to the bucket
-before it, so every document meets its next one without a global sort in one task.
+Edited texts: documents are in order of descending doc_id, those that share one in order of a hash of
+their text, equal ones as they come. Splitters over these three keys, from a sample that grows with
+the number of buckets, cut the order into buckets of about ``BUCKET_BYTES`` of text, whatever the ids; the
+first document of each bucket is also sent to the bucket before it, so every document meets its next one without
+a global sort in one task. The driver holds the sample (four rows a bucket, or 20,000) and one row a bucket, some
+40 bytes each. The table is read several times and must give the same rows in the same order each time.
 
 Nulls and edge cases: a null text is empty; an empty text has the empty fingerprint, which is fully
 like an empty one and not at all like others; texts of less than SMALLEST bytes are one chunk; a null
-doc_id sorts below all others; rows that share a doc_id are in order of their text; a single
+doc_id sorts below all others; rows that share a doc_id are in order of their texts' hashes; a single
 document is its own next; an empty table gives an empty table. Only doc_id and text are read.
 """
 
@@ -28,14 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_SYMBOL, U, Spans
+from .arrays import BYTE_SYMBOL, U, Spans, place
 from .common import documents, public_id, shuffle_partitions
 
 SMALLEST, NORMAL, LARGEST = 16, 64, 256
 _STRICT, _LOOSE = 8, 4  # bits that must be zero before and after the normal size
 _GEAR = (BYTE_SYMBOL >> U(32)).astype(np.uint32)
 _SLICE = 1 << 20
-BUCKET_DOCS = 4000
+BUCKET_BYTES = 12 << 20
+SAMPLE_ROWS, PER_BUCKET = 20_000, 4
+_KEYS = ("place", "hash", "nth")  # the complement of doc_id, a hash of the text, the number of the row
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,32 +125,42 @@ def _all_fingerprints(texts: list[bytes]) -> list[Fingerprint]:
     return [f for i, j in _groups([len(t) for t in texts]) for f in fingerprints(texts[i:j])]
 
 
-def _numbered(cuts: np.ndarray):
+def _keys(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy() for k in _KEYS]
+
+
+def _numbered(cuts: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = np.searchsorted(cuts, batch.column("doc_id").to_numpy(), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("doc_id")], ["bucket", "doc_id"])
+            bucket = pa.array(place(_keys(batch), cuts).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([bucket, *map(batch.column, _KEYS)], ["bucket", *_KEYS])
 
     return run
 
 
-def _dealt(cuts: np.ndarray, heads: dict[int, int]):
+def _cuts(sample: pa.Table, buckets: int) -> list[np.ndarray]:
+    """Splitters, after even shares of the sample's bytes."""
+    sample = sample.sort_by([(k, "ascending") for k in _KEYS])
+    upto = np.cumsum(sample.column("size").to_numpy())
+    at = np.searchsorted(upto, np.arange(1, buckets) * (upto[-1] / buckets)) if len(upto) else np.zeros(0, int)
+    return [np.ascontiguousarray(k[at]) for k in _keys(sample)]
+
+
+def _dealt(cuts: list[np.ndarray], heads: list[np.ndarray], before: np.ndarray):
     """Each document to its bucket, and the first of a bucket also to the one before."""
-    head_ids = np.array(sorted(heads), np.int64)
-    follower = np.array([heads[k] for k in sorted(heads)], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            bucket = np.searchsorted(cuts, ids, "left").astype(np.int32)
-            at = np.minimum(np.searchsorted(head_ids, ids), len(head_ids) - 1)
-            extra = np.flatnonzero(head_ids[at] == ids)
-            take = np.concatenate([np.arange(len(ids)), extra])
-            text = batch.column("text").take(pa.array(take))
-            guest = np.arange(len(take)) >= len(ids)
-            buckets = np.concatenate([bucket, follower[at[extra]]]).astype(np.int32)
+            keys = _keys(batch)
+            bucket = place(keys, cuts)
+            at = np.minimum(place(keys, heads), len(before) - 1)
+            extra = np.flatnonzero(np.logical_and.reduce([h[at] == k for h, k in zip(heads, keys)]))
+            take = pa.array(np.concatenate([np.arange(len(bucket)), extra]))
+            guest = np.arange(len(take)) >= len(bucket)
+            buckets = np.concatenate([bucket, before[at[extra]]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets), pa.array(guest), pa.array(ids[take]), text], ["bucket", "guest", "doc_id", "text"]
+                [pa.array(buckets), pa.array(guest), *(batch.column(k).take(take) for k in (*_KEYS, "doc_id", "text"))],
+                ["bucket", "guest", *_KEYS, "doc_id", "text"],
             )
 
     return run
@@ -159,10 +174,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del batches
     for bucket in sorted(set(rows.column("bucket").to_pylist())):
         own = rows.filter(pc.equal(rows.column("bucket"), bucket))
-        own = own.sort_by([("guest", "ascending"), ("doc_id", "descending"), ("text", "ascending")])
+        own = own.sort_by([(k, "ascending") for k in ("guest", *_KEYS)])
         n = own.num_rows - sum(own.column("guest").to_pylist())
         texts = own.column("text").to_pylist()[: n + 1]
-        texts = [t or "" for t in texts]  # the first guest is what comes after the last document
+        texts = [t or "" for t in texts]  # the guest is what comes after the last document
         raw = [t.encode() for t in texts]
         prints = _all_fingerprints(raw)
         sizes = [len(r) for r in raw]
@@ -200,27 +215,32 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Each document against an edited text (its last half replaced by as much of the beginning of
     the next document in descending doc_id) and against that next document."""
-    own = documents(docs)
+    own = documents(docs).select(
+        "*",
+        F.bitwise_not("doc_id").alias("place"),
+        F.xxhash64("text").alias("hash"),
+        F.monotonically_increasing_id().alias("nth"),
+    )
     spark = own.sparkSession
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    ids = own.select("doc_id")
-    buckets = max(shuffle_partitions(spark), ids.count() // BUCKET_DOCS + 1)
-    steps = [k / buckets for k in range(1, buckets)]
-    cuts = sorted(set((ids.agg(F.percentile_approx("doc_id", steps, 100 * buckets)).first()[0] if steps else None) or []))
-    cuts = np.array(cuts, np.int64)
-    # the first (greatest) doc_id of each bucket: a row for each bucket
-    tops = {
-        r.bucket: r.top
-        for r in ids.mapInArrow(_numbered(cuts), "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
-    }
-    if not tops:
+    size = own.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("n_bytes")).first()
+    if not size.rows:
         return spark.createDataFrame([], schema)
-    order = sorted(tops)
-    heads = {tops[b]: order[(k + 1) % len(order)] for k, b in enumerate(order)}
-    dealt = own.mapInArrow(_dealt(cuts, heads), "bucket int, guest boolean, doc_id long, text string")
-    return (
-        dealt.repartitionById(len(cuts) + 1, F.col("bucket")).mapInArrow(_compare, schema).withColumn("doc_id", public_id())
+    buckets = max(shuffle_partitions(spark), (size.n_bytes or 0) // BUCKET_BYTES + 1)
+    share = min(1.0, max(SAMPLE_ROWS, PER_BUCKET * buckets) / size.rows)
+    weighed = own.select(*_KEYS, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    cuts = _cuts(weighed.sample(share, seed=7).toArrow(), buckets)
+    # the first row of each bucket
+    heads = (
+        own.select(*_KEYS).mapInArrow(_numbered(cuts), "bucket int, place long, hash long, nth long")
+        .groupBy("bucket").agg(F.min(F.struct(*_KEYS)).alias("head")).select("bucket", "head.*").toArrow().sort_by("bucket")
+    )
+    before = np.roll(heads.column("bucket").to_numpy(), 1)
+    dealt = own.mapInArrow(
+        _dealt(cuts, _keys(heads), before),
+        "bucket int, guest boolean, place long, hash long, nth long, doc_id long, text string",
     )
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_compare, schema).withColumn("doc_id", public_id())
