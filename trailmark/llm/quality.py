@@ -6,12 +6,12 @@ broadcast (``sample`` rows of ``dimensions`` numbers: a bound that does not grow
 document's cosine with all of them is computed exactly, block by block, and the ``neighbours``
 nearest vote for their labels with their similarity (to the power ``sharpness``) as weight.
 
-Only the sample is bounded (documented parameter ``sample``, chosen by a hash of doc_id); every row
-is scored, on its whole text.
+Only the sample is bounded (documented parameter ``sample``: so many labelled ids, the least by a 64-bit hash);
+every row is scored, on its whole text.
 
 Nulls and edge cases: a null or empty text, and any of less than three bytes, has no trigram and
 scores 0; a document with several labels counts once with the greatest; null labels are not learned
-from; without any label all score 0; ties among neighbours go to the earlier sample row; repeated rows
+from; of rows that share a labelled id only the one with the least text is learned from; without any label all score 0; ties among neighbours go to the earlier sample row; repeated rows
 get equal scores; an empty table gives an empty table.
 """
 
@@ -90,16 +90,23 @@ class Space:
         x = self._weighted(counts)
         _, vectors = np.linalg.eigh(x.T @ x)
         self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions])
-        self.points = _unit(x @ self.axes)
+        # equal rows are one point, so that they tie in every cosine
+        nth: dict[bytes, int] = {}
+        self.point = np.array([nth.setdefault(row.tobytes(), len(nth)) for row in counts], np.int64)
+        _, first = np.unique(self.point, return_index=True)
+        self.points = _unit(x[first] @ self.axes)
         self.labels = labels.astype(np.float32)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.weight)
 
     def scores(self, counts: np.ndarray, neighbours: int, sharpness: float) -> np.ndarray:
-        cosine = _unit(self._weighted(counts) @ self.axes) @ self.points.T
-        k = min(neighbours, len(self.points))
+        cosine = (_unit(self._weighted(counts) @ self.axes) @ self.points.T)[:, self.point]
+        k = min(neighbours, len(self.point))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((cosine >= least).sum(axis=1) > k):  # more than k are as near as the k-th
+            near[row] = np.argsort(-cosine[row], kind="stable")[:k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** sharpness
         total = weight.sum(axis=1)
         return np.divide((weight * self.labels[near]).sum(axis=1), total, out=np.zeros(len(total)), where=total > 0)
@@ -135,11 +142,12 @@ def score(
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    # about ``sample`` rows: small enough to send to every executor
+    # at most ``sample`` rows: small enough to send to every executor
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = (
         own.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
         .mapInArrow(_sample_rows, "doc_id long, label int, counts binary")
         .toArrow()
         .sort_by("doc_id")
