@@ -424,8 +424,9 @@ def score(docs: DataFrame, trained_on: Column, mu: float | Sequence[float] = MU,
         .mapInArrow(_answer_grams(order, hot, hot_counts, mu), _ANSWER)
         .unionByName(words_.where(F.col("kind") == _WORDS).select("block", "shard", "kind", "answer"))
     )
+    tasks = max(size.blocks, shuffle_partitions(spark))  # a block each, however many there are
     return (
-        blocks.groupBy("block")
-        .cogroup(answers.groupBy("block"))
+        blocks.repartition(tasks, "block").groupBy("block")
+        .cogroup(answers.repartition(tasks, "block").groupBy("block"))
         .applyInArrow(_score(order, shards, hot, total, vocabulary, mu), schema)
-    )
+    )
