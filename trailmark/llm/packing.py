@@ -6,13 +6,14 @@ plan is made from the number of pieces of each length: at most ``capacity`` rows
 table's size. Pieces above a third of the capacity pair at most twice per sequence: the longest
 left is matched with the longest that fits beside it. Smaller ones, longest first, go to the
 fullest sequences that still take them. The plan says, for ranges of ranks among the pieces of one
-length, which sequences and places they get; Spark ranks the pieces (by length and a hash, with
-offsets from the counts, so that one frequent length is many groups) and joins the plan.
+length, which sequences and places they get; Spark ranks the pieces (in groups by length and a hash,
+with offsets from the counts, so that one frequent length is many groups) and joins the plan.
 
 Nulls and edge cases: a null text is empty and still has the end id; ``<|endoftext|>`` in a text is
 one token, as the vocabulary's own tokenizer has it; rows that share a doc_id are
-packed each; pieces of one length are interchangeable, ranked by a hash of doc_id and piece, then by
-doc_id, piece and checksum; an empty table gives an empty table. Only doc_id and text are read.
+packed each; pieces of one length are interchangeable and ranked in groups by a hash of their row's number
+in the written table of pieces, so rows without ids and repeated rows are spread as all others, then by doc_id, piece
+and checksum; an empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from functools import lru_cache
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,6 +181,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(parts))
+
+
 def pack(docs: DataFrame, capacity: int = 1024, vocabulary_path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with
     ``keep_ids``, its ids (binary, little-endian unsigned 32-bit)."""
@@ -189,9 +194,11 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary_path: str | None = No
     cut = own.mapInArrow(
         _pieces(path, capacity, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
     )
-    pieces = stored(cut if keep_ids else cut.drop("ids"), "pieces")
+    # the number is written with its row, so it stays the same whatever is read or computed again
+    numbered = (cut if keep_ids else cut.drop("ids")).withColumn("row", F.monotonically_increasing_id())
+    pieces = stored(numbered, "pieces")
 
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shuffle_partitions(spark))).alias("part")
+    part = _part(shuffle_partitions(spark)).alias("part")
     sizes = pieces.groupBy("length", part).count()  # capacity times parts rows at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))

@@ -20,8 +20,8 @@ stretch its windows cover; document: doc_id and a 64-bit hash of the text; place
 4. Each document gets its removed windows, merged into spans.
 
 Nulls and edge cases: a null text is empty; texts shorter than ``length`` lose nothing; a null
-doc_id sorts before all others; a row that repeats a (doc_id, text) is the same document and gets
-the same result; rows that share a doc_id (or have none) but differ in text are documents of their
+doc_id sorts before all others; a row that repeats a (doc_id, text) is the same document, makes its
+records once and gets the same result; rows that share a doc_id (or have none) but differ in text are documents of their
 own, ordered by the hash of the text; an empty table gives an empty table. Only doc_id and text are read.
 """
 
@@ -267,6 +267,15 @@ def _copies(bucketed: DataFrame, buckets: int, open_edges: bool) -> tuple[DataFr
     return rows(_COPY, goes_on), rows(_OPEN, ~goes_on) if open_edges else None
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Each (doc_id, hash) once: equal rows would make equal records, which no splitter can part. Where
+    no row repeats, only ids and hashes are shuffled; else each task sends each of its texts once."""
+    rows = docs.groupBy("doc_id", "hash")
+    if rows.count().where("count > 1").isEmpty():
+        return docs
+    return stored(rows.agg(F.min("text").alias("text")).select(*docs.columns), "rows-once")
+
+
 def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     """Documents with their records; a document has fewer of them than bytes."""
     lists = marks.groupBy(F.col("doc").alias("doc_id"), "hash").agg(F.collect_list("pos").alias("marks"))
@@ -318,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False, ca
     string, without characters of which a part went) and the columns named in ``carry``."""
     if not GRAM + STEP <= length <= 1024:
         raise ValueError(f"length must be from {GRAM + STEP} to 1024")
-    own = _hashed(documents(docs))
+    own = _once(_hashed(documents(docs)))
     spark = own.sparkSession
 
     share = min(1.0, SAMPLE_DOCS / max(own.count(), 1))
