@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,10 @@ END = 2
 _CACHE = 400_000  # words whose ids a worker remembers
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
     """Ids (little-endian 32-bit) of words met before."""
 
@@ -48,7 +53,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        ids = self._encode(self._before + word).tobytes()
+        ids = pack_ids(self._encode(self._before + word))
         self[word] = ids
         return ids
 
@@ -58,7 +63,7 @@ def tokenizer(path: str):
     """A function from text to its ids as little-endian 32-bit bytes."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     first, spaced = _Words(encode, ""), _Words(encode, " ")
 
     added = ADDED_ID.to_bytes(4, "little")
@@ -69,7 +74,7 @@ def tokenizer(path: str):
     def plain(text: str) -> bytes:
         # a token never reaches over the beginning of a run of white space, so single spaces are safe cuts
         if "  " in text:
-            return encode(text).tobytes()
+            return pack_ids(encode(text))
         head, *rest = text.split(" ")
         return first[head] + b"".join(map(spaced.__getitem__, rest))
 
