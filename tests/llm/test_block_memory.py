@@ -1,0 +1,59 @@
+"""What a worker holds while it counts and scores the blocks of op5: two workers share an executor's memory."""
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from trailmark.llm import lm_scoring
+from trailmark.llm.arrays import U, distinct
+
+HOT = np.zeros(0, U)
+
+
+def _packed(blocks, tokens=60_000):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(blocks):
+        words = [f"w{x}" for x in rng.integers(0, 5000, tokens)]
+        texts = [" ".join(words[i : i + 500]) for i in range(0, tokens, 500)]
+        n = len(texts)
+        docs = pa.RecordBatch.from_pydict(
+            {"doc_id": pa.array(range(n), pa.int64()), "text": texts, "train": pa.array([True] * n), "row": pa.array(range(n), pa.int64())}
+        )
+        rows += lm_scoring._packed(1 << 30)([docs])
+    return pa.Table.from_batches(rows).select(["block", "docs"])
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("ask", [lm_scoring._ask_words(4), lm_scoring._ask_grams(3, 4, HOT)])
+def test_a_worker_holds_one_block_at_a_time(ask):
+    def run(n):
+        table = _packed(n)
+        return _peak(lambda: [None for _ in ask(iter(table.to_batches()))])
+
+    run(3)  # tables that are made once
+    assert run(3) < 1.15 * run(1)
+
+
+def test_grams_take_less_than_a_hundred_bytes_a_token():
+    docs, block = lm_scoring._docs(_packed(1).column("docs")[0])
+    peak = _peak(lambda: block.count_grams(3))
+    assert peak < 100 * len(block.token)
+
+
+def test_distinct_values_places_and_counts():
+    rng = np.random.default_rng(4)
+    for values in (rng.integers(0, 50, 300), np.zeros(0, np.int64), np.array([7])):
+        own, which, count = distinct(values)
+        expected = np.unique(values, return_inverse=True, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip((own, which, count), expected))
