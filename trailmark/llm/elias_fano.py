@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 
 U = np.uint64
+READ, READ_UP_TO = 1 << 17, 8  # values read at once; so many for each that is looked for, at most
 #: Place of the r-th set bit of each byte.
 _BYTE_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.int64)
 
@@ -65,7 +66,22 @@ class EliasFano:
         bits = self.high[word]
         octet, below = _octet(bits, rest.astype(U))
         place = word * 64 + octet + _BYTE_SELECT[(bits >> octet.astype(U) & U(255)).astype(np.int64), rest - below]
-        value = (place - i).astype(U) << U(self.low_bits)
+        return self._with_low(place - i, i)
+
+    def between(self, start: int, end: int) -> np.ndarray:
+        """The values at places start to end - 1, read one after another."""
+        if start >= end:
+            return np.zeros(0, U)
+        first, last = (int(np.searchsorted(self.ranks, i, "right")) - 1 for i in (start, end - 1))
+        bits = np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little")
+        skip = start - int(self.ranks[first])
+        places = np.flatnonzero(bits)[skip : skip + end - start]
+        places += first * 64
+        i = np.arange(start, end)
+        return self._with_low(places - i, i)
+
+    def _with_low(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+        value = high.astype(U) << U(self.low_bits)
         if self.low_bits:
             at = i.astype(U) * U(self.low_bits)
             w, shift = (at >> U(6)).astype(np.int64), at & U(63)
@@ -88,6 +104,27 @@ class EliasFano:
         return lo
 
 
+    def located(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a sequence without repeats the first place in [lo, hi) whose value is at least x (hi if there is none), and
+        whether it is x. Many values in order are met with the sequence as it is read; others are searched for one by one."""
+        if len(x) * READ_UP_TO >= self.n and (x[1:] >= x[:-1]).all():
+            place, same, done = hi.copy(), np.zeros(len(x), bool), 0
+            start, end = (int(lo.min()), int(hi.max())) if len(x) else (0, 0)
+            for a in range(start, end, READ):
+                values = self.between(a, min(a + READ, end))
+                until = int(np.searchsorted(x, values[-1], "right"))
+                at = np.searchsorted(values, x[done:until])
+                place[done:until] = a + at
+                same[done:until] = values[at] == x[done:until]
+                done = until
+            same &= (place >= lo) & (place < hi)
+            return np.clip(place, lo, hi), same
+        place = self.successor(x, lo, hi)
+        same = place < hi
+        same[same] = self[place[same]] == x[same]
+        return place, same
+
+
 SUCCESSOR_BITS = 40  # of a successor inside its context
 _SCALE, _FLOOR = 1024, 40
 
@@ -139,7 +176,7 @@ class Trie:
         self._file.flush()
         self._size += part.nbytes + -part.nbytes % 8
         os.posix_fadvise(self._file.fileno(), 0, 0, os.POSIX_FADV_RANDOM)
-        return np.memmap(self._file.name, part.dtype, "r", at, part.shape)
+        return np.asarray(np.memmap(self._file.name, part.dtype, "r", at, part.shape))
 
     def _mapped(self, level: EliasFano) -> EliasFano:
         return EliasFano(level.n, level.low_bits, *map(self._written, level.parts()))
@@ -149,8 +186,8 @@ class Trie:
         n = self.contexts.n
         if not n or not len(contexts):
             return np.full(len(contexts), -1, np.int64)
-        at = self.contexts.successor(contexts, np.zeros(len(contexts), np.int64), np.full(len(contexts), n, np.int64))
-        return np.where((at < n) & (self.contexts[np.minimum(at, n - 1)] == contexts), at, -1)
+        at, same = self.contexts.located(contexts, np.zeros(len(contexts), np.int64), np.full(len(contexts), n, np.int64))
+        return np.where(same, at, -1)
 
     def after(self, level: int, rows: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place in its level (from 0, -1 if missing) and the code (0 if missing) of each successor of the
@@ -161,11 +198,13 @@ class Trie:
         if not len(at) or not inside.n:
             return out, code
         row = rows[at]
-        lo, hi = pointers[row].astype(np.int64), pointers[row + 1].astype(np.int64)
+        if len(row) * READ_UP_TO >= pointers.n:
+            ends = pointers.between(0, pointers.n).view(np.int64)
+            lo, hi = ends[row], ends[row + 1]
+        else:
+            lo, hi = pointers[row].astype(np.int64), pointers[row + 1].astype(np.int64)
         x = row.astype(U) << U(SUCCESSOR_BITS) | successors[at]
-        place = inside.successor(x, lo, hi)
-        hit = place < hi
-        hit[hit] = inside[place[hit]] == x[hit]
+        place, hit = inside.located(x, lo, hi)
         out[at[hit]] = place[hit]
         code[at[hit]] = codes[place[hit]]
         return out, code
