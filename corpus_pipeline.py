@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import langid, line_dedup, packing, simhash, suffix_dedup
-from trailmark.llm.common import stored
+from trailmark.llm.common import NULL_ID, stored
 from trailmark.llm.queries import remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,13 +37,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    least = simhash.least_rows(docs, words=3, max_bits=2).withColumnRenamed("doc_id", "wanted")
-    hashed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("hash"))
-    kept = hashed.join(least, (hashed.hash == least.hash) & F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # grouped and joined by one key without nulls, so texts are shuffled once, after copies of a row are gone
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key")
+    least = simhash.least_rows(docs, words=3, max_bits=2).select("hash", key)
+    hashed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("hash"), key)
     # of equal (doc_id, text) one row stays, the least by its other columns
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    one = kept.groupBy("doc_id", "hash").agg(F.min(F.struct(*others, "text")).alias("row"))
-    return one.select("doc_id", "row.*").select(*COLUMNS)
+    one = hashed.groupBy("hash", "key").agg(F.min(F.struct(*others, "doc_id", "text")).alias("row"))
+    return one.join(least, ["hash", "key"], "left_semi").select("row.*").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
